@@ -126,7 +126,7 @@ def hour_of_day(spark, sf_dir):
 
 @query("midsleep", B.with_views(f"""
     h AS (SELECT log_id, {hours_sql('start_ts')} AS a, {hours_sql('end_ts')} AS b FROM sleep),
-    g AS (SELECT log_id, a, ((b - a) % 24 + 24) % 24 AS len FROM h)
+    g AS (SELECT log_id, a, CASE WHEN (b - a) % 24 < 0 THEN ((b - a) % 24 + 24) % 24 ELSE (b - a) % 24 END AS len FROM h)
     SELECT log_id, {B.rnd('((a + len / 2) % 24)', 2)} AS midsleep_hour FROM g""", "sleep"))
 def midsleep(spark, sf_dir):
     return B.sleep(spark, sf_dir).select("log_id", D.midsleep(

@@ -89,9 +89,20 @@ def clean_stride(c: Column | str, min_cm: float = MIN_STRIDE_CM) -> Column:
     return F.when(v >= min_cm, v)
 
 
+def bout_ms(active_ms: Column | str, duration_ms: Column | str) -> Column:
+    """Milliseconds of an exercise bout: active time, else total time, else 0."""
+    return F.coalesce(_col(active_ms), _col(duration_ms), F.lit(0).cast("long"))
+
+
 def bout_minutes(active_ms: Column | str, duration_ms: Column | str) -> Column:
-    """Minutes of an exercise bout: active time, else total time, else 0."""
-    return F.coalesce(_col(active_ms), _col(duration_ms), F.lit(0)) / F.lit(60000.0)
+    """Minutes of an exercise bout."""
+    return ms_to_min(bout_ms(active_ms, duration_ms))
+
+
+def total_minutes(active_ms: Column | str, duration_ms: Column | str) -> Column:
+    """Minutes of all bouts of a group; whole milliseconds are summed, so the
+    total does not depend on the order of the rows."""
+    return ms_to_min(F.sum(bout_ms(active_ms, duration_ms)))
 
 
 def real_bout(minutes: Column | str, min_minutes: float = MIN_BOUT_MINUTES) -> Column:

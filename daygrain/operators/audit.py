@@ -126,7 +126,7 @@ def daily_values(minute: DataFrame, bouts: DataFrame, spine: DataFrame) -> DataF
     metrics = F.explode(F.array(*[F.lit(m) for m in ("steps", "distance", "calories")]))
     grid = spine.select(*KEYS, metrics.alias("metric"))
     active = bouts.groupBy(PID, F.to_date("start_ts").alias("date")).agg(
-        F.sum(C.bout_minutes("active_ms", "duration_ms")).alias("value"))
+        C.total_minutes("active_ms", "duration_ms").alias("value"))
     exercise = reindex_days(active, spine.select(*KEYS), 0.0, ["value"]).withColumn(
         "metric", F.lit("exercise_active_min"))
     return grid.join(sums, [*KEYS, "metric"], "left").unionByName(exercise.select(*KEYS, "metric", "value"))

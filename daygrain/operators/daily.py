@@ -69,7 +69,7 @@ def exercise_daily(bouts: DataFrame, min_minutes: float = C.MIN_BOUT_MINUTES,
     name = F.lower(F.coalesce("activity_name", F.lit("")))
     flags = [F.max(F.contains(name, F.lit(a)).cast("int")).alias(f"ex_{a}") for a in labels]
     return _by_day(real, "start_ts").agg(
-        F.round(F.sum("_min"), 1).alias("exercise_min"),
+        F.round(C.total_minutes("active_ms", "duration_ms"), 1).alias("exercise_min"),
         F.count("*").cast("int").alias("n_exercise_sessions"), *flags)
 
 
@@ -307,7 +307,7 @@ def exposure_hours(srpe: DataFrame, bouts: DataFrame) -> DataFrame:
     """Logged training minutes and recorded exercise minutes per participant."""
     a = srpe.groupBy("participant_id").agg(F.coalesce(F.sum("duration_min"), F.lit(0.0)).alias("srpe_min"))
     b = bouts.groupBy("participant_id").agg(
-        F.sum(C.bout_minutes("active_ms", "duration_ms")).alias("exercise_min"))
+        C.total_minutes("active_ms", "duration_ms").alias("exercise_min"))
     both = a.join(b, "participant_id", "full").fillna(0.0, subset=["srpe_min", "exercise_min"])
     return both.withColumn("total_h", (F.col("srpe_min") + F.col("exercise_min")) / 60)
 

@@ -50,7 +50,7 @@ def exercise_window(bouts: DataFrame, windows: DataFrame) -> DataFrame:
     rows = rows_in_windows(bouts, "start_ts", windows)
     totals = rows.groupBy(*WINDOW).agg(
         F.count("*").alias("n_exercise_sessions"),
-        F.round(F.sum(C.bout_minutes("active_ms", "duration_ms")), 1).alias("exercise_minutes"))
+        F.round(C.total_minutes("active_ms", "duration_ms"), 1).alias("exercise_minutes"))
     names = rows.where(F.col("activity_name") != "").select(*WINDOW, "activity_name").distinct()
     listed = bounded_list(names, WINDOW, F.col("activity_name"), ["activity_name"], "activities")
     return windows.select(*WINDOW).join(totals, WINDOW, "left").join(listed, WINDOW, "left").withColumns({
@@ -139,9 +139,11 @@ def injury_window(injury: DataFrame, windows: DataFrame) -> DataFrame:
     counts = rows.groupBy(*WINDOW).agg(
         F.count("*").alias("reports_in_window"),
         F.bool_or(F.size("injuries") > 0).alias("is_injured"))
-    entry = F.struct(D.std_text("ts").alias("key"), F.col("injuries").alias("value"))
+    # Maps have no order, so they travel as entries through the sorted list.
+    entry = F.struct(D.std_text("ts").alias("key"), F.map_entries("injuries").alias("value"))
     named = bounded_list(window_injuries(injury, windows), WINDOW, entry, ["ts"], "_entries").select(
-        *WINDOW, F.map_from_entries("_entries").alias("injuries"))
+        *WINDOW, F.map_from_entries(F.transform("_entries", lambda e: F.struct(
+            e["key"], F.map_from_entries(e["value"])))).alias("injuries"))
     state = last_known(injury, windows, "ts", "injuries")
     return (windows.select(*WINDOW).join(counts, WINDOW, "left").join(named, WINDOW, "left")
             .join(state, WINDOW, "left")
