@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from daygrain.operators.missing import complete_cases, covered_columns
 from daygrain.operators.rolling import demean_within
-from daygrain.operators.stats import value_positions
+from daygrain.operators.stats import group_all, value_positions
 
 MIN_PAIR_ROWS = 3
 # Pairs computed by one wide JVM aggregation before switching method.
@@ -177,26 +177,18 @@ def with_p_values(pairs: DataFrame, r: str = "pearson_r", n: str = "n") -> DataF
     return pairs.withColumn("p", F.when(F.col(r).isNotNull(), raw))
 
 
-def _rank_tables(df: DataFrame, cols: Sequence[str], partners: dict[str, list[str]]) -> dict[str, DataFrame]:
-    """Average ranks of the values of each column among the rows each partner knows.
+def _ranks_of(df: DataFrame, c: str, partners: Sequence[str]) -> DataFrame:
+    """Average ranks of the values of ``c`` among the rows each partner knows.
 
-    Values are counted before they are ranked, so ties cost one row; counts of
-    all columns go through one bucketed cumulation (``value_positions``).
+    Values are counted before they are ranked, so ties cost one row; reads
+    only ``c`` and whether each partner is known.
     """
-    masks = [F.col(c).isNotNull().alias(f"_k{i}") for i, c in enumerate(cols)]
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols], *masks)
-    marks = [f"_k{i}" for i in range(len(cols))]
-    long = wide.unpivot(marks, list(cols), "_column", "_v").where(F.col("_v").isNotNull())
-    weights = [f"w{i}" for i in range(len(cols))]
-    counts = long.groupBy("_column", "_v").agg(*[
-        F.count_if(F.col(k)).alias(w) for k, w in zip(marks, weights)])
-    placed = value_positions(counts, ["_column"], "_v", weights)
-    out = {}
-    for c in cols:
-        ranks = [(F.col(f"w{cols.index(b)}_before") + (F.col(f"w{cols.index(b)}") + 1) / 2).alias(f"_r_{c}_{b}")
-                 for b in partners[c]]
-        out[c] = placed.where(F.col("_column") == c).select(F.col("_v").alias(f"_v_{c}"), *ranks)
-    return out
+    weights = [f"w{i}" for i in range(len(partners))]
+    counts = group_all(df.where(F.col(c).isNotNull())).groupBy("_key", F.col(c).alias("_v")).agg(
+        *[F.count(b).alias(w) for b, w in zip(partners, weights)])
+    placed = value_positions(counts, "_v", weights)
+    ranks = [(F.col(f"{w}_before") + (F.col(w) + 1) / 2).alias(f"_r_{c}_{b}") for b, w in zip(partners, weights)]
+    return placed.select(F.col("_v").alias(f"_v_{c}"), *ranks)
 
 
 def spearman_pairs(df: DataFrame, pairs: Pairs, out: str = "spearman_rho") -> DataFrame:
@@ -208,8 +200,8 @@ def spearman_pairs(df: DataFrame, pairs: Pairs, out: str = "spearman_rho") -> Da
         partners[b].append(a)
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     ranked = data
-    for c, table in _rank_tables(data, cols, partners).items():
-        ranked = ranked.join(table, F.col(c) == F.col(f"_v_{c}"), "left")
+    for c in cols:
+        ranked = ranked.join(_ranks_of(data, c, partners[c]), F.col(c) == F.col(f"_v_{c}"), "left")
     exprs = []
     for a, b in pairs:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()

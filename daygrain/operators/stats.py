@@ -6,54 +6,67 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Buckets the sorted values of one group are spread over.
+# Buckets the sorted values of one group are spread over; a power of two.
 BUCKETS = 64
 QUANTILES = {"p1": 0.01, "q25": 0.25, "median": 0.5, "q75": 0.75, "p99": 0.99}
+_KEY = "_key"
 SUMMARY = ("n", "mean", "median", "sd", "q25", "q75", "iqr", "skew", "p1", "p99", "min", "max")
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join on keys that may be NULL, keeping the left key columns."""
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pack the group keys into one struct.
+
+    A struct is never NULL and equal structs match field by field, so groups
+    with NULL keys join like any other; no keys at all make one group.
+    """
+    fields = [F.col(k).alias(k) for k in keys] or [F.lit(0).alias("_all")]
+    return df.withColumn(_KEY, F.struct(*fields))
+
+
+def group_all(df: DataFrame) -> DataFrame:
+    """The whole table as one group."""
+    return _keyed(df, [])
 
 
-def _with_key(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Ungrouped input gets a constant key so that one code path serves both."""
-    if keys:
-        return df, list(keys)
-    return df.withColumn("_all", F.lit(0)), ["_all"]
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of two per-group tables whose keys may be NULL."""
+    return _keyed(left, keys).join(_keyed(right, keys).drop(*keys), _KEY, "left").drop(_KEY)
 
 
-def value_positions(df: DataFrame, keys: Sequence[str], col: str,
-                    weights: Sequence[str] = ("cnt",), buckets: int = BUCKETS) -> DataFrame:
+def _with_bucket(df: DataFrame, value: str, edges: str, buckets: int) -> DataFrame:
+    """Number of edges below the value, by binary search in generated code."""
+    out = df.withColumn("_bucket", F.lit(0))
+    step = buckets // 2
+    while step:
+        below = F.get(F.col(edges), F.col("_bucket") + (step - 1)) < F.col(value)
+        out = out.withColumn("_bucket", F.col("_bucket") + F.when(below, step).otherwise(0))
+        step //= 2
+    return out
+
+
+def value_positions(counts: DataFrame, col: str, weights: Sequence[str] = ("cnt",),
+                    buckets: int = BUCKETS) -> DataFrame:
     """Cumulative weights of the sorted distinct values of every group.
 
-    ``df`` has one row per (keys, value) with weight columns.  Adds, per
-    weight, ``<w>_before`` (weight of smaller values) and ``<w>_total``.  The
-    values of a group are spread over buckets of about equal numbers of
-    distinct values, so each sort holds a fraction of a group and only the
-    bucket totals (at most ``buckets`` rows per group) meet in one task.
+    ``counts`` has one row per group (``_keyed``) and value with weight
+    columns.  Adds, per weight, ``<w>_before`` (weight of smaller values) and
+    ``<w>_total``.  The values of a group are spread over buckets of about
+    equal numbers of distinct values, so each sort holds a fraction of a group
+    and only the bucket totals (at most ``buckets`` rows per group) meet in
+    one task.
     """
-    keys = list(keys)
     cuts = [i / buckets for i in range(1, buckets)]
-    edges = df.groupBy(*keys).agg(
-        F.percentile_approx(col, cuts, buckets * 100).alias("_edges"))
-    bucketed = _null_safe_on(df, edges, keys).withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(col)))).drop("_edges")
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    sums = bucketed.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
-    offsets = sums.select(
-        *keys, "_bucket",
-        *[F.coalesce(F.sum(f"_s_{w}").over(before), F.lit(0)).alias(f"_o_{w}") for w in weights],
-        *[F.sum(f"_s_{w}").over(whole).alias(f"{w}_total") for w in weights])
-    inside = (Window.partitionBy(*keys, "_bucket").orderBy(col)
+    # The totals also keep this plan equal to the counts it reads, so that Spark reuses their shuffle.
+    edges = counts.groupBy(_KEY).agg(F.percentile_approx(col, cuts, buckets * 16).alias("_edges"),
+                                     *[F.sum(w).alias(f"{w}_total") for w in weights])
+    bucketed = _with_bucket(counts.join(edges, _KEY), col, "_edges", buckets).drop("_edges")
+    before = Window.partitionBy(_KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = bucketed.groupBy(_KEY, "_bucket").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
+    offsets = sums.select(_KEY, "_bucket", *[
+        F.coalesce(F.sum(f"_s_{w}").over(before), F.lit(0)).alias(f"_o_{w}") for w in weights])
+    inside = (Window.partitionBy(_KEY, "_bucket").orderBy(col)
               .rowsBetween(Window.unboundedPreceding, -1))
-    joined = _null_safe_on(bucketed, offsets, [*keys, "_bucket"])
+    joined = bucketed.join(offsets, [_KEY, "_bucket"])
     return joined.withColumns({
         f"{w}_before": F.col(f"_o_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0)) for w in weights
     }).drop("_bucket", *[f"_o_{w}" for w in weights])
@@ -66,10 +79,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str,
     Values are counted first (partial aggregation folds repeats), then sorted
     in buckets by ``value_positions``; no group is gathered whole.
     """
-    df, by = _with_key(df, keys)
-    counts = (df.where(F.col(col).isNotNull())
-              .groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("cnt")))
-    placed = value_positions(counts, by, "_v")
+    counts = (_keyed(df.where(F.col(col).isNotNull()), keys)
+              .groupBy(_KEY, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("cnt")))
+    placed = value_positions(counts, "_v")
     holds = {}
     for name, p in probs.items():
         rank = (F.col("cnt_total") - 1) * F.lit(float(p))
@@ -77,8 +89,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str,
             here = (F.col("cnt_before") <= at) & (at < F.col("cnt_before") + F.col("cnt"))
             holds[f"_{side}_{name}"] = F.max(F.when(here, F.col("_v")))
         holds[f"_f_{name}"] = F.max(rank - F.floor(rank))
-    picked = placed.groupBy(*by).agg(*[c.alias(n) for n, c in holds.items()])
-    return picked.select(*keys, *[
+    picked = placed.groupBy(_KEY).agg(*[c.alias(n) for n, c in holds.items()])
+    return picked.select(*[F.col(f"{_KEY}.{k}").alias(k) for k in keys], *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)
         for n in probs])
 
@@ -114,7 +126,7 @@ def describe12(df: DataFrame, keys: Sequence[str], col: str, bounded: bool = Fal
         base = data.groupBy(*keys).agg(*moments("_x"))
         quant = exact_quantiles(data, keys, "_x", QUANTILES)
         if keys:
-            out = _null_safe_on(base, quant, keys)
+            out = join_groups(base, quant, keys)
         else:
             picked = quant.select(F.struct(*QUANTILES)).scalar()
             out = base.select("*", *[picked.getField(n).alias(n) for n in QUANTILES])
@@ -127,8 +139,8 @@ def histogram(df: DataFrame, keys: Sequence[str], col: str, bins: int = 12) -> D
     A constant group gets the unit range around its value.  Empty bins are
     part of the result.
     """
-    df, by = _with_key(df, keys)
-    data = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_x"))
+    by = [_KEY]
+    data = _keyed(df.where(F.col(col).isNotNull()), keys).select(_KEY, F.col(col).cast("double").alias("_x"))
     span = data.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     flat = F.col("_lo") == F.col("_hi")
     span = span.select(*by, F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
@@ -139,7 +151,7 @@ def histogram(df: DataFrame, keys: Sequence[str], col: str, bins: int = 12) -> D
               .groupBy(*by, "bin").agg(F.count("*").alias("n")))
     grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return (grid.join(counts, [*by, "bin"], "left")
-            .select(*keys, "bin", (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
+            .select(*[F.col(f"{_KEY}.{k}").alias(k) for k in keys], "bin", (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
                     (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
                     F.coalesce("n", F.lit(0)).alias("n")))
 
