@@ -74,8 +74,8 @@ def source_inventory(spark, sf_dir):
 def file_inventory(spark, sf_dir):
     from catalog.scans import scratch
     root = scratch(spark)
-    rows = B.events(spark, sf_dir).groupBy("participant_id", "event_type").agg(F.count("*").cast("string").alias("n"))
-    rows.write.partitionBy("participant_id", "event_type").text(root)
+    rows = B.events(spark, sf_dir).select(F.concat_ws(",", "event_id", "value").alias("line"), F.weekday("ts").alias("weekday"), "event_type")
+    rows.repartition("weekday", "event_type").write.partitionBy("weekday", "event_type").text(root)
     return A.file_sizes(spark, root).groupBy("participant_id").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("bytes"))
 
 
@@ -208,9 +208,9 @@ ARCH_SQL = """t AS (SELECT participant_id, deep_min + light_min + rem_min + wake
 
 
 @query("sleep_architecture_shares", B.with_views(ARCH_SQL + f"""
-    SELECT participant_id, metric, {summary_sql('v')} FROM l GROUP BY 1, 2""", "sleep"))
+    SELECT participant_id, metric, {summary_sql('v', 6)} FROM l GROUP BY 1, 2""", "sleep"))
 def sleep_architecture_shares(spark, sf_dir):
-    return tidy(A.audit_sleep_arch(B.sleep(spark, sf_dir)))
+    return tidy(A.audit_sleep_arch(B.sleep(spark, sf_dir)), 6)
 
 
 @query("questionnaire_response", B.with_views(f"""

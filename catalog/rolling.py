@@ -149,22 +149,22 @@ def demean_within_group(spark, sf_dir):
 @query("consecutive_changes", """
     WITH l AS (SELECT o_custkey, o_orderkey, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
         AS delta FROM orders WHERE o_totalprice IS NOT NULL)
-    SELECT o_custkey, o_orderkey, round(abs(delta), 4) AS abs_delta FROM l WHERE delta IS NOT NULL""")
+    SELECT o_custkey, o_orderkey, """ + rnd("abs(delta)", 4) + " AS abs_delta FROM l WHERE delta IS NOT NULL")
 def consecutive_changes(spark, sf_dir):
     orders = B.table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
     out = abs_deltas(orders, "o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
     return out.select("o_custkey", "o_orderkey", F.round("abs_delta", 4).alias("abs_delta"))
 
 
-@query("half_split_drift", """
+@query("half_split_drift", f"""
     WITH p AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r,
         count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
-    SELECT o_custkey, max(n) AS n_valid, round(CASE WHEN max(n) >= 10 THEN
-        avg(o_totalprice) FILTER (r > n // 2) - avg(o_totalprice) FILTER (r <= n // 2) END, 4) AS drift FROM p GROUP BY 1""")
+    SELECT o_custkey, max(n) AS n_valid, {rnd("CASE WHEN max(n) >= 10 THEN avg(o_totalprice) FILTER (r > n // 2) - avg(o_totalprice) FILTER (r <= n // 2) END", 6)}
+        AS drift FROM p GROUP BY 1""")
 def drift_between_halves(spark, sf_dir):
     orders = B.table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
     out = half_split_drift(orders, "o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
-    return out.withColumn("drift", F.round("drift", 4))
+    return out.withColumn("drift", F.round("drift", 6))
 
 
 @query("spike_days", B.with_views(LOAD_SQL + """,

@@ -296,7 +296,8 @@ def audit_load(srpe: DataFrame, spine: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.sum(load), F.lit(0.0)), 1).alias("total_load"))
     per_day = srpe.groupBy(PID, F.to_date("ts").alias("date")).agg(F.sum(load).alias("load"))
     full = reindex_days(per_day, spine.select(*KEYS), 0.0, ["load"])
-    horizon = full.groupBy(PID).agg(F.avg("load").alias("_m"), F.stddev_samp("load").alias("_sd"),
+    spread = F.when(F.min("load") < F.max("load"), F.stddev_samp("load")).otherwise(0.0)
+    horizon = full.groupBy(PID).agg(F.avg("load").alias("_m"), spread.alias("_sd"),
                                     F.sum("load").alias("_s"), F.max("load").alias("max_daily_load"))
     spikes = full.join(horizon.select(PID, "_m", "_sd"), PID).groupBy(PID).agg(
         F.count_if((F.col("_sd") > 0) & (F.col("load") > F.col("_m") + 2 * F.col("_sd"))).alias("n_spike_days"))

@@ -53,7 +53,9 @@ def _pair_aggregates(i: int, a: Column, b: Column) -> list[Column]:
     x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
     return [F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).alias(f"n{i}"),
             F.covar_samp(x, y).alias(f"c{i}"), F.stddev_samp(x).alias(f"a{i}"),
-            F.stddev_samp(y).alias(f"b{i}")]
+            F.stddev_samp(y).alias(f"b{i}"),
+            # Merged variances of a constant are rounding noise, not zero.
+            ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias(f"v{i}")]
 
 
 def _aggregate_pairs(df: DataFrame, exprs: Sequence[tuple[str, str, Column, Column]], out: str) -> DataFrame:
@@ -66,7 +68,7 @@ def _aggregate_pairs(df: DataFrame, exprs: Sequence[tuple[str, str, Column, Colu
         rows = []
         for i, (a, b, _, _) in enumerate(part):
             spread = F.nullif(F.col(f"a{i}") * F.col(f"b{i}"), F.lit(0.0))
-            r = F.when(F.col(f"n{i}") >= MIN_PAIR_ROWS, F.col(f"c{i}") / spread)
+            r = F.when((F.col(f"n{i}") >= MIN_PAIR_ROWS) & F.col(f"v{i}"), F.col(f"c{i}") / spread)
             bounded = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
             rows.append(F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"),
                                  bounded.alias(out), F.col(f"n{i}").alias("n")))

@@ -142,6 +142,7 @@ def demean_within(df: DataFrame, cols: Sequence[str], group: str = GROUP) -> Dat
 
 def spike_days(df: DataFrame, col: str, k: float = 2.0, key: str = GROUP) -> DataFrame:
     """Days above mean + k sd of the participant's whole series."""
-    bounds = df.groupBy(key).agg(F.avg(col).alias("_mean"), F.stddev_samp(col).alias("_sd"))
+    spread = F.when(F.min(col) < F.max(col), F.stddev_samp(col))
+    bounds = df.groupBy(key).agg(F.avg(col).alias("_mean"), spread.alias("_sd"))
     return (df.join(bounds, key).where((F.col("_sd") > 0) & (F.col(col) > F.col("_mean") + k * F.col("_sd")))
             .drop("_mean", "_sd"))
