@@ -210,7 +210,7 @@ def estimate_keys(spark, sf_dir):
         max((loc = 'left_foot' AND sev = 'minor')::INTEGER) AS inj_left_foot__minor FROM last GROUP BY 1, 2""", "injury"))
 def injury_onehots(spark, sf_dir):
     injury = B.injury(spark, sf_dir)
-    return daily.injury_onehots(injury, onehot_values(injury))
+    return daily.injury_onehots(injury, onehot_values(daily.injury_state(injury)))
 
 
 @query("activity_flags", B.with_views("SELECT log_id, " + ", ".join(
@@ -254,7 +254,7 @@ def suspicious_file_names(spark, sf_dir):
         'zz_extra', 'n_rows']) AS c, unnest(range(9 + 1)) AS p) WHERE (SELECT count(*) FROM ev) > 0"""))
 def stable_column_order(spark, sf_dir):
     injury = B.injury(spark, sf_dir)
-    flags = daily.injury_onehots(injury, onehot_values(injury))
+    flags = daily.injury_onehots(injury, onehot_values(daily.injury_state(injury)))
     load = daily.srpe_daily(B.srpe(spark, sf_dir)).select("participant_id", "date", "srpe_load", "srpe_n_sessions")
     wide = (load.withColumn("zz_extra", F.lit(1)).join(flags, ["participant_id", "date"], "left")
             .withColumn("total_steps", F.lit(0.0)).withColumn("n_rows", F.lit(1)))

@@ -56,7 +56,7 @@ def distinct_sorted_text(spark, sf_dir):
     SELECT DISTINCT 'inj_left_foot__' || foot AS name FROM injury WHERE foot IS NOT NULL
     UNION SELECT DISTINCT 'inj_head_neck__' || head FROM injury WHERE head IS NOT NULL""", "injury"))
 def onehot_vocabulary(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in T.onehot_values(B.injury(spark, sf_dir))], "name string")
+    return spark.createDataFrame([(n,) for n in T.onehot_values(daily.injury_state(B.injury(spark, sf_dir)))], "name string")
 
 
 @query("feature_column_order", B.with_views("""

@@ -188,7 +188,7 @@ def _ranks_of(df: DataFrame, c: str, partners: Sequence[str]) -> DataFrame:
     weights = [f"w{i}" for i in range(len(partners))]
     counts = group_all(df.where(F.col(c).isNotNull())).groupBy("_key", F.col(c).alias("_v")).agg(
         *[F.count(b).alias(w) for b, w in zip(partners, weights)])
-    placed = value_positions(counts, "_v", weights)
+    placed = value_positions(counts, "_v", weights, grouped=False)
     ranks = [(F.col(f"{w}_before") + (F.col(w) + 1) / 2).alias(f"_r_{c}_{b}") for b, w in zip(partners, weights)]
     return placed.select(F.col("_v").alias(f"_v_{c}"), *ranks)
 

@@ -229,17 +229,18 @@ def injury_daily(injury: DataFrame) -> DataFrame:
         F.count("*").cast("int").alias("n_injury_reports"))
 
 
-def injury_onehots(injury: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One 0/1 column per ``inj_<location>__<severity>`` name.
-
-    Within a day the last report of a location decides its severity.
-    """
-    last = (injury.select("participant_id", F.to_date("ts").alias("date"), "seq",
+def injury_state(injury: DataFrame) -> DataFrame:
+    """Severity per day and location; the last report of a day decides."""
+    return (injury.select("participant_id", F.to_date("ts").alias("date"), "seq",
                           F.explode("injuries").alias("loc", "sev"))
             .groupBy(*KEYS, "loc").agg(F.max_by("sev", "seq").alias("sev")))
+
+
+def injury_onehots(injury: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One 0/1 column per ``inj_<location>__<severity>`` name and day."""
     flag = E.onehot_name("loc", "sev")
-    return last.groupBy(*KEYS).agg(*[F.max((flag == n).cast("int")).alias(n) for n in names]
-                                   or [F.count("*").alias("n_locations")])
+    return injury_state(injury).groupBy(*KEYS).agg(
+        *[F.max((flag == n).cast("int")).alias(n) for n in names] or [F.count("*").alias("n_locations")])
 
 
 def last_non_null(df: DataFrame, keys: Sequence[str], col: str, order: str) -> DataFrame:

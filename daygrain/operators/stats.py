@@ -45,7 +45,7 @@ def _with_bucket(df: DataFrame, value: str, edges: str, buckets: int) -> DataFra
 
 
 def value_positions(counts: DataFrame, col: str, weights: Sequence[str] = ("cnt",),
-                    buckets: int = BUCKETS) -> DataFrame:
+                    grouped: bool = True, buckets: int = BUCKETS) -> DataFrame:
     """Cumulative weights of the sorted distinct values of every group.
 
     ``counts`` has one row per group (``_keyed``) and value with weight
@@ -53,13 +53,19 @@ def value_positions(counts: DataFrame, col: str, weights: Sequence[str] = ("cnt"
     ``<w>_total``.  The values of a group are spread over buckets of about
     equal numbers of distinct values, so each sort holds a fraction of a group
     and only the bucket totals (at most ``buckets`` rows per group) meet in
-    one task.
+    one task.  An ungrouped table takes its one row of edges as a scalar.
     """
     cuts = [i / buckets for i in range(1, buckets)]
     # The totals also keep this plan equal to the counts it reads, so that Spark reuses their shuffle.
     edges = counts.groupBy(_KEY).agg(F.percentile_approx(col, cuts, buckets * 16).alias("_edges"),
                                      *[F.sum(w).alias(f"{w}_total") for w in weights])
-    bucketed = _with_bucket(counts.join(edges, _KEY), col, "_edges", buckets).drop("_edges")
+    found = ["_edges", *[f"{w}_total" for w in weights]]
+    if grouped:
+        edged = counts.join(edges, _KEY)
+    else:
+        single = edges.select(F.struct(*found)).scalar()
+        edged = counts.withColumns({c: single.getField(c) for c in found})
+    bucketed = _with_bucket(edged, col, "_edges", buckets).drop("_edges")
     before = Window.partitionBy(_KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = bucketed.groupBy(_KEY, "_bucket").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
     offsets = sums.select(_KEY, "_bucket", *[
@@ -81,7 +87,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str,
     """
     counts = (_keyed(df.where(F.col(col).isNotNull()), keys)
               .groupBy(_KEY, F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("cnt")))
-    placed = value_positions(counts, "_v")
+    placed = value_positions(counts, "_v", grouped=bool(keys))
     holds = {}
     for name, p in probs.items():
         rank = (F.col("cnt_total") - 1) * F.lit(float(p))

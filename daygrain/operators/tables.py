@@ -103,14 +103,13 @@ def distinct_text(df: DataFrame, keys: Sequence[str], col: str, sep: str = "; ",
     return listed.select(*keys, F.array_join("_names", sep).alias(out or f"{col}_names"))
 
 
-def onehot_values(injury: DataFrame) -> list[str]:
-    """Sorted one-hot names present in the reports: the pivot list.
+def onehot_values(state: DataFrame) -> list[str]:
+    """Sorted one-hot names present in ``daily.injury_state``: the pivot list.
 
     A vocabulary becomes columns, so it must be small; a larger one is an
     error, never a silent cut.
     """
-    names = (injury.select(F.explode("injuries").alias("loc", "sev"))
-             .select(onehot_name("loc", "sev").alias("name")).distinct()
+    names = (state.select(onehot_name("loc", "sev").alias("name")).distinct()
              .limit(MAX_ONEHOT_COLUMNS + 1).collect())
     if len(names) > MAX_ONEHOT_COLUMNS:
         raise ValueError(f"more than {MAX_ONEHOT_COLUMNS} injury flags; pass the names to keep")
