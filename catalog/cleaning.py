@@ -8,7 +8,7 @@ from daygrain.functions import cleaning as C, encoding as E
 from daygrain.functions.text import format_distance, format_value
 from daygrain.operators import daily
 from daygrain.operators.tables import onehot_values, ordered_columns
-from daygrain.sources.dictionary import feature_columns
+from daygrain.sources.dictionary import feature_columns, final_dictionary
 from daygrain.sources.readers import clean_participants
 
 RAW_NUMBER = """CASE k % 5 WHEN 0 THEN 'bad' WHEN 1 THEN 'NaN' WHEN 2 THEN '' ELSE CAST(value AS STRING) END"""
@@ -249,25 +249,25 @@ def suspicious_file_names(spark, sf_dir):
 
 
 @query("stable_column_order", B.with_views("""
-    SELECT CAST(p AS INTEGER) AS position, c AS name FROM (SELECT unnest(['participant_id', 'date', 'total_steps',
-        'srpe_n_sessions', 'srpe_load', 'inj_head_neck__minor', 'inj_left_foot__major', 'inj_left_foot__minor',
-        'zz_extra', 'n_rows']) AS c, unnest(range(9 + 1)) AS p) WHERE (SELECT count(*) FROM ev) > 0"""))
+    hurt AS (SELECT count(DISTINCT (participant_id, d)) AS n FROM injury WHERE foot IS NOT NULL)
+    SELECT CAST(unnest(range(6)) AS INTEGER) AS position, unnest(['participant_id', 'date', 'inj_head_neck__minor',
+        'inj_left_foot__major', 'inj_left_foot__minor', 'zz_extra']) AS "column", unnest([n, n, n, n, n, n]) AS non_missing_rows FROM hurt""",
+    "injury"))
 def stable_column_order(spark, sf_dir):
     injury = B.injury(spark, sf_dir)
     flags = daily.injury_onehots(injury, onehot_values(daily.injury_state(injury)))
-    load = daily.srpe_daily(B.srpe(spark, sf_dir)).select("participant_id", "date", "srpe_load", "srpe_n_sessions")
-    wide = (load.withColumn("zz_extra", F.lit(1)).join(flags, ["participant_id", "date"], "left")
-            .withColumn("total_steps", F.lit(0.0)).withColumn("n_rows", F.lit(1)))
-    ordered = wide.select(*ordered_columns(wide))
-    return spark.createDataFrame([(i, c) for i, c in enumerate(ordered.columns)], "position int, name string")
+    wide = flags.select(F.lit(1).alias("zz_extra"), *reversed(flags.columns))
+    return final_dictionary(wide.select(*ordered_columns(wide))).select("position", "column", "non_missing_rows")
 
 
 @query("model_columns", B.with_views("""
-    SELECT c AS name FROM (SELECT unnest(['readiness_same_day', 'n_wellness_rows', 'submission_hour',
-        'delayed_flag_ge12']) AS c) WHERE (SELECT count(*) FROM ev) > 0"""))
+    r AS (SELECT participant_id, d, count(*) AS n, arg_max_null(CASE WHEN readiness BETWEEN 1 AND 10 THEN readiness END, seq) AS ready
+          FROM wellness GROUP BY 1, 2)
+    SELECT unnest(['readiness_same_day', 'n_wellness_rows', 'submission_hour', 'delayed_flag_ge12']) AS "column",
+        unnest([count(ready), count(*), count(*), count(*)]) AS non_missing_rows FROM r""", "wellness"))
 def model_columns(spark, sf_dir):
     day = daily.wellness_daily(B.wellness(spark, sf_dir))
-    return spark.createDataFrame([(c,) for c in feature_columns(day)], "name string")
+    return final_dictionary(day.select(*feature_columns(day))).select("column", "non_missing_rows")
 
 
 @query("unit_conversions", f"""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import bindings as B
 from catalog.registry import query
 from daygrain.operators import evaluation as E, features as X, model as M
+from daygrain.operators.missing import coverage
 from daygrain.plans import evaluation as P
 
 rnd = B.rnd
@@ -137,16 +138,19 @@ def fold_split_rows(spark, sf_dir):
     return out
 
 
-@query("resolved_feature_sets", """
-    SELECT s AS feature_set, CAST(i AS INTEGER) AS position, c AS feature FROM (
-        SELECT 'S1_tier1' AS s, unnest(['l_discount', 'l_quantity', 'l_tax']) AS c, unnest([0, 1, 2]) AS i
+@query("resolved_feature_sets", f"""WITH {LINES_SQL},
+    s AS (SELECT 'S1_tier1' AS feature_set, unnest(['l_discount', 'l_quantity', 'l_tax']) AS feature, unnest([0, 1, 2]) AS i
         UNION ALL SELECT 'S2_tier1_2', unnest(['l_quantity', 'l_tax']), unnest([0, 1])
-        UNION ALL SELECT 'S3_minimal', unnest(['l_tax']), unnest([0])) WHERE (SELECT count(*) FROM lineitem) > 0""")
+        UNION ALL SELECT 'S3_minimal', unnest(['l_tax']), unnest([0])),
+    c AS (SELECT unnest(['l_discount', 'l_quantity', 'l_tax']) AS feature,
+        unnest([count(l_discount), count(l_quantity), count(l_tax)]) / count(*)::DOUBLE AS coverage FROM lines)
+    SELECT feature_set, CAST(i AS INTEGER) AS position, feature, {rnd('coverage', 9)} AS coverage FROM s JOIN c USING (feature)""")
 def resolved_feature_sets(spark, sf_dir):
     rows = lines(spark, sf_dir)
     x = ["l_discount", "l_extendedprice", "l_quantity", "l_tax"]
     sets = X.resolve_feature_sets(rows, x, tier1=["l_extendedprice"], tier2=["l_discount"], minimal=["l_tax"])
-    return X.feature_set_table(sets, rows)
+    known = coverage(rows, x).withColumnRenamed("column", "feature")
+    return X.feature_set_table(sets, rows).join(known, "feature").withColumn("coverage", F.round("coverage", 9))
 
 
 @query("group_means", f"""WITH {LINES_SQL}

@@ -281,13 +281,14 @@ def estimate_table_upsert(spark, sf_dir):
 
 
 @query("data_dictionary", B.with_views("""
-    SELECT c AS "column", s AS source, u AS used_in_x FROM (SELECT unnest(['participant_id', 'date', 'n_nights', 'n_naps',
-        'has_sleep_record', 'is_classic', 'deep_pct']) AS c, unnest(['key', 'key', 'sleep', 'sleep', 'coverage', 'sleep', 'sleep']) AS s,
-        unnest([0, 0, 1, 1, 1, 1, 1]) AS u) WHERE (SELECT count(*) FROM ev) > 0"""))
+    c AS (SELECT count(DISTINCT (participant_id, d)) AS n FROM sleep)
+    SELECT unnest(['participant_id', 'date', 'n_nights', 'n_naps', 'has_sleep_record']) AS "column",
+        unnest(['key', 'key', 'sleep', 'sleep', 'coverage']) AS source, unnest([0, 0, 1, 1, 1]) AS used_in_x,
+        unnest([n, n, n, n, n]) AS non_missing_rows FROM c""", "sleep"))
 def data_dictionary(spark, sf_dir):
-    day = daily.sleep_daily(B.sleep(spark, sf_dir)).select(
-        "participant_id", "date", "n_nights", "n_naps", "has_sleep_record", "is_classic", "deep_pct")
-    return dictionary.data_dictionary(day).select("column", "source", "used_in_x")
+    day = daily.sleep_daily(B.sleep(spark, sf_dir)).select("participant_id", "date", "n_nights", "n_naps", "has_sleep_record")
+    counts = dictionary.final_dictionary(day).select("column", "non_missing_rows")
+    return dictionary.data_dictionary(day).join(counts, "column").select("column", "source", "used_in_x", "non_missing_rows")
 
 
 @query("final_dictionary_counts", B.with_views("""

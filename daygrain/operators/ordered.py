@@ -6,6 +6,9 @@ a key holding a third of the data breaks.  These helpers window inside
 a summary with one row per non-empty chunk, so the largest task sees one chunk.
 Two rows of a key with equal order columns must not exist; callers add a tie
 break to ``order``.
+
+The chunk number stays on the frame while several helpers run in a row
+(``keep_chunk``), so that they share one shuffle by (key, chunk).
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from daygrain.functions.dates import epoch_us
 
 CHUNK_SECONDS = 3600
-_CHUNK = "_chunk"
+CHUNK = "_chunk"
 
 
 def chunk_number(ts: Column | str, seconds: int = CHUNK_SECONDS) -> Column:
@@ -25,41 +28,45 @@ def chunk_number(ts: Column | str, seconds: int = CHUNK_SECONDS) -> Column:
     return F.floor(epoch_us(ts) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def _chunked(df: DataFrame, ts: str, seconds: int) -> DataFrame:
+    """Add the chunk number unless an earlier helper left it there."""
+    return df if CHUNK in df.columns else df.withColumn(CHUNK, chunk_number(ts, seconds))
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
-                  values: dict[str, str], seconds: int = CHUNK_SECONDS) -> DataFrame:
+                  values: dict[str, str], seconds: int = CHUNK_SECONDS,
+                  keep_chunk: bool = False) -> DataFrame:
     """Add columns of the preceding row of the same key (NULL on the first).
 
     ``values`` maps new column names to the source columns they lag.
     """
-    keys, order = list(keys), list(order)
+    by, order = [*keys, CHUNK], list(order)
     packed = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
-    chunked = df.withColumn(_CHUNK, chunk_number(ts, seconds))
-    tails = (chunked.groupBy(*keys, _CHUNK)
-             .agg(F.max_by(packed, F.struct(*order)).alias("_tail")))
+    chunked = _chunked(df, ts, seconds)
+    tails = chunked.groupBy(*by).agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
     carry = tails.select(
-        *keys, _CHUNK,
-        F.lag("_tail").over(Window.partitionBy(*keys).orderBy(_CHUNK)).alias("_carry"))
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    joined = chunked.join(carry, [*keys, _CHUNK], "left")
+        *by, F.lag("_tail").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_carry"))
+    inside = Window.partitionBy(*by).orderBy(*order)
     previous = F.coalesce(F.lag(packed).over(inside), F.col("_carry"))
-    return (joined.withColumn("_previous", previous)
-            .withColumns({new: F.col("_previous").getField(new) for new in values})
-            .drop(_CHUNK, "_carry", "_previous"))
+    out = (chunked.join(carry, by, "left").withColumn("_previous", previous)
+           .withColumns({new: F.col("_previous").getField(new) for new in values})
+           .drop("_carry", "_previous"))
+    return out if keep_chunk else out.drop(CHUNK)
 
 
 def with_running_sum(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
                      value: Column, out: str, seconds: int = CHUNK_SECONDS) -> DataFrame:
     """Add the inclusive running sum of ``value`` per key."""
-    keys, order = list(keys), list(order)
-    chunked = df.withColumn(_CHUNK, chunk_number(ts, seconds)).withColumn("_value", value)
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (chunked.groupBy(*keys, _CHUNK).agg(F.sum("_value").alias("_sum"))
-               .select(*keys, _CHUNK, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")))
-    inside = (Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    by = [*keys, CHUNK]
+    chunked = _chunked(df, ts, seconds).withColumn("_value", value)
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (chunked.groupBy(*by).agg(F.sum("_value").alias("_sum"))
+               .select(*by, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")))
+    inside = (Window.partitionBy(*by).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0))
-    return (chunked.join(offsets, [*keys, _CHUNK], "left")
+    return (chunked.join(offsets, by, "left")
             .withColumn(out, F.col("_offset") + F.sum("_value").over(inside))
-            .drop(_CHUNK, "_value", "_offset"))
+            .drop(CHUNK, "_value", "_offset"))
 
 
 def with_position(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],

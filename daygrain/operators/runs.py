@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daygrain.functions.dates import epoch_us, minute, minute_of_day, seconds_between
-from daygrain.operators.ordered import CHUNK_SECONDS, with_previous, with_running_sum
+from daygrain.operators.ordered import CHUNK, CHUNK_SECONDS, with_previous, with_running_sum
 from daygrain.operators.stats import exact_quantiles
 from daygrain.session import cut_lineage
 
@@ -45,7 +45,12 @@ def gap_profile(gap_table: DataFrame, keys: Sequence[str], col: str = "gap_s") -
 def burst_starts(events: DataFrame, keys: Sequence[str], ts: str, ident: str,
                  seconds: float = BURST_SECONDS) -> DataFrame:
     """Mark the first event of every burst (gap to the previous one > seconds)."""
-    out = with_previous(events.where(F.col(ts).isNotNull()), keys, ts, [ts, ident], {"_prev": ts})
+    return _marked(events, keys, ts, ident, seconds).drop(CHUNK)
+
+
+def _marked(events: DataFrame, keys: Sequence[str], ts: str, ident: str, seconds: float) -> DataFrame:
+    out = with_previous(events.where(F.col(ts).isNotNull()), keys, ts, [ts, ident], {"_prev": ts},
+                        keep_chunk=True)
     first = F.col("_prev").isNull() | (seconds_between("_prev", ts) > seconds)
     return out.withColumn("is_start", first.cast("int")).drop("_prev")
 
@@ -57,9 +62,8 @@ def burst_groups(events: DataFrame, keys: Sequence[str], ts: str, ident: str,
     Put the day into ``keys`` to cut bursts at midnight.  Events without a
     timestamp belong to no burst and are left out.
     """
-    marked = burst_starts(events, keys, ts, ident, seconds)
-    return with_running_sum(marked, keys, ts, [ts, ident], F.col("is_start"), "burst",
-                            CHUNK_SECONDS).drop("is_start")
+    marked = _marked(events, keys, ts, ident, seconds)
+    return with_running_sum(marked, keys, ts, [ts, ident], F.col("is_start"), "burst").drop("is_start")
 
 
 def burst_representatives(groups: DataFrame, keys: Sequence[str], ts: str, ident: str) -> DataFrame:
@@ -73,7 +77,7 @@ def burst_representatives(groups: DataFrame, keys: Sequence[str], ts: str, ident
 def runs(df: DataFrame, keys: Sequence[str], ts: str, ident: str, flag: str) -> DataFrame:
     """Run-length encoding: start, end and length of each run of true flags."""
     keys, order = list(keys), [ts, ident]
-    lagged = with_previous(df, keys, ts, order, {"_before": flag})
+    lagged = with_previous(df, keys, ts, order, {"_before": flag}, keep_chunk=True)
     begins = (F.col(flag) & ~F.coalesce("_before", F.lit(False))).cast("int")
     numbered = with_running_sum(lagged, keys, ts, order, begins, "run")
     return (numbered.where(F.col(flag)).groupBy(*keys, "run")
@@ -112,14 +116,15 @@ def nonwear_daily(steps: DataFrame, hr: DataFrame, spine: DataFrame,
     """
     worn = (_worn_minutes(steps, hr)
             .select("participant_id", F.to_date("minute").alias("date"), minute_of_day("minute").alias("_m")))
+    # The day's edge comes from the spine, so days off the spine are the ones without it.
     edge = spine.select("participant_id", "date", F.lit(-1).alias("_m"))
     by_day = Window.partitionBy("participant_id", "date").orderBy("_m")
     run = F.lead("_m", 1, DAY_MINUTES).over(by_day) - F.col("_m") - 1
-    in_days = worn.join(spine.select("participant_id", "date"), ["participant_id", "date"], "left_semi")
-    unworn = (in_days.unionByName(edge).withColumn("_run", run)
+    unworn = (worn.unionByName(edge).withColumn("_run", run)
               .groupBy("participant_id", "date")
-              .agg(F.coalesce(F.sum(F.when(F.col("_run") >= min_run, F.col("_run"))), F.lit(0))
-                   .alias("nonwear_min")))
+              .agg(F.min("_m").alias("_edge"),
+                   F.coalesce(F.sum(F.when(F.col("_run") >= min_run, F.col("_run"))), F.lit(0))
+                   .alias("nonwear_min")).where(F.col("_edge") == -1))
     return unworn.select("participant_id", "date", "nonwear_min",
                          F.round(F.col("nonwear_min") / 60, 2).alias("nonwear_hours"),
                          (F.col("nonwear_min") > 0).cast("int").alias("has_nonwear"))
