@@ -52,8 +52,7 @@ def rows_of(names, rows):
     return sorted(out, key=lambda r: tuple((v is None, str(type(v)), str(v)) for v in r))
 
 
-def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> str:
-    df = fn(spark, sf_dir)
+def compare(con, df, sql: str | None) -> str:
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
         return f"rows {len(got)}"
@@ -74,9 +73,13 @@ def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> str:
 def main() -> None:
     from catalog import ORACLE_SQL, QUERIES
     from daygrain.session import build_session
-    args = [a for a in sys.argv[1:] if a != "--exact"]
+    args = [a for a in sys.argv[1:] if not a.startswith("--")]
     sf_dir = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
-    spark = build_session("check", "local[8]", 8)
+    if "--plain" in sys.argv:  # a session without the library's settings
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = build_session("check", "local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = 0
@@ -85,7 +88,7 @@ def main() -> None:
             continue
         began = time.time()
         try:
-            verdict = compare(spark, con, sf_dir, name, fn, ORACLE_SQL.get(name))
+            verdict = compare(con, fn(spark, sf_dir), ORACLE_SQL.get(name))
         except Exception as error:  # report and go on with the next query
             verdict = f"ERROR {type(error).__name__}: {str(error)[:600]}"
         bad = not verdict.startswith(("ok", "rows"))
