@@ -38,12 +38,18 @@ def with_previous(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[s
                   keep_chunk: bool = False) -> DataFrame:
     """Add columns of the preceding row of the same key (NULL on the first).
 
-    ``values`` maps new column names to the source columns they lag.
+    ``values`` maps new column names to the source columns they lag.  Lagging
+    only the time stamp needs just the latest stamp of each chunk, which stays
+    in a hash aggregate.
     """
     by, order = [*keys, CHUNK], list(order)
     packed = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
     chunked = _chunked(df, ts, seconds)
-    tails = chunked.groupBy(*by).agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
+    if set(values.values()) == {ts}:
+        latest = chunked.groupBy(*by).agg(F.max(ts).alias("_ts"))
+        tails = latest.select(*by, F.struct(*[F.col("_ts").alias(new) for new in values]).alias("_tail"))
+    else:
+        tails = chunked.groupBy(*by).agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
     carry = tails.select(
         *by, F.lag("_tail").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_carry"))
     inside = Window.partitionBy(*by).orderBy(*order)

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "daygrain", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None,
+                  driver_memory: str | None = None) -> SparkSession:
     """A session with the settings the library relies on.
 
     Shuffle partitions are only set when asked for: on a cluster AQE coalesces
     from ``spark.sql.adaptive.coalescePartitions.initialPartitionNum``.
+    ``driver_memory`` sizes the single JVM of a local master.
     """
     builder = (SparkSession.builder.appName(app)
                .config("spark.sql.session.timeZone", "UTC")
@@ -23,6 +25,8 @@ def build_session(app: str = "daygrain", master: str | None = None,
                .config("spark.ui.showConsoleProgress", "false"))
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
