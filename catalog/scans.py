@@ -4,8 +4,6 @@ The export goes to the shared folder of the session (``spark.checkpoint.dir``)
 and is the whole table, so the scans see as much as the table holds.
 """
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from catalog import bindings as B
@@ -13,7 +11,7 @@ from catalog.aggregates import MACRO_KEYS_SQL
 from catalog.registry import query
 from daygrain.functions import dates as D
 from daygrain.operators import daily
-from daygrain.session import checkpoint_dir
+from daygrain.session import scratch_dir
 from daygrain.sources import dictionary, readers as R, sinks
 
 RAW_VALUE = "CASE k % 9 WHEN 0 THEN 'n/a' WHEN 1 THEN NULL ELSE CAST(value AS STRING) END"
@@ -21,7 +19,7 @@ RAW_VALUE = "CASE k % 9 WHEN 0 THEN 'n/a' WHEN 1 THEN NULL ELSE CAST(value AS ST
 
 def scratch(spark) -> str:
     """A new folder below the shared one."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    return scratch_dir(spark, "export")
 
 
 def export(df, file: str) -> str:

@@ -218,24 +218,21 @@ def pair_counts_within(events: DataFrame, key: str, ts: str, seconds: float) ->
             .groupBy(key).agg(F.sum("_pairs").alias("n_pairs")))
 
 
-def components(edges: DataFrame, vertices: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Connected components; the smallest vertex is the root.
 
     ``edges``: src, dst; ``vertices``: node.  Alternates large-star and
-    small-star rounds, which need O(log n) rounds in practice even on long
-    chains.  Each round is one min-aggregation (folded map-side) and one join;
+    small-star rounds until nothing changes, which takes O(log n) rounds in
+    practice even on long chains.  Each round is one min-aggregation (folded map-side) and one join;
     lineage is cut into the shared checkpoint folder.
     """
     hubs = (edges.where(F.col("src") != F.col("dst"))
             .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     hubs = cut_lineage(hubs)
-    for _ in range(max_rounds):
-        before = _signature(hubs)
+    after, before = _signature(hubs), None
+    while after != before:
         hubs = cut_lineage(_small_star(_large_star(hubs)))
-        if _signature(hubs) == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        after, before = _signature(hubs), after
     roots = hubs.groupBy("u").agg(F.min("v").alias("_root"))
     return (vertices.select("node").distinct().join(roots, F.col("node") == F.col("u"), "left")
             .select("node", F.coalesce("_root", "node").alias("component")))

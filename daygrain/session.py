@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,22 +35,53 @@ def build_session(app: str = "daygrain", master: str | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and scratch tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local master,
-    where driver and executors share one disk, falls back to a new temporary
-    folder; anywhere else an unset folder is an error.
+    The cluster names it in ``spark.checkpoint.dir``; a session without that
+    setting names it with ``sparkContext.setCheckpointDir``.  Driver and
+    executors must share the folder, so none is made up here: an unset folder
+    is an error on every master.
     """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = context.getCheckpointDir()
-    if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", configured)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir, or call sparkContext.setCheckpointDir, "
+                           "with a folder that all executors share")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured
+        context.setCheckpointDir(folder)
+    return folder
+
+
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch_dir(spark: SparkSession, prefix: str = "scratch") -> str:
+    """A new path below the shared folder, deleted when the driver program ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+@atexit.register
+def remove_scratch() -> None:
+    """Delete the scratch folders through the file system that holds them."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        try:
+            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        except Exception:  # the session is gone: the folder is left to its owner
+            continue
+
+
+def stored(df: DataFrame, prefix: str = "scratch") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back.
+
+    The rows survive lost executors, are computed once however often they are
+    used, and columns that are not asked for are not read.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, prefix)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
