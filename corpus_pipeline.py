@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daygrain.llm import exact_dedup, toxicity
+from daygrain.llm import decontamination, exact_dedup, mixing, simhash, toxicity
 from daygrain.session import stored
 
 Docs = DataFrame
@@ -22,7 +22,25 @@ def drop_copies(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """Of documents whose fingerprints link, the one with the smallest id stays."""
+    return simhash.near_dedup(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """Documents that hold a window of a benchmark item go."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: Docs, sf_dir: str) -> DataFrame:
+    """Every document at least once, small sources repeated to their weight; columns ``epoch`` and ``mix_key``."""
+    return mixing.mix(docs, min_entropy=MIN_ENTROPY, max_repetition=MAX_REPETITION)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("simhash", drop_near_copies),
+          ("decontamination", drop_contaminated), ("mixing", mix_sources)]
+
+MIN_ENTROPY, MAX_REPETITION = 0.95, 2.0
 
 #: The first stage is a fitted model, which SQL cannot express.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daygrain.llm import chat, exact_dedup, toxicity
+from daygrain.llm import chat, decontamination, exact_dedup, mixing, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,6 +53,18 @@ def op2_exact_dedup(spark, sf_dir):
                         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+#: The mix of the query and of the pipeline.
+MIX = {"min_entropy": 0.95, "max_repetition": 2.0}
+
+
+@query("op3_temperature_mixing")
+def op3_temperature_mixing(spark, sf_dir):
+    counted, ruled = mixing.planned(table(spark, sf_dir, "documents"), **MIX)
+    rows = counted.alias("c").join(ruled.alias("q"), F.col("c.source").eqNullSafe(F.col("q.source")))
+    return rows.select(F.col("c.id").alias("doc_id"), F.col("c.source").alias("source"), F.col("tokens").alias("n_tokens"),
+                       "weight", mixing.copies(F.col("place")).alias("copies"), "place")
+
+
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -80,3 +92,37 @@ def op4_chat_formatting(spark, sf_dir):
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SQL_WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), "
+             "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+
+@query("op7_benchmark_decontamination", f"""
+    WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+    i AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[a:a + least(10, len(w)) - 1], ' ') AS s
+           FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS a FROM i WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT n FROM iw),
+    dw AS (SELECT doc_id, n, a, array_to_string(w[a:a + n - 1], ' ') AS s
+           FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS a FROM d, sizes)),
+    m AS (SELECT doc_id, item_id, a, n FROM dw JOIN iw USING (n, s)),
+    hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(generate_series(a, a + n - 1)) AS p FROM m) GROUP BY 1),
+    it AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s
+           FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""")
+def op7_benchmark_decontamination(spark, sf_dir):
+    found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark, sf_dir):
+    found = simhash.near_copies(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
