@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daygrain.llm import chat, decontamination, exact_dedup, mixing, simhash, toxicity
+from daygrain.llm import chat, decontamination, exact_dedup, licenses, mixing, simhash, token_counts, toxicity
+from daygrain.session import scratch_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -126,3 +127,61 @@ def op7_benchmark_decontamination(spark, sf_dir):
 def op9_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_copies(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+_TEMPLATES = ", ".join(f"({i}, '{label}', {sorted(set(text.split()))!r})" for i, (label, text) in enumerate(licenses.TEMPLATES))
+_PHRASES = ", ".join(f"('{label}', {phrase.split()!r})" for phrase, label in licenses.PHRASES.items())
+
+
+@query("op8_license_scan", f"""
+    WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+    p(label, q) AS (VALUES {_PHRASES}),
+    hits AS (SELECT doc_id, label, a - 1 AS a FROM (
+                 SELECT doc_id, w, label, q, unnest(generate_series(1, len(w) - len(q) + 1)) AS a FROM d, p)
+             WHERE w[a:a + len(q) - 1] = q),
+    base AS (SELECT doc_id, count(*) AS n_base, min(a) AS first_word, max(a) AS last_word,
+                    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY 1),
+    t(template, label, q) AS (VALUES {_TEMPLATES}),
+    b AS (SELECT doc_id, w[s + 1:s + {licenses.BLOCK}] AS block FROM (
+              SELECT doc_id, w, unnest(generate_series(0, len(w) - 1, {licenses.STRIDE})) AS s FROM d)),
+    m AS (SELECT doc_id, label, len(list_intersect(q, block)) AS k, len(q) AS n FROM b, t
+          WHERE len(list_intersect(q, block)) >= ceil({licenses.CONTAINMENT} * len(q) - 1e-9)),
+    labelled AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+                 FROM (SELECT doc_id, label FROM m UNION ALL SELECT doc_id, label FROM hits) GROUP BY 1),
+    best AS (SELECT doc_id, max(CAST(k AS DOUBLE) / n) AS share FROM m GROUP BY 1)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+           coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+           CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+    FROM d LEFT JOIN base USING (doc_id) LEFT JOIN labelled USING (doc_id) LEFT JOIN best USING (doc_id)""")
+def op8_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
+                        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"),
+                        "score")
+
+
+_COUNTS = " UNION ALL ".join(
+    f"SELECT source, lang, '{version}' AS tokenizer, len(regexp_extract_all(t, '{pattern}')) AS n FROM d"
+    for version, pattern in token_counts.PATTERNS.items())
+
+
+@query("op5_token_counts", f"""
+    WITH q AS (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY 1),
+    d AS (SELECT CASE WHEN quality = 1 THEN 'curated' ELSE source END AS source, lang, coalesce(text, '') AS t
+          FROM documents LEFT JOIN q USING (doc_id) WHERE coalesce(toxic, 0) <> 1),
+    c AS ({_COUNTS})
+    SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY 1, 2, 3""")
+def op5_token_counts(spark, sf_dir):
+    """Load all documents; move those of good quality to a source of their own; delete the toxic ones; load again."""
+    counts = stored(token_counts.counted(table(spark, sf_dir, "documents")), "counts")
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(
+        F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    load = counts.select(F.lit("upsert").alias("op"), "*", F.lit(0).alias("seq"))
+    good = counts.join(labels.where("quality = 1").select("id"), "id", "left_semi")
+    toxic = counts.join(labels.where("toxic = 1").select("id"), "id", "left_semi")
+    changed = (good.withColumns({"source": F.lit("curated"), "op": F.lit("upsert"), "seq": F.lit(1)})
+               .unionByName(toxic.withColumns({"op": F.lit("delete"), "seq": F.lit(2)})))
+    ledger = token_counts.Ledger(spark, scratch_dir(spark, "ledger"))
+    for batch, changes in (("load", load), ("labels", changed), ("load", load)):
+        ledger.commit(batch, changes)
+    return ledger.totals()
