@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daygrain.llm import chat, decontamination, exact_dedup, licenses, mixing, simhash, token_counts, toxicity
+from daygrain.llm import chat, decontamination, exact_dedup, licenses, mixing, simhash, substring_dedup, token_counts, toxicity
 from daygrain.session import scratch_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +185,9 @@ def op5_token_counts(spark, sf_dir):
     for batch, changes in (("load", load), ("labels", changed), ("load", load)):
         ledger.commit(batch, changes)
     return ledger.totals()
+
+
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark, sf_dir):
+    found = substring_dedup.passages(table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"doc": "doc_id", "ref": "ref_doc_id"})
