@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daygrain.llm import chat, decontamination, exact_dedup, licenses, mixing, simhash, substring_dedup, token_counts, toxicity
+from daygrain.llm import chat, decontamination, exact_dedup, licenses, mixing, pseudo_likelihood, simhash, substring_dedup, token_counts, toxicity
 from daygrain.session import scratch_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,3 +191,10 @@ def op5_token_counts(spark, sf_dir):
 def op6_substring_dedup(spark, sf_dir):
     found = substring_dedup.passages(table(spark, sf_dir, "documents"))
     return found.withColumnsRenamed({"doc": "doc_id", "ref": "ref_doc_id"})
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
+    return scored.withColumnRenamed("id", "doc_id")
