@@ -15,7 +15,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A-Z become a-z; control characters, spaces and ASCII punctuation become 0.
 PLAIN = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 0
@@ -50,6 +50,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Whole rows as one column ``_row`` beside some keys, so that no name of theirs clashes with a name used here."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       *[column.alias(name) for name, column in keys.items()])
+
+
 def plain_words(text: bytes) -> list[bytes]:
     """The words of one text as bytes."""
     return text.translate(PLAIN_SPACES).split()

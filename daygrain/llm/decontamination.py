@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from daygrain.llm.common import hashed_words, plain_words, ship, utf8
+from daygrain.llm.common import hashed_words, packed, plain_words, ship, utf8
 from daygrain.session import stored
 
 WINDOW = 10
@@ -223,4 +223,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """``docs`` without the documents that hold a window of a test item; rows without an id go together."""
     found = matches(docs, items, id_col, text_col, size=size)
     gone = found.where("n_hit > 0").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return (packed(docs, _id=F.col(id_col)).join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+            .select("_row.*"))

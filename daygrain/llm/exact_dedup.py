@@ -29,6 +29,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from daygrain.llm.common import packed
 from daygrain.session import stored
 
 BLOCK_POINTS = 4096
@@ -120,8 +121,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = classes(docs, id_col, text_col, block_points)
     stays = found.where(F.col("id").eqNullSafe(F.col("keep_id"))).select(
         F.col("id").alias("_k_id"), F.col("sha").alias("_k_sha")).distinct()
-    keyed = docs.withColumn("_sha", F.sha2(without_blanks(F.col(text_col)), 256)).withColumn(
-        "_points", F.length(F.col(text_col)))
-    kept = keyed.join(stays, F.col(id_col).eqNullSafe(F.col("_k_id")) & (F.col("_sha") == F.col("_k_sha")), "left_semi")
-    once = Window.partitionBy(id_col, "_sha").orderBy(F.col("_points").desc())
-    return kept.withColumn("_rank", F.row_number().over(once)).where("_rank = 1").select(*docs.columns)
+    keyed = packed(docs, id=F.col(id_col), sha=F.sha2(without_blanks(F.col(text_col)), 256),
+                   points=F.length(F.col(text_col)))
+    kept = keyed.join(stays, keyed["id"].eqNullSafe(stays["_k_id"]) & (keyed["sha"] == stays["_k_sha"]), "left_semi")
+    once = Window.partitionBy("id", "sha").orderBy(F.col("points").desc())
+    return kept.withColumn("rank", F.row_number().over(once)).where("rank = 1").select("_row.*")

@@ -43,7 +43,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from daygrain.llm.common import ship, utf8
+from daygrain.llm.common import packed, ship, utf8
 from daygrain.operators.runs import components
 from daygrain.session import stored
 
@@ -267,4 +267,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_copies(docs, id_col, text_col, radius)
     gone = (found.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("_gone"))
             .agg(F.max(F.col("id") == F.col("component_id")).alias("_stays")).where(~F.col("_stays")))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return packed(docs, _id=F.col(id_col)).join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
