@@ -13,7 +13,8 @@ def rows(texts):
             for i, t in texts]
 
 
-LONG = " ".join(random.Random(5).choice("abcdefgh") * k for k in range(1, 40) for _ in range(60))
+RANDOM = random.Random(5)
+LONG = " ".join(RANDOM.choice("abcdefgh") * k for k in range(1, 40) for _ in range(60))
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "Two words"), (6, "two  words"), (6, "two  words"), (7, LONG),
        (8, LONG + " end"), (9, LONG), (None, "no id"), (None, None), (10, "ünï¢ödé 漢字 \U0001F600 x"), (11, "a b c d e f g h i j k l"),
        (12, "A  b c d e f g h i j k l"), (13, "%%% *** !!!")]
