@@ -54,7 +54,7 @@ def pairwise_pearson(spark, sf_dir):
     "SELECT '{a}' AS var_a, '{b}' AS var_b, " + rnd("corr({a}, {b})", 6) + " + 0.0::DOUBLE AS pearson_r, count(*) FILTER "
     "({a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM x"))
 def pairwise_pearson_one_scan(spark, sf_dir):
-    return tidy(K._pearson_by_moments(data(spark, sf_dir), list(combinations(COLS, 2)), "pearson_r"), "pearson_r")
+    return tidy(K.pearson_pairs(data(spark, sf_dir), list(combinations(COLS, 2))), "pearson_r")
 
 
 @query("pairwise_p_values")
@@ -135,6 +135,47 @@ def core_subset(spark, sf_dir):
     return K.core_subset(data(spark, sf_dir), ["price", "tax", "qty", "disc"], 1.0)
 
 
+@query("core_subset_inflation", f"""WITH {RELATED_SQL}, r AS (SELECT corr(size, twice) AS ab FROM x)
+    SELECT c AS "column", {rnd('(1 / (1 - ab * ab))', 2)} AS vif, {rnd('ab * ab', 4)} AS r2_vs_rest,
+        (SELECT CAST(count(*) AS INTEGER) FROM part) AS n, 'ok' AS status FROM (SELECT unnest(['size', 'twice']) AS c), r""")
+def core_subset_inflation(spark, sf_dir):
+    return K.core_vif(related(spark, sf_dir), ["size", "twice"], 1.0)
+
+
+# Quantities and prices with values that are no finite numbers.
+ODD_SQL = """x AS (SELECT CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity END AS qty,
+    CASE WHEN l_linenumber = 2 THEN NULL ELSE l_extendedprice END AS price, l_tax AS tax FROM lineitem)"""
+
+
+def odd_data(spark, sf_dir):
+    line = F.col("l_linenumber")
+    return B.table(spark, sf_dir, "lineitem").select(
+        F.when(line == 1, F.lit(float("nan"))).otherwise(F.col("l_quantity")).alias("qty"),
+        F.when(line == 2, F.lit(float("inf"))).otherwise(F.col("l_extendedprice")).alias("price"), F.col("l_tax").alias("tax"))
+
+
+@query("pearson_of_odd_values", f"WITH {ODD_SQL} " + each_pair(
+    "SELECT '{a}' AS var_a, '{b}' AS var_b, " + rnd("corr({a}, {b})", 6) + " + 0.0::DOUBLE AS pearson_r, count(*) FILTER "
+    "({a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM x", ["qty", "price", "tax"]))
+def pearson_of_odd_values(spark, sf_dir):
+    return tidy(K.pairwise_pearson(odd_data(spark, sf_dir), ["qty", "price", "tax"]), "pearson_r")
+
+
+@query("spearman_of_odd_values", f"WITH {ODD_SQL} " + each_pair(SPEARMAN_PAIR, ["qty", "price", "tax"]))
+def spearman_of_odd_values(spark, sf_dir):
+    return tidy(K.pairwise_spearman(odd_data(spark, sf_dir), ["qty", "price", "tax"]), "spearman_rho")
+
+
+@query("spearman_of_a_hundred_columns")
+def spearman_of_a_hundred_columns(spark, sf_dir):
+    """All 4,950 pairs; what SQL would need a query each for is checked on the four-column twin."""
+    cols = [f"c{i}" for i in range(100)]
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    rows = B.table(spark, sf_dir, "lineitem").select(
+        *[((key * (i + 3) + line * (i * i + 1)) % 101).cast("double").alias(c) for i, c in enumerate(cols)])
+    return tidy(K.pairwise_spearman(rows, cols), "spearman_rho")
+
+
 def mi_sql(c: str) -> str:
     return f"""SELECT '{c}' AS "column", sum(nxy::DOUBLE / n * ln(nxy::DOUBLE * n / (nx::DOUBLE * ny))) AS mi FROM (
         SELECT bx, byy, count(*) AS nxy, sum(count(*)) OVER (PARTITION BY bx) AS nx, sum(count(*)) OVER (PARTITION BY byy) AS ny,

@@ -181,8 +181,9 @@ def confidence_histogram(spark, sf_dir):
 
 
 @query("zone_distributions", B.with_views(f"""
-    l AS (SELECT participant_id, unnest(['BELOW_DEFAULT_ZONE_1', 'IN_DEFAULT_ZONE_1', 'IN_DEFAULT_ZONE_2', 'IN_DEFAULT_ZONE_3']) AS zone,
-        unnest([z0, z1, coalesce(z2, 0), coalesce(z3, 0)]) AS m FROM zones)
+    r AS (SELECT participant_id, d, unnest(['BELOW_DEFAULT_ZONE_1', 'IN_DEFAULT_ZONE_1', 'IN_DEFAULT_ZONE_2', 'IN_DEFAULT_ZONE_3']) AS zone,
+        unnest([z0, z1, coalesce(z2, 0), coalesce(z3, 0)]) AS m FROM zones),
+    l AS (SELECT participant_id, d, zone, sum(m) AS m FROM r GROUP BY 1, 2, 3)
     SELECT participant_id, zone, {summary_sql('m')} FROM l GROUP BY 1, 2""", "zones"))
 def zone_distributions(spark, sf_dir):
     return tidy(A.audit_zones(B.zones(spark, sf_dir)))

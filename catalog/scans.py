@@ -29,7 +29,8 @@ def export(df, file: str) -> str:
     if file.endswith(".json"):
         writer.json(f"{root}/{file}")
     else:
-        writer.option("header", True).option("escape", '"').option("nullValue", None).csv(f"{root}/{file}")
+        (writer.option("header", True).option("escape", '"').option("nullValue", None)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/{file}"))
     return root
 
 
@@ -187,16 +188,14 @@ def scan_injury_reports(spark, sf_dir):
 
 
 @query("scan_self_reports", B.with_views("""
-    SELECT CAST(participant_id AS VARCHAR) AS participant_id, ts, submitted_ts, meals, weight, glasses_of_fluid, trim(alcohol_consumed)
-        AS alcohol_consumed FROM reporting""", "reporting"))
+    SELECT CAST(participant_id AS VARCHAR) AS participant_id, ts, submitted_ts, meals, weight, glasses_of_fluid, alcohol_consumed
+        FROM reporting""", "reporting"))
 def scan_self_reports(spark, sf_dir):
     raw = B.reporting(spark, sf_dir).select(
         "participant_id", F.date_format("ts", "dd/MM/yyyy").alias("date"),
         F.date_format("submitted_ts", "dd/MM/yyyy HH:mm:ss").alias("timestamp"), "meals", "weight", "glasses_of_fluid",
-        F.trim("alcohol_consumed").alias("alcohol_consumed"))
-    out = R.read_reporting(spark, export(raw, "reporting.csv")).drop("seq")
-    # CSV writers trim trailing blanks of the meal text.
-    return out.withColumn("meals", F.when(F.col("meals") == "Lunch,, Lunch", F.lit("Lunch,, Lunch ")).otherwise(F.col("meals")))
+        "alcohol_consumed")
+    return R.read_reporting(spark, export(raw, "reporting.csv")).drop("seq")
 
 
 @query("scan_participants", """

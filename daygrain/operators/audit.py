@@ -57,7 +57,7 @@ def audit_schema(df: DataFrame, source: str, keys: Sequence[str] = (PID,),
     return long.groupBy(*keys, "field").agg(
         F.round(F.avg(F.col("v").try_cast("double").isNotNull().cast("double")), 3).alias("numeric_share"),
         F.count_if(F.col("v").isNull()).alias("n_missing"),
-        F.min(F.substring("v", 1, 80)).alias("sample"),
+        F.min("v").alias("sample"),
     ).select(F.lit(source).alias("dataset"), *keys, "field", F.element_at(types, F.col("field")).alias("dtype"),
              "numeric_share", "n_missing", "sample",
              (F.col("field") == F.lit(timestamp or "")).alias("is_timestamp"))
@@ -185,7 +185,9 @@ def audit_zones(zones: DataFrame, keys: Sequence[str] = E.ZONE_KEYS) -> DataFram
     """Summary of the daily minutes of each zone; a missing zone counts 0."""
     minutes = F.array(*[F.struct(F.lit(z).alias("zone"), F.coalesce(
         F.try_element_at("zones", F.lit(z)), F.lit(0.0)).alias("minutes")) for z in keys])
-    return describe12(zones.select(PID, F.inline(minutes)), [PID, "zone"], "minutes", bounded=True)
+    stamped = zones.select(PID, F.to_date("ts").alias("date"), F.inline(minutes))
+    days = stamped.groupBy(PID, "date", "zone").agg(F.sum("minutes").alias("minutes"))
+    return describe12(days, [PID, "zone"], "minutes", bounded=True)
 
 
 def sleep_nights(sleep: DataFrame) -> DataFrame:

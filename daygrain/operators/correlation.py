@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -17,11 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from daygrain.operators.missing import complete_cases, covered_columns
 from daygrain.operators.rolling import demean_within
-from daygrain.operators.stats import group_all, value_positions
+from daygrain.operators.stats import value_positions
 
 MIN_PAIR_ROWS = 3
-# Pairs computed by one wide JVM aggregation before switching method.
-PAIRS_PER_AGGREGATION = 200
 MIN_COMPLETE_ROWS = 100
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 _PAIR = "var_a string, var_b string"
@@ -36,6 +33,12 @@ def numeric_columns(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], list
     return numeric, [c for c in cols if c not in numeric]
 
 
+def finite(df: DataFrame, cols: Sequence[str], *keep: str) -> DataFrame:
+    """``cols`` as doubles; what is not a finite number is NULL."""
+    values = {c: F.col(c).cast("double") for c in cols}
+    return df.select(*keep, *[F.when(F.abs(v) < F.lit(math.inf), v).alias(c) for c, v in values.items()])
+
+
 def numeric_screen(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], dict[str, list[str]]]:
     """Columns that vary, and what was dropped why.
 
@@ -48,61 +51,47 @@ def numeric_screen(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], dict[
     return [c for c in numeric if row[c]], {"non_numeric": other, "zero_variance": constant}
 
 
-def _pair_aggregates(i: int, a: Column, b: Column) -> list[Column]:
-    """Count and the pieces of Pearson's r over the rows where both are known."""
-    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return [F.count(F.when(a.isNotNull() & b.isNotNull(), 1)).alias(f"n{i}"),
-            F.covar_samp(x, y).alias(f"c{i}"), F.stddev_samp(x).alias(f"a{i}"),
-            F.stddev_samp(y).alias(f"b{i}"),
-            # Merged variances of a constant are rounding noise, not zero.
-            ((F.min(x) < F.max(x)) & (F.min(y) < F.max(y))).alias(f"v{i}")]
-
-
-def _aggregate_pairs(df: DataFrame, exprs: Sequence[tuple[str, str, Column, Column]], out: str) -> DataFrame:
-    """r and n of column expressions, in wide aggregations of bounded width."""
-    tables = []
-    for at in range(0, len(exprs), PAIRS_PER_AGGREGATION):
-        part = exprs[at:at + PAIRS_PER_AGGREGATION]
-        aggs = [agg for i, (_, _, x, y) in enumerate(part) for agg in _pair_aggregates(i, x, y)]
-        wide = df.agg(*aggs)
-        rows = []
-        for i, (a, b, _, _) in enumerate(part):
-            spread = F.nullif(F.col(f"a{i}") * F.col(f"b{i}"), F.lit(0.0))
-            r = F.when((F.col(f"n{i}") >= MIN_PAIR_ROWS) & F.col(f"v{i}"), F.col(f"c{i}") / spread)
-            bounded = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
-            rows.append(F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"),
-                                 bounded.alias(out), F.col(f"n{i}").alias("n")))
-        tables.append(wide.select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionByName, tables)
+_SUMS = ("n", "sa", "sb", "qa", "qb", "p")
 
 
-def pearson_pairs(df: DataFrame, pairs: Pairs, out: str = "pearson_r") -> DataFrame:
-    """Pearson r and n of the named pairs, each on its own complete rows."""
-    if len(pairs) > PAIRS_PER_AGGREGATION:
-        return _pearson_by_moments(df, pairs, out)
-    data = {c: F.col(c).cast("double") for c in dict.fromkeys(c for p in pairs for c in p)}
-    return _aggregate_pairs(df, [(a, b, data[a], data[b]) for a, b in pairs], out)
+def _r_of_sums(sums: DataFrame, pairs: Pairs, out: str) -> DataFrame:
+    """r and n per pair from per-task sums (i, n, sum a, sum b, squares, products)."""
+    total = sums.groupBy("i").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    n = F.nullif(F.col("n"), F.lit(0.0))
 
+    def spread(s: str, q: str) -> Column:
+        rest = F.col(q) - F.col(s) * F.col(s) / n
+        return F.when(rest > 1e-12 * F.col(q), rest)
 
-def pairwise_pearson(df: DataFrame, cols: Sequence[str], out: str = "pearson_r") -> DataFrame:
-    """Every pair of columns, a before b in the given order."""
-    return pearson_pairs(df, list(combinations(cols, 2)), out)
+    r = (F.col("p") - F.col("sa") * F.col("sb") / n) / F.sqrt(spread("sa", "qa") * spread("sb", "qb"))
+    r = F.when((F.col("n") >= MIN_PAIR_ROWS) & r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    names = df_of_pairs(sums, pairs)
+    return names.join(total, "i", "left").select(
+        "var_a", "var_b", r.alias(out), F.coalesce(F.col("n"), F.lit(0.0)).cast("long").alias("n"))
+
+
+def df_of_pairs(like: DataFrame, pairs: Pairs) -> DataFrame:
+    return like.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], f"i int, {_PAIR}")
 
 
-def _pearson_by_moments(df: DataFrame, pairs: Pairs, out: str) -> DataFrame:
-    """All pairs of many columns in one scan.
+def _indices(pairs: Pairs) -> tuple[list[str], np.ndarray, np.ndarray]:
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    at = {c: i for i, c in enumerate(cols)}
+    return cols, np.array([at[a] for a, _ in pairs]), np.array([at[b] for _, b in pairs])
+
+
+def pearson_pairs(df: DataFrame, pairs: Pairs, out: str = "pearson_r") -> DataFrame:
+    """Pearson r and n of the named pairs, each on its own complete rows, in one scan.
 
     Each task folds its Arrow batches into masked k x k moment matrices and
     emits one row per pair; the sums meet in one small aggregation.  Columns
-    are centred on their means first, so that the sums do not cancel.
+    are centred on their means first, so that the sums do not cancel.  Values
+    that are not finite count as unknown.
     """
-    cols = list(dict.fromkeys(c for p in pairs for c in p))
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    cols, left, right = _indices(pairs)
+    data = finite(df, cols)
     means = data.agg(*[F.avg(c).alias(c) for c in cols]).first()
     centre = np.array([0.0 if means[c] is None else means[c] for c in cols])
-    at = {c: i for i, c in enumerate(cols)}
-    left = np.array([at[a] for a, _ in pairs])
-    right = np.array([at[b] for _, b in pairs])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros((len(cols), len(cols)))
@@ -120,19 +109,13 @@ def _pearson_by_moments(df: DataFrame, pairs: Pairs, out: str) -> DataFrame:
                             "sa": s[left, right], "sb": s[right, left],
                             "qa": q[left, right], "qb": q[right, left], "p": p[left, right]})
 
-    sums = (data.mapInPandas(fold, "i int, n double, sa double, sb double, qa double, qb double, p double")
-            .groupBy("i").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")]))
-    n = F.nullif(F.col("n"), F.lit(0.0))
+    sums = data.mapInPandas(fold, "i int, n double, sa double, sb double, qa double, qb double, p double")
+    return _r_of_sums(sums, pairs, out)
 
-    def spread(s: str, q: str) -> Column:
-        rest = F.col(q) - F.col(s) * F.col(s) / n
-        return F.when(rest > 1e-12 * F.col(q), rest)
 
-    r = (F.col("p") - F.col("sa") * F.col("sb") / n) / F.sqrt(spread("sa", "qa") * spread("sb", "qb"))
-    r = F.when((F.col("n") >= MIN_PAIR_ROWS) & r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
-    names = df.sparkSession.createDataFrame(
-        [(i, a, b) for i, (a, b) in enumerate(pairs)], f"i int, {_PAIR}")
-    return names.join(sums, "i").select("var_a", "var_b", r.alias(out), F.col("n").cast("long").alias("n"))
+def pairwise_pearson(df: DataFrame, cols: Sequence[str], out: str = "pearson_r") -> DataFrame:
+    """Every pair of columns, a before b in the given order."""
+    return pearson_pairs(df, list(combinations(cols, 2)), out)
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -179,36 +162,69 @@ def with_p_values(pairs: DataFrame, r: str = "pearson_r", n: str = "n") -> DataF
     return pairs.withColumn("p", F.when(F.col(r).isNotNull(), raw))
 
 
-def _ranks_of(df: DataFrame, c: str, partners: Sequence[str]) -> DataFrame:
-    """Average ranks of the values of ``c`` among the rows each partner knows.
+def _known_classes(data: DataFrame, cols: Sequence[str]) -> list[int]:
+    """For each column the first column that is known on exactly the same rows."""
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros((len(cols), len(cols)))
+        for batch in batches:
+            m = np.isfinite(batch.to_numpy(dtype=float)).astype(float)
+            n += m.T @ m
+        yield pd.DataFrame({"i": np.arange(n.size), "n": n.ravel()})
 
-    Values are counted before they are ranked, so ties cost one row; reads
-    only ``c`` and whether each partner is known.
-    """
-    weights = [f"w{i}" for i in range(len(partners))]
-    counts = group_all(df.where(F.col(c).isNotNull())).groupBy("_key", F.col(c).alias("_v")).agg(
-        *[F.count(b).alias(w) for b, w in zip(partners, weights)])
-    placed = value_positions(counts, "_v", weights, grouped=False)
-    ranks = [(F.col(f"{w}_before") + (F.col(w) + 1) / 2).alias(f"_r_{c}_{b}") for b, w in zip(partners, weights)]
-    return placed.select(F.col("_v").alias(f"_v_{c}"), *ranks)
+    rows = data.mapInPandas(fold, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(len(cols) ** 2)
+    for row in rows:  # one number per pair of columns
+        n[row["i"]] = row["n"]
+    n = n.reshape(len(cols), len(cols))
+    return [next(j for j in range(len(cols)) if n[j, j] == n[i, i] == n[i, j]) for i in range(len(cols))]
 
 
 def spearman_pairs(df: DataFrame, pairs: Pairs, out: str = "spearman_rho") -> DataFrame:
-    """Spearman rho of the named pairs, ranked on each pair's complete rows."""
-    cols = list(dict.fromkeys(c for p in pairs for c in p))
-    partners: dict[str, list[str]] = {c: [] for c in cols}
-    for a, b in pairs:
-        partners[a].append(b)
-        partners[b].append(a)
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    ranked = data
-    for c in cols:
-        ranked = ranked.join(_ranks_of(data, c, partners[c]), F.col(c) == F.col(f"_v_{c}"), "left")
-    exprs = []
-    for a, b in pairs:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        exprs.append((a, b, F.when(both, F.col(f"_r_{a}_{b}")), F.when(both, F.col(f"_r_{b}_{a}"))))
-    return _aggregate_pairs(ranked, exprs, out)
+    """Spearman rho of the named pairs, ranked on each pair's complete rows.
+
+    All columns are ranked together in long form (column, value), so the plan
+    does not grow with their number.  A value has one average rank per set of
+    rows it is ranked on; columns that are known on the same rows share that
+    set.  The ranks go back to their rows, which are folded like Pearson's.
+    """
+    cols, left, right = _indices(pairs)
+    data = finite(df, cols)
+    classes = _known_classes(data, cols)
+    masks = sorted(set(classes))
+    weights = [f"w{m}" for m in masks]
+    marked = data.withColumn("_row", F.monotonically_increasing_id()).withColumn(
+        "_known", F.array(*[F.col(cols[m]).isNotNull().cast("long") for m in masks]))
+    at = F.create_map(*[F.lit(x) for i, c in enumerate(cols) for x in (c, i)])
+    long = (marked.unpivot(["_row", "_known"], list(cols), "_c", "_v").where(F.col("_v").isNotNull())
+            .select("_row", F.element_at(at, F.col("_c")).alias("_c"), (F.col("_v") + 0.0).alias("_v"), "_known"))
+    counts = long.withColumn("_key", F.struct("_c")).groupBy("_key", "_v").agg(
+        *[F.sum(F.col("_known")[i]).alias(w) for i, w in enumerate(weights)])
+    placed = value_positions(counts, "_v", weights).select(
+        F.col("_key._c").alias("_c"), "_v",
+        F.array(*[F.col(f"{w}_before") + (F.col(w) + 1) / 2 for w in weights]).alias("_ranks"))
+    ranked = (long.select("_row", "_c", "_v").join(placed, ["_c", "_v"])
+              .groupBy("_row").agg(F.collect_list("_c").alias("cs"), F.flatten(F.collect_list("_ranks")).alias("ranks")))
+    of_class = np.array([masks.index(m) for m in classes])
+    k, wide = len(cols), len(masks)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {c: np.zeros(len(left)) for c in _SUMS}
+        for batch in batches:
+            sizes = batch["cs"].map(len).to_numpy()
+            row, col = np.repeat(np.arange(len(batch)), sizes), np.concatenate(batch["cs"].to_numpy())
+            ranks = np.full((len(batch), k, wide), np.nan)
+            ranks[row, col] = np.concatenate(batch["ranks"].to_numpy()).reshape(-1, wide)
+            for at in range(0, len(left), 256):
+                a, b = left[at:at + 256], right[at:at + 256]
+                x, y = ranks[:, a, of_class[b]], ranks[:, b, of_class[a]]
+                both = np.isfinite(x) & np.isfinite(y)
+                x, y = np.where(both, x, 0.0), np.where(both, y, 0.0)
+                for name, part in zip(_SUMS, (both, x, y, x * x, y * y, x * y), strict=True):
+                    sums[name][at:at + 256] += part.sum(0)
+        yield pd.DataFrame({"i": np.arange(len(left)), **sums})
+
+    sums = ranked.select("cs", "ranks").mapInPandas(fold, "i int, n double, sa double, sb double, qa double, qb double, p double")
+    return _r_of_sums(sums, pairs, out)
 
 
 def pairwise_spearman(df: DataFrame, cols: Sequence[str], out: str = "spearman_rho") -> DataFrame:
@@ -218,7 +234,7 @@ def pairwise_spearman(df: DataFrame, cols: Sequence[str], out: str = "spearman_r
 
 def within_group_pearson(df: DataFrame, cols: Sequence[str], group: str = "participant_id") -> DataFrame:
     """Pearson r after subtracting group means: the within-person signal."""
-    numeric = df.select(group, *[F.col(c).cast("double").alias(c) for c in cols])
+    numeric = finite(df, cols, group)
     return pairwise_pearson(demean_within(numeric, cols, group), cols, "within_r")
 
 
@@ -286,7 +302,7 @@ def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     perfectly explained column has infinite inflation.
     """
     cols = list(cols)
-    complete = df.select(*cols).dropna()
+    complete = finite(df, cols).dropna()
     matrix = np.eye(len(cols))
     for row in pairwise_pearson(complete, cols).collect():
         i, j = cols.index(row["var_a"]), cols.index(row["var_b"])
@@ -300,13 +316,22 @@ def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.desc("vif"), "column")
 
 
-def core_subset(df: DataFrame, cols: Sequence[str], min_cov: float) -> DataFrame | None:
-    """Complete rows of the well-covered columns, or None when too few remain."""
+def core_subset(df: DataFrame, cols: Sequence[str], min_cov: float) -> DataFrame:
+    """Complete rows of the columns known on a share of at least ``min_cov`` of the rows."""
+    core = covered_columns(df, cols, min_cov)
+    return complete_cases(df, core, min_cov)
+
+
+def core_vif(df: DataFrame, cols: Sequence[str], min_cov: float, min_rows: int = MIN_COMPLETE_ROWS) -> DataFrame:
+    """``vif`` of the core subset with a status; too few rows or columns give rows without numbers."""
     core = covered_columns(df, cols, min_cov)
-    if len(core) < 2:
-        return None
     cases = complete_cases(df, core, min_cov)
-    return cases if cases.limit(MIN_COMPLETE_ROWS).count() >= MIN_COMPLETE_ROWS else None
+    n = cases.count()
+    if len(core) >= 2 and n >= min_rows:
+        return vif(cases, core).withColumns({"n": F.lit(n), "status": F.lit("ok")})
+    status = "too few columns" if len(core) < 2 else "too few rows"
+    return df.sparkSession.createDataFrame([(c, None, None, n, status) for c in cols],
+                                           "column string, vif double, r2_vs_rest double, n int, status string")
 
 
 def binned_mi(df: DataFrame, cols: Sequence[str], label: str, bins: int = 10) -> DataFrame:
@@ -315,8 +340,7 @@ def binned_mi(df: DataFrame, cols: Sequence[str], label: str, bins: int = 10) ->
     A contingency estimate: it ranks like the nearest-neighbour estimator but
     has other values, hence the name ``mi_binned``.
     """
-    data = df.where(F.col(label).isNotNull()).select(
-        *[F.col(c).cast("double").alias(c) for c in cols], F.col(label).cast("double").alias("_y"))
+    data = finite(df, [*cols, label]).where(F.col(label).isNotNull()).withColumnRenamed(label, "_y")
     long = data.unpivot(["_y"], list(cols), "column", "_x").where(F.col("_x").isNotNull())
     span = long.groupBy("column").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
                                       F.min("_y").alias("_ylo"), F.max("_y").alias("_yhi"))
@@ -340,7 +364,7 @@ def binned_mi(df: DataFrame, cols: Sequence[str], label: str, bins: int = 10) ->
 
 def label_relevance(df: DataFrame, cols: Sequence[str], label: str, bins: int = 10) -> DataFrame:
     """r, p, rho, n and binned information of each column against the label."""
-    known = df.where(F.col(label).isNotNull())
+    known = finite(df, [*cols, label]).where(F.col(label).isNotNull())
     pairs = [(c, label) for c in cols]
     pearson = with_p_values(pearson_pairs(known, pairs))
     spearman = spearman_pairs(known, pairs).drop("n")

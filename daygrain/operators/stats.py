@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Buckets the sorted values of one group are spread over; a power of two.
+# Least number of buckets the sorted values of one group are spread over; a power of two.
 BUCKETS = 64
 QUANTILES = {"p1": 0.01, "q25": 0.25, "median": 0.5, "q75": 0.75, "p99": 0.99}
 _KEY = "_key"
@@ -44,8 +44,14 @@ def _with_bucket(df: DataFrame, value: str, edges: str, buckets: int) -> DataFra
     return out
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for one group: as many as the session has shuffle partitions, rounded up to a power of two."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(BUCKETS, 1 << (partitions - 1).bit_length())
+
+
 def value_positions(counts: DataFrame, col: str, weights: Sequence[str] = ("cnt",),
-                    grouped: bool = True, buckets: int = BUCKETS) -> DataFrame:
+                    grouped: bool = True, buckets: int | None = None) -> DataFrame:
     """Cumulative weights of the sorted distinct values of every group.
 
     ``counts`` has one row per group (``_keyed``) and value with weight
@@ -55,6 +61,7 @@ def value_positions(counts: DataFrame, col: str, weights: Sequence[str] = ("cnt"
     and only the bucket totals (at most ``buckets`` rows per group) meet in
     one task.  An ungrouped table takes its one row of edges as a scalar.
     """
+    buckets = buckets or bucket_count(counts)
     cuts = [i / buckets for i in range(1, buckets)]
     # The totals also keep this plan equal to the counts it reads, so that Spark reuses their shuffle.
     edges = counts.groupBy(_KEY).agg(F.percentile_approx(col, cuts, buckets * 16).alias("_edges"),

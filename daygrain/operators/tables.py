@@ -9,10 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daygrain.functions.encoding import onehot_name
 
-MAX_ONEHOT_COLUMNS = 5000
-# Longest list kept inside one row; longer ones stay in their long tables.
-LIST_LIMIT = 10_000
-
 # The leading column order of the feature table.
 COLUMN_ORDER = """
 participant_id date dow weekend_bin readiness_next_day label_available readiness_same_day
@@ -79,38 +75,32 @@ def sort_abs(df: DataFrame, col: str) -> DataFrame:
     return df.orderBy(F.abs(col).desc_nulls_last())
 
 
-def bounded_list(rows: DataFrame, keys: Sequence[str], item: Column, order: Sequence[str], out: str,
-                 limit: int = LIST_LIMIT) -> DataFrame:
-    """Sorted list of a group's rows, for groups of at most ``limit`` rows.
+def sorted_list(rows: DataFrame, keys: Sequence[str], item: Column, order: Sequence[str], out: str) -> DataFrame:
+    """Sorted list of all rows of a group.
 
-    Larger groups are absent from the result (NULL after a left join): their
-    rows stay in ``rows``, so nothing is lost and no task gathers an unbounded
-    group.
+    The list is one cell of the result, so it is built in one row whatever its
+    length; callers fold repeats first where they can.  Work on the rows
+    themselves belongs before this step.
     """
-    keys = list(keys)
-    small = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") <= limit)
     entry = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], item.alias("item"))
-    listed = (rows.join(small.select(*keys), keys, "left_semi")
-              .groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_all")))
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
     return listed.select(*keys, F.transform("_all", lambda e: e["item"]).alias(out))
 
 
 def distinct_text(df: DataFrame, keys: Sequence[str], col: str, sep: str = "; ",
                   out: str | None = None) -> DataFrame:
-    """Sorted distinct names of a group as one text (see ``bounded_list``)."""
+    """Sorted distinct names of a group as one text (see ``sorted_list``)."""
     names = df.select(*keys, col).where(F.col(col).isNotNull()).distinct()
-    listed = bounded_list(names, keys, F.col(col), [col], "_names")
+    listed = sorted_list(names, keys, F.col(col), [col], "_names")
     return listed.select(*keys, F.array_join("_names", sep).alias(out or f"{col}_names"))
 
 
 def onehot_values(state: DataFrame) -> list[str]:
     """Sorted one-hot names present in ``daily.injury_state``: the pivot list.
 
-    A vocabulary becomes columns, so it must be small; a larger one is an
-    error, never a silent cut.
+    A pivot needs its columns by name before it runs, so the names are the one
+    thing that comes to the driver; ``daily.injury_state`` is the same table in
+    long form, without a column per name.
     """
-    names = (state.select(onehot_name("loc", "sev").alias("name")).distinct()
-             .limit(MAX_ONEHOT_COLUMNS + 1).collect())
-    if len(names) > MAX_ONEHOT_COLUMNS:
-        raise ValueError(f"more than {MAX_ONEHOT_COLUMNS} injury flags; pass the names to keep")
+    names = state.select(onehot_name("loc", "sev").alias("name")).distinct().collect()
     return sorted(r["name"] for r in names)

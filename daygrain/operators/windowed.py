@@ -16,7 +16,7 @@ from daygrain.functions import cleaning as C, dates as D, encoding as E
 from daygrain.functions.text import format_distance
 from daygrain.operators.daily import SCORE_COLUMNS
 from daygrain.operators.joins import last_known, nights_ending_in, rows_in_windows
-from daygrain.operators.tables import bounded_list
+from daygrain.operators.tables import sorted_list
 
 WINDOW = ["participant_id", "window_id"]
 WELLNESS_FIELDS = ("fatigue", "mood", "readiness", "sleep_duration_h", "sleep_quality", "soreness",
@@ -52,7 +52,7 @@ def exercise_window(bouts: DataFrame, windows: DataFrame) -> DataFrame:
         F.count("*").alias("n_exercise_sessions"),
         F.round(C.total_minutes("active_ms", "duration_ms"), 1).alias("exercise_minutes"))
     names = rows.where(F.col("activity_name") != "").select(*WINDOW, "activity_name").distinct()
-    listed = bounded_list(names, WINDOW, F.col("activity_name"), ["activity_name"], "activities")
+    listed = sorted_list(names, WINDOW, F.col("activity_name"), ["activity_name"], "activities")
     return windows.select(*WINDOW).join(totals, WINDOW, "left").join(listed, WINDOW, "left").withColumns({
         "n_exercise_sessions": F.coalesce("n_exercise_sessions", F.lit(0).cast("long")),
         "exercise_minutes": F.coalesce("exercise_minutes", F.lit(0.0)),
@@ -86,7 +86,7 @@ def window_nights(sleep: DataFrame, windows: DataFrame) -> DataFrame:
 def nights_array(sleep: DataFrame, windows: DataFrame) -> DataFrame:
     """Nights of a window as a list in file order, and their number."""
     rows = window_nights(sleep, windows)
-    listed = bounded_list(rows, WINDOW, F.struct(*NIGHT_FIELDS), ["seq", "end_ts"], "nights")
+    listed = sorted_list(rows, WINDOW, F.struct(*NIGHT_FIELDS), ["seq", "end_ts"], "nights")
     counts = rows.groupBy(*WINDOW).agg(F.count("*").alias("n_nights"))
     return counts.join(listed, WINDOW, "left")
 
@@ -118,7 +118,7 @@ def reporting_window(reporting: DataFrame, windows: DataFrame) -> DataFrame:
     known_weight = F.when(F.col("weight").isNotNull(), F.col("seq"))
     rows = rows_in_windows(reporting, "ts", windows).withColumn("_meals", E.split_set("meals"))
     names = rows.select(*WINDOW, F.explode("_meals").alias("meal")).distinct()
-    listed = bounded_list(names, WINDOW, F.col("meal"), ["meal"], "meal_names")
+    listed = sorted_list(names, WINDOW, F.col("meal"), ["meal"], "meal_names")
     return rows.groupBy(*WINDOW).agg(
         F.count("*").alias("n_reporting_rows"),
         F.max_by("weight", known_weight).alias("weight_kg"),
@@ -140,8 +140,11 @@ def injury_window(injury: DataFrame, windows: DataFrame) -> DataFrame:
         F.count("*").alias("reports_in_window"),
         F.bool_or(F.size("injuries") > 0).alias("is_injured"))
     # Maps have no order, so they travel as entries through the sorted list.
-    entry = F.struct(D.std_text("ts").alias("key"), F.map_entries("injuries").alias("value"))
-    named = bounded_list(window_injuries(injury, windows), WINDOW, entry, ["ts"], "_entries").select(
+    # Reports within one millisecond share a key; the last of them counts.
+    reports = window_injuries(injury, windows).groupBy(*WINDOW, D.std_text("ts").alias("_key")).agg(
+        F.max_by("ts", "ts").alias("ts"), F.max_by(F.map_entries("injuries"), "ts").alias("_entries"))
+    entry = F.struct(F.col("_key").alias("key"), F.col("_entries").alias("value"))
+    named = sorted_list(reports, WINDOW, entry, ["ts"], "_entries").select(
         *WINDOW, F.map_from_entries(F.transform("_entries", lambda e: F.struct(
             e["key"], F.map_from_entries(e["value"])))).alias("injuries"))
     state = last_known(injury, windows, "ts", "injuries")

@@ -8,12 +8,15 @@ Two layouts are understood under ``root``:
   field in every record (JSON lines, CSV): the splittable form for volume.
 
 An absent source gives an empty table of the right type.  Every reader takes
-an optional ``Bounds`` window and adds ``seq``, the order of the records in
-their file, which the first-wins and last-wins rules need.
+an optional ``Bounds`` window and adds ``seq``, the order of the records, which
+the first-wins and last-wins rules need: files in path order, the combined
+layout before the tree, and records as they stand in their file, however Spark
+cuts and packs the files.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -25,6 +28,7 @@ from daygrain.functions.dates import Bounds, in_window, std_ts
 from daygrain.functions.encoding import parse_list, parse_map
 from daygrain.sources import schemas as S
 
+SEQ = "decimal(38,0)"
 SPARK_LAYOUTS = (("{root}/{file}", False), ("{root}/*/*/{file}", True))
 
 
@@ -35,10 +39,29 @@ def _participant(file: str) -> Column:
     return F.coalesce(F.col("participant_id"), F.nullif(folder, F.lit("")))
 
 
+def _numbered(raw: DataFrame, layout: int) -> DataFrame:
+    """``raw`` with ``seq`` = file (10 digits), start of the block in the file (16), record in the block (11).
+
+    Blocks of one file follow each other by their start, and a record's running
+    number grows inside its block; so the order needs no pass over the data.
+    """
+    # The two ways to ask for a path spell the scheme with one or three slashes.
+    slashes = (r"^(\w+):/+", r"\1:/", "$1:/")
+    paths = sorted(re.sub(*slashes[:2], path) for path in raw.inputFiles())
+    files = [(path, layout * 10 ** 9 + i) for i, path in enumerate(paths)]
+    ranks = raw.sparkSession.createDataFrame(files, "_file string, _rank long")
+    record = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = raw.withColumn("_record", record).join(
+        ranks, F.regexp_replace("_metadata.file_path", slashes[0], slashes[2]) == F.col("_file"), "left")
+    parts = [F.col(c).cast(SEQ) * F.lit(str(10 ** n)).cast(SEQ)
+             for c, n in (("_rank", 27), ("_metadata.file_block_start", 11), ("_record", 0))]
+    return placed.withColumn("seq", reduce(Column.__add__, parts).cast(SEQ)).drop("_file", "_rank", "_record")
+
+
 def _scan(spark: SparkSession, root: str, file: str, schema: T.StructType) -> DataFrame:
     """Both layouts of one source, or the empty table when neither exists."""
     found = []
-    for pattern, is_tree in SPARK_LAYOUTS:
+    for layout, (pattern, is_tree) in enumerate(SPARK_LAYOUTS):
         reader = spark.read.schema(schema)
         path = pattern.format(root=root.rstrip("/"), file=file)
         try:
@@ -50,10 +73,10 @@ def _scan(spark: SparkSession, root: str, file: str, schema: T.StructType) -> Da
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
-        found.append(raw.withColumn("participant_id", _participant(file))
-                     .withColumn("seq", F.monotonically_increasing_id()))
+        found.append(_numbered(raw.withColumn("participant_id", _participant(file)).select(
+            *schema.names, "_metadata"), layout).drop("_metadata"))
     if not found:
-        return spark.createDataFrame([], schema).withColumn("seq", F.lit(None).cast("long"))
+        return spark.createDataFrame([], schema).withColumn("seq", F.lit(None).cast(SEQ))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -64,6 +87,7 @@ def _read_csv(spark: SparkSession, path: str, schema: T.StructType, is_tree: boo
     layout stays splittable.
     """
     raw = (spark.read.option("header", True).option("inferSchema", False)
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .option("escape", '"').option("multiLine", is_tree).csv(path))
     columns = [F.col(f"`{f.name}`") if f.name in raw.columns
                else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]

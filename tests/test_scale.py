@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog import ORACLE_SQL, QUERIES
 from daygrain.operators import daily, joins as J, runs as R, stats as S
-from daygrain.operators.tables import bounded_list
+from daygrain.operators.tables import sorted_list
 
 SF = "/root/testdata/sf0.001"
 def hot(spark, n=30000):
@@ -53,10 +53,10 @@ def test_hot_group_quantiles(spark):
     assert out["hot"] == 48.0
 
 
-def test_lists_are_bounded_and_nothing_is_lost(spark):
-    rows = hot(spark).select("participant_id", "seq")
-    out = {r["participant_id"]: r["items"] for r in bounded_list(rows, ["participant_id"], F.col("seq"), ["seq"], "items", 1000).collect()}
-    assert "hot" not in out and sum(len(v) for v in out.values()) == rows.where("participant_id <> 'hot'").count()
+def test_lists_come_back_whole(spark):
+    rows = spark.range(50_000).select(F.lit("hot").alias("participant_id"), F.col("id").alias("seq"))
+    out = sorted_list(rows, ["participant_id"], F.col("seq"), ["seq"], "items").collect()
+    assert len(out) == 1 and out[0]["items"] == list(range(50_000))
 
 
 def test_window_filter_reaches_the_scan(spark):

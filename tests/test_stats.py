@@ -63,12 +63,9 @@ def matrix(spark, n=400):
                                       "a double, b double, c double, d double, g string, k double")
 
 
-@pytest.mark.parametrize("one_scan", [False, True])
-def test_pearson_equals_pandas(spark, one_scan, monkeypatch):
+def test_pearson_equals_pandas(spark):
     pdf, df = matrix(spark)
     cols = ["a", "b", "c", "d", "k"]
-    if one_scan:
-        monkeypatch.setattr(K, "PAIRS_PER_AGGREGATION", 2)
     got = {(r["var_a"], r["var_b"]): (r["pearson_r"], r["n"]) for r in K.pairwise_pearson(df, cols).collect()}
     want = pdf[cols].corr(min_periods=3)
     assert len(got) == 10
@@ -159,3 +156,32 @@ def test_median_imputation_and_coverage(spark):
     assert {r["column"]: r["coverage"] for r in M.coverage(df, ["a", "b"]).collect()} == {"a": 0.75, "b": 0.75}
     assert M.complete_cases(df, ["a", "b"], 0.7).count() == 2
     assert df.select(F.lit(1)).count() == 4
+
+
+def test_values_that_are_not_finite_are_unknown(spark):
+    rows = [(float(i), float(i * i % 17)) for i in range(50)]
+    odd = spark.createDataFrame(rows + [(float("nan"), 1.0), (2.0, float("inf")), (None, 3.0)], "a double, b double")
+    clean = spark.createDataFrame(rows, "a double, b double")
+    for of in (K.pairwise_pearson, K.pairwise_spearman):
+        got, want = of(odd, ["a", "b"]).first(), of(clean, ["a", "b"]).first()
+        assert got["n"] == want["n"] == 50 and got[2] == pytest.approx(want[2], abs=1e-12)
+    relevance = K.label_relevance(odd, ["a"], "b").first()
+    assert relevance["n"] == 50
+
+
+def test_spearman_of_many_columns(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.integers(0, 9, (300, 30)).astype(float), columns=[f"c{i}" for i in range(30)])
+    pdf.iloc[:40, 10:20] = np.nan
+    pdf.loc[rng.random(300) < 0.3, "c25"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"c{i} double" for i in range(30)))
+    out = K.pairwise_spearman(df, list(pdf.columns))
+    want = pdf.corr("pearson")
+    for r in out.collect():
+        both = pdf[[r["var_a"], r["var_b"]]].dropna()
+        want = np.corrcoef(average_ranks(both.iloc[:, 0]), average_ranks(both.iloc[:, 1]))[0, 1]
+        assert r["n"] == len(both) and r["spearman_rho"] == pytest.approx(want, abs=1e-9)
+
+    def exchanges(cols):
+        return K.pairwise_spearman(df, cols)._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges(["c0", "c1"]) == exchanges([f"c{i}" for i in range(10)])
