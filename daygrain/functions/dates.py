@@ -16,27 +16,39 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The shapes of dates that the sources write, each as (pattern, rewritten as ISO).  Both the column
+# functions and ``window_bounds`` read them from here; day-first comes before month-first.
+ZONE = r"(?i)\s*(?:Z|(?<=\d:\d{2}(?:[.:]\d{1,9})?)[+-]\d{2}:?\d{2})$"
+YEAR_FIRST = r"^(\d{4})[:/](\d{1,2})[:/](\d{1,2})(?=\D|$)"
+SHORT_YEAR = r"^(\d{1,2})/(\d{1,2})/(\d{2})(?=\D|$)"
+SLASHES = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
+HALF_DAY = r"(?i)^(\S+)[ T]+(\d{1,2})((?::\d{2}){1,2}(?:\.\d+)?)\s*([ap])\.?m\.?$"
+HALF_DAY_FORMAT = "yyyy-M-d h:mm[:ss][.SSS][ ]a"
+FINER_THAN_MS = r"(\.\d{3})\d+$"
+DATE_ONLY = r"^(\d{4}-\d{2}-\d{2}|\d{4}[:/]\d{1,2}[:/]\d{1,2}|\d{1,2}/\d{1,2}/\d{2,4})$"
+
+
 def std_ts(c: Column | str, fmt: str | None = None) -> Column:
     """Parse raw text to ``TIMESTAMP_NTZ`` at millisecond precision.
 
-    Slash dates are day first (month first only where day first is no date);
-    ``YYYY:MM:DD`` camera dates and ISO text are accepted; a trailing zone is
-    dropped, not converted.  Empty and unparseable text gives NULL.  ``fmt``
-    overrides the guess with an explicit Spark datetime pattern.
+    Slash dates are day first (month first only where day first is no date)
+    unless they begin with the year; ``YYYY:MM:DD`` camera dates, ISO text and
+    12-hour clocks are accepted; a trailing zone is dropped, not converted.
+    Empty and unparseable text gives NULL.  ``fmt`` overrides the guess with an
+    explicit Spark datetime pattern.
     """
     text = F.trim(_col(c).cast("string"))
     if fmt is not None:
         return F.date_trunc("millisecond", F.try_to_timestamp(text, F.lit(fmt))).cast("timestamp_ntz")
-    text = F.regexp_replace(text, r"\s*(?:Z|(?<=\d:\d{2}(?:[.:]\d{1,9})?)[+-]\d{2}:?\d{2})$", "")
-    text = F.regexp_replace(text, r"^(\d{4}):(\d{1,2}):(\d{1,2})", "$1-$2-$3")
-    text = F.regexp_replace(text, r"(\.\d{3})\d+$", "$1")
-    wide = F.regexp_replace(text, r"^(\d{1,2})/(\d{1,2})/(\d{2})(?=\D|$)", "$1/$2/20$3")
-    slash = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
-    day_first = F.regexp_replace(wide, slash, "$3-$2-$1").try_cast("timestamp_ntz")
-    month_first = F.regexp_replace(wide, slash, "$3-$1-$2").try_cast("timestamp_ntz")
-    return (F.when(text == "", None)
-            .when(F.contains(text, F.lit("/")), F.coalesce(day_first, month_first))
-            .when(text.rlike(r"^\d{4}-"), text.try_cast("timestamp_ntz")))
+    text = F.regexp_replace(text, ZONE, "")
+    text = F.regexp_replace(text, YEAR_FIRST, "$1-$2-$3")
+    text = F.regexp_replace(text, FINER_THAN_MS, "$1")
+    wide = F.regexp_replace(text, SHORT_YEAR, "$1/$2/20$3")
+    read = []
+    for iso in (F.regexp_replace(wide, SLASHES, "$3-$2-$1"), F.regexp_replace(wide, SLASHES, "$3-$1-$2")):
+        dated = F.when(iso.rlike(r"^\d{4}-"), iso)
+        read += [dated.try_cast("timestamp_ntz"), F.try_to_timestamp(dated, F.lit(HALF_DAY_FORMAT)).cast("timestamp_ntz")]
+    return F.coalesce(*read)
 
 
 def std_text(ts: Column | str) -> Column:
@@ -45,8 +57,8 @@ def std_text(ts: Column | str) -> Column:
 
 
 def is_date_only(c: Column | str) -> Column:
-    """True when the text is an ISO or slash date without a time."""
-    return F.trim(_col(c)).rlike(r"^(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})$")
+    """True when the text is a date without a time."""
+    return F.trim(_col(c)).rlike(DATE_ONLY)
 
 
 class Bounds(NamedTuple):
@@ -58,16 +70,23 @@ class Bounds(NamedTuple):
 
 
 def _parse_bound(text: str) -> tuple[datetime, bool]:
-    """One window bound given by the caller, and whether it names a whole day."""
+    """One window bound given by the caller, in the shapes of ``std_ts``, and whether it names a whole day."""
     text = text.strip()
-    whole_day = bool(re.fullmatch(r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}", text))
-    if "/" in text:
-        head, _, tail = text.partition(" ")
-        d, m, y = (int(x) for x in head.split("/"))
-        if m > 12:
-            d, m = m, d
-        head = f"{y + 2000 if y < 100 else y:04d}-{m:02d}-{d:02d}"
-        text = f"{head} {tail}".strip()
+    whole_day = re.fullmatch(DATE_ONLY, text) is not None
+    text = re.sub(r"\s*(?:Z|(?<=:\d\d)[+-]\d{2}:?\d{2})$", "", text, flags=re.IGNORECASE)
+    text = re.sub(YEAR_FIRST, r"\1-\2-\3", text)
+    clock = re.fullmatch(HALF_DAY, text)
+    if clock:
+        hour = int(clock[2]) % 12 + (12 if clock[4].lower() == "p" else 0)
+        text = f"{clock[1]} {hour:02d}{clock[3]}"
+    text = re.sub(SHORT_YEAR, r"\1/\2/20\3", text)
+    slashes = re.match(SLASHES, text)
+    if slashes:
+        day, month, year = map(int, slashes.groups())
+        if month > 12:
+            day, month = month, day
+        text = f"{year:04d}-{month:02d}-{day:02d}{text[slashes.end():]}"
+    text = re.sub(r"^(\d{4})-(\d{1,2})-(\d{1,2})(?=\D|$)", lambda m: f"{m[1]}-{int(m[2]):02d}-{int(m[3]):02d}", text)
     parsed = datetime.fromisoformat(text).replace(tzinfo=None)
     return parsed.replace(microsecond=parsed.microsecond // 1000 * 1000), whole_day
 
