@@ -375,7 +375,7 @@ def report(spark, sf_dir):
         training_load, reports_in_window, n_food_photos
     FROM windows JOIN a USING (participant_id, window_id) JOIN b USING (participant_id, window_id)
     JOIN c USING (participant_id, window_id) JOIN e USING (participant_id, window_id) JOIN f USING (participant_id, window_id)""",
-    "people", "minute", "sleep", "srpe", "injury", "photos"))
+    "people", "minute", "sleep", "srpe", "injury", "photos", split=True))
 def window_report(spark, sf_dir):
     return report(spark, sf_dir).select(
         *W.WINDOW, "start_date", "end_date", "activity.total_steps", "sleep.n_nights", "questionnaire.training_load",
@@ -394,9 +394,9 @@ def report_text(spark, sf_dir):
     f AS (SELECT w.participant_id, w.window_id, count(s.seq) AS n_photos {per_window('photos')})
     SELECT participant_id, window_id, 33 + 7 * n_nights + CASE WHEN n_photos > 0 THEN 2 ELSE 0 END AS n_lines,
         '- **Nights recorded**: ' || n_nights AS nights_line
-    FROM n JOIN f USING (participant_id, window_id)""", "people", "sleep", "photos"))
+    FROM n JOIN f USING (participant_id, window_id)""", "people", "sleep", "photos", split=True))
 def report_lines(spark, sf_dir):
-    lines = R.report_lines(report(spark, sf_dir), W.window_nights(B.sleep(spark, sf_dir), windows(spark, sf_dir)))
+    lines = R.report_lines(report(spark, sf_dir), W.window_nights(B.sleep(spark, sf_dir, split=True), windows(spark, sf_dir)))
     return lines.groupBy(*W.WINDOW).agg(
         F.count("*").alias("n_lines"),
         F.max(F.when(F.col("line").startswith("- **Nights recorded**"), F.col("line"))).alias("nights_line"))

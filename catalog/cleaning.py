@@ -119,7 +119,7 @@ def parse_list_literal(spark, sf_dir):
 @query("parse_soreness_area", B.with_views("""
     SELECT seq, CASE k4 WHEN 1 THEN 'knee' WHEN 2 THEN 'knee,Back' ELSE '' END AS areas, k4 IN (1, 2) AS any_sore,
         CASE k4 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS n_zones
-    FROM (SELECT event_id AS seq, k % 4 AS k4 FROM ev WHERE event_type = 'signup')"""))
+    FROM (SELECT event_id AS seq, k % 4 AS k4 FROM ev)"""))
 def parse_soreness_area(spark, sf_dir):
     sore = B.wellness(spark, sf_dir).withColumn("s", E.soreness("soreness_area"))
     return sore.select("seq", F.array_join("s.areas", ",").alias("areas"), "s.any_sore", "s.n_zones")
@@ -222,9 +222,9 @@ def activity_flags(spark, sf_dir):
 
 
 @query("or_activity_flags", B.with_views("""
-    SELECT participant_id, d AS date, max(CASE WHEN k % 5 = 3 AND event_type = 'click' THEN 1
-        WHEN k % 4 = 1 AND event_type = 'purchase' THEN 1 ELSE 0 END) AS act_soccer
-    FROM ev WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2"""))
+    SELECT participant_id, d AS date, max(CASE WHEN k % 5 = 3 THEN 1
+        WHEN k % 4 = 1 THEN 1 ELSE 0 END) AS act_soccer
+    FROM ev GROUP BY 1, 2"""))
 def or_activity_flags(spark, sf_dir):
     a = daily.exercise_daily(B.exercise(spark, sf_dir), min_minutes=-1.0)
     b = daily.srpe_daily(B.srpe(spark, sf_dir))

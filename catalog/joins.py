@@ -52,11 +52,11 @@ def static_dimension_join(spark, sf_dir):
 
 
 @query("reindex_to_horizon", B.with_views("""
-    e AS (SELECT participant_id, d AS date, sum(floor(value)) AS load FROM ev WHERE event_type = 'purchase' GROUP BY 1, 2)
+    e AS (SELECT participant_id, d AS date, sum(floor(value)) AS load FROM ev GROUP BY 1, 2)
     SELECT participant_id, date, load AS load_or_null, coalesce(load, 0) AS load_or_zero
     FROM spine LEFT JOIN e USING (participant_id, date)""", "spine"))
 def reindex_to_horizon(spark, sf_dir):
-    ev = B.events(spark, sf_dir).where(F.col("event_type") == "purchase")
+    ev = B.events(spark, sf_dir)
     load = ev.groupBy("participant_id", F.to_date("ts").alias("date")).agg(F.sum(F.floor("value").cast("double")).alias("load"))
     spine = B.spine(spark, sf_dir)
     unknown = J.reindex_days(load, spine).withColumnRenamed("load", "load_or_null")

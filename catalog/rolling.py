@@ -195,11 +195,11 @@ def zero_or_unknown_policy(spark, sf_dir):
 
 
 @query("source_absent_flag", B.with_views("""
-    big AS (SELECT DISTINCT participant_id FROM ev WHERE event_type = 'view' AND value > 200)
+    big AS (SELECT DISTINCT participant_id FROM ev WHERE value > 200)
     SELECT participant_id, date, (big.participant_id IS NULL)::INTEGER AS nonwear_is_upper_bound
     FROM spine LEFT JOIN big USING (participant_id)""", "spine"))
 def source_absent_flag(spark, sf_dir):
-    strong = B.events(spark, sf_dir).where((F.col("event_type") == "view") & (F.col("value") > 200))
+    strong = B.events(spark, sf_dir).where(F.col("value") > 200)
     return M.source_absent_flag(B.spine(spark, sf_dir), strong)
 
 
@@ -252,7 +252,7 @@ def feature_table(spark, sf_dir):
         AS label_available, readiness_same_day, total_steps, steps_cov_min, n_deduped_min, srpe_load, load_7d_sum, weight_raw,
         coalesce(med2, carried) AS weight_7d_median, {rnd('(weight_raw - med)', 2)} AS weight_residual,
         (med2 IS NULL AND carried IS NOT NULL)::INTEGER AS was_imputed_weight_7d_median, injured_last_7d, missing_ratio_wellness_7d,
-        total_steps_median_7d FROM f""", "spine", "minute", "wellness", "reporting", "injury", "srpe"))
+        total_steps_median_7d FROM f""", "spine", "minute", "wellness", "reporting", "injury", "srpe", split=True))
 def daily_feature_table(spark, sf_dir):
     out = feature_table(spark, sf_dir)
     six = ("missing_ratio_wellness_7d", "total_steps_median_7d")

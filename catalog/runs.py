@@ -67,16 +67,16 @@ def hr_minute_state(spark, sf_dir):
     return R.hr_minute_state(dense_hr(spark, sf_dir))
 
 
-WORN_SQL = """moving AS (SELECT participant_id, date_trunc('minute', ts) AS m FROM ev WHERE event_type = 'click' AND floor(value / 20) > 0),
-    live AS (SELECT participant_id, date_trunc('minute', ts) AS m FROM ev WHERE event_type = 'view' GROUP BY 1, 2
+WORN_SQL = """moving AS (SELECT participant_id, date_trunc('minute', ts) AS m FROM ev WHERE floor(value / 20) > 0),
+    live AS (SELECT participant_id, date_trunc('minute', ts) AS m FROM ev GROUP BY 1, 2
              HAVING NOT (count(*) >= 2 AND min(value) = max(value))),
     worn AS (SELECT * FROM moving UNION SELECT * FROM live)"""
 
 
 def wear_sources(spark, sf_dir):
     ev = B.events(spark, sf_dir)
-    steps = ev.where(F.col("event_type") == "click").select("participant_id", "ts", F.floor(F.col("value") / 20).alias("value"))
-    hr = ev.where(F.col("event_type") == "view").select("participant_id", "ts", F.col("value").alias("bpm"))
+    steps = ev.select("participant_id", "ts", F.floor(F.col("value") / 20).alias("value"))
+    hr = ev.select("participant_id", "ts", F.col("value").alias("bpm"))
     return steps, hr
 
 

@@ -34,9 +34,8 @@ def export(df, file: str) -> str:
     return root
 
 
-def raw_events(spark, sf_dir, kind=None):
+def raw_events(spark, sf_dir):
     ev = B.events(spark, sf_dir)
-    ev = ev if kind is None else ev.where(F.col("event_type") == kind)
     return ev.withColumn("participant_id", F.col("participant_id").cast("string"))
 
 
@@ -74,9 +73,9 @@ def scan_absent_source(spark, sf_dir):
 
 @query("scan_heart_rate", B.with_views(f"""
     SELECT {PID}, date_trunc('second', ts) AS ts, CAST(floor(value) + 20 AS DOUBLE) AS bpm,
-        CASE WHEN k % 7 = 0 THEN NULL ELSE k % 4 END AS confidence FROM ev WHERE event_type = 'view'"""))
+        CASE WHEN k % 7 = 0 THEN NULL ELSE k % 4 END AS confidence FROM ev"""))
 def scan_heart_rate(spark, sf_dir):
-    raw = raw_events(spark, sf_dir, "view").select(
+    raw = raw_events(spark, sf_dir).select(
         "participant_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("dateTime"),
         F.expr("named_struct('bpm', CAST(floor(value) + 20 AS BIGINT), 'confidence', CASE WHEN k % 7 = 0 THEN NULL ELSE k % 4 END)")
         .alias("value"))
@@ -85,9 +84,9 @@ def scan_heart_rate(spark, sf_dir):
 
 @query("scan_resting_hr", B.with_views(f"""
     SELECT {PID}, date_trunc('second', ts) AS ts, CASE WHEN k % 5 = 0 THEN NULL ELSE strftime(ts, '%m/%d/%y') END AS rhr_date,
-        CASE WHEN k % 6 = 0 THEN 0 ELSE value END AS value FROM ev WHERE event_type = 'signup'"""))
+        CASE WHEN k % 6 = 0 THEN 0 ELSE value END AS value FROM ev"""))
 def scan_resting_hr(spark, sf_dir):
-    raw = raw_events(spark, sf_dir, "signup").select(
+    raw = raw_events(spark, sf_dir).select(
         "participant_id", F.date_format("ts", "dd/MM/yy HH:mm:ss").alias("dateTime"),
         F.expr("""named_struct('date', CASE WHEN k % 5 = 0 THEN NULL ELSE date_format(ts, 'MM/dd/yy') END,
                   'value', CASE WHEN k % 6 = 0 THEN 0D ELSE value END, 'error', 1.5D)""").alias("value"))
@@ -179,7 +178,7 @@ def scan_training_sessions(spark, sf_dir):
     SELECT CAST(participant_id AS VARCHAR) AS participant_id, date_trunc('millisecond', ts) AS ts, foot AS left_foot, head AS head_neck
     FROM injury""", "injury"))
 def scan_injury_reports(spark, sf_dir):
-    raw = raw_events(spark, sf_dir, "error").select(
+    raw = raw_events(spark, sf_dir).select(
         "participant_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("effective_time_frame"),
         F.expr(B.INJURY_LITERAL).alias("injuries"))
     out = R.read_injury(spark, export(raw, "injury.csv"))
