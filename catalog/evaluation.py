@@ -1,6 +1,8 @@
 """Folds, demeaning, models and metrics."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from catalog import bindings as B
 from catalog.registry import query
@@ -128,14 +130,10 @@ def leave_one_out_folds(spark, sf_dir):
     SELECT f.participant_id AS fold, l.participant_id = f.participant_id AS is_test, count(*) AS n
     FROM (SELECT DISTINCT participant_id FROM lines) f, lines l GROUP BY 1, 2""")
 def fold_split_rows(spark, sf_dir):
-    rows = lines(spark, sf_dir)
-    out = None
-    for fold in X.fold_names(rows):
-        train, test = X.lopo_split(rows, fold)
-        for part, is_test in ((train, False), (test, True)):
-            n = part.agg(F.lit(fold).alias("fold"), F.lit(is_test).alias("is_test"), F.count("*").alias("n"))
-            out = n if out is None else out.unionByName(n)
-    return out
+    folds = X.lopo_folds(lines(spark, sf_dir))
+    sides = F.array(F.struct(F.lit(True).alias("is_test"), F.col("n_test").alias("n")),
+                    F.struct(F.lit(False).alias("is_test"), F.col("n_train").alias("n")))
+    return folds.select("fold", F.inline(sides))
 
 
 @query("resolved_feature_sets", f"""WITH {LINES_SQL},
@@ -161,7 +159,8 @@ def group_means(spark, sf_dir):
 
 @query("demean_parameters", f"""WITH {LINES_SQL}
     SELECT coalesce(participant_id, 'GLOBAL') AS participant_id, {rnd('avg(l_quantity)', 6)} AS l_quantity,
-        {rnd('avg(l_extendedprice)', 4)} AS l_extendedprice FROM lines GROUP BY ROLLUP (participant_id)""")
+        {rnd('avg(l_extendedprice)', 4)} AS l_extendedprice, grouping(participant_id) = 1 AS is_global
+    FROM lines GROUP BY ROLLUP (participant_id)""")
 def demean_parameters(spark, sf_dir):
     return rounded(rounded(X.demean_params(lines(spark, sf_dir), COLS), ["l_quantity"]), ["l_extendedprice"], 4)
 
@@ -221,9 +220,10 @@ FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 @query("boosted_fit_predict")
 def boosted_fit_predict(spark, sf_dir):
-    train, test = X.lopo_split(lines(spark, sf_dir), "R")
-    scored_rows, _ = M.fit_predict(FAST, train, test, FEATURES, "l_extendedprice")
-    return scored_rows.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("label"), "prediction")
+    """Every row predicted by the fit that holds its group out."""
+    rows = lines(spark, sf_dir)
+    parts = [M.fit_predict(FAST, *X.lopo_split(rows, fold), FEATURES, "l_extendedprice")[0] for fold in X.fold_names(rows)]
+    return reduce(DataFrame.unionByName, parts).select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("label"), "prediction")
 
 
 @query("evaluation_grid")

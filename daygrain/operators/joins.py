@@ -174,14 +174,16 @@ def pair_gaps(pairs: DataFrame, events: DataFrame, key: str, file: str, ts: str)
 def lookup_with_fallback(df: DataFrame, params: DataFrame, group: str,
                          cols: Sequence[str], suffix: str = "_mean",
                          global_name: str = "GLOBAL") -> DataFrame:
-    """Per-group parameters, or the GLOBAL row for groups that have none.
+    """Per-group parameters, or the row of all groups for groups that have none.
 
-    A group that exists keeps its own NULL parameters; there is no fallback
+    That row is the one marked by a column ``is_global``, else the one named
+    ``global_name``.  A group that exists keeps its own NULL parameters; there is no fallback
     column by column.
     """
-    own = params.where(F.col(group) != global_name).select(
+    pooled_row = F.col("is_global") if "is_global" in params.columns else F.col(group) == global_name
+    own = params.where(~pooled_row).select(
         group, F.lit(True).alias("_hit"), *[F.col(c).alias(f"{c}{suffix}") for c in cols])
-    pooled = params.where(F.col(group) == global_name)
+    pooled = params.where(pooled_row)
     out = df.join(own, group, "left")
     fallback = pooled.select(F.struct(*cols)).scalar()
     filled = {f"{c}{suffix}": F.when(F.col("_hit"), F.col(f"{c}{suffix}"))
