@@ -1,14 +1,17 @@
 """Ordered operations over event streams without one task per key.
 
 A plain ``Window.partitionBy(key)`` sorts all rows of a key in one task, which
-a key holding a third of the data breaks.  These helpers window inside
-``(key, time chunk)`` and carry the boundary state from chunk to chunk through
-a summary with one row per non-empty chunk, so the largest task sees one chunk.
-Two rows of a key with equal order columns must not exist; callers add a tie
-break to ``order``.
-
-The chunk number stays on the frame while several helpers run in a row
-(``keep_chunk``), so that they share one shuffle by (key, chunk).
+a key holding a third of the data breaks.  These helpers deal the rows out by
+range of (key, order), so that chunks are about equal however many rows share a
+key, an hour or a time stamp; they window inside ``(key, chunk)`` and carry the
+boundary state from chunk to chunk through a summary with one row per key and
+chunk.  Two rows of a key with equal order columns must not exist; callers add
+a tie break to ``order``.
+
+The dealt rows are stored in the shared folder: range bounds come from a
+sample, and the summary and the rows must agree on them.  The chunk number
+stays on the frame while several helpers run in a row (``keep_chunk``), so that
+they share one chunking.
 """
 
 from __future__ import annotations
@@ -17,25 +20,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from daygrain.functions.dates import epoch_us
+from daygrain.session import stored
 
-CHUNK_SECONDS = 3600
 CHUNK = "_chunk"
 
 
-def chunk_number(ts: Column | str, seconds: int = CHUNK_SECONDS) -> Column:
-    """Number of the time chunk a timestamp falls in."""
-    return F.floor(epoch_us(ts) / F.lit(seconds * 1_000_000)).cast("long")
-
-
-def _chunked(df: DataFrame, ts: str, seconds: int) -> DataFrame:
-    """Add the chunk number unless an earlier helper left it there."""
-    return df if CHUNK in df.columns else df.withColumn(CHUNK, chunk_number(ts, seconds))
+def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add the chunk number, ascending within a key, unless an earlier helper left it there."""
+    if CHUNK in df.columns:
+        return df
+    dealt = df.repartitionByRange(*keys, *order)
+    return stored(dealt.withColumn(CHUNK, F.spark_partition_id().cast("long")), "chunks")
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
-                  values: dict[str, str], seconds: int = CHUNK_SECONDS,
-                  keep_chunk: bool = False) -> DataFrame:
+                  values: dict[str, str], keep_chunk: bool = False) -> DataFrame:
     """Add columns of the preceding row of the same key (NULL on the first).
 
     ``values`` maps new column names to the source columns they lag.  Lagging
@@ -44,38 +43,38 @@ def with_previous(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[s
     """
     by, order = [*keys, CHUNK], list(order)
     packed = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
-    chunked = _chunked(df, ts, seconds)
+    rows = chunked(df, keys, order)
     if set(values.values()) == {ts}:
-        latest = chunked.groupBy(*by).agg(F.max(ts).alias("_ts"))
+        latest = rows.groupBy(*by).agg(F.max(ts).alias("_ts"))
         tails = latest.select(*by, F.struct(*[F.col("_ts").alias(new) for new in values]).alias("_tail"))
     else:
-        tails = chunked.groupBy(*by).agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
+        tails = rows.groupBy(*by).agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
     carry = tails.select(
         *by, F.lag("_tail").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_carry"))
     inside = Window.partitionBy(*by).orderBy(*order)
     previous = F.coalesce(F.lag(packed).over(inside), F.col("_carry"))
-    out = (chunked.join(carry, by, "left").withColumn("_previous", previous)
+    out = (rows.join(carry, by, "left").withColumn("_previous", previous)
            .withColumns({new: F.col("_previous").getField(new) for new in values})
            .drop("_carry", "_previous"))
     return out if keep_chunk else out.drop(CHUNK)
 
 
 def with_running_sum(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
-                     value: Column, out: str, seconds: int = CHUNK_SECONDS) -> DataFrame:
+                     value: Column, out: str) -> DataFrame:
     """Add the inclusive running sum of ``value`` per key."""
     by = [*keys, CHUNK]
-    chunked = _chunked(df, ts, seconds).withColumn("_value", value)
+    rows = chunked(df, keys, order).withColumn("_value", value)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (chunked.groupBy(*by).agg(F.sum("_value").alias("_sum"))
+    offsets = (rows.groupBy(*by).agg(F.sum("_value").alias("_sum"))
                .select(*by, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")))
     inside = (Window.partitionBy(*by).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0))
-    return (chunked.join(offsets, by, "left")
+    return (rows.join(offsets, by, "left")
             .withColumn(out, F.col("_offset") + F.sum("_value").over(inside))
             .drop(CHUNK, "_value", "_offset"))
 
 
 def with_position(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str],
-                  out: str = "position", seconds: int = CHUNK_SECONDS) -> DataFrame:
+                  out: str = "position") -> DataFrame:
     """Add the 1-based row number per key."""
-    return with_running_sum(df, keys, ts, order, F.lit(1).cast("long"), out, seconds)
+    return with_running_sum(df, keys, ts, order, F.lit(1).cast("long"), out)

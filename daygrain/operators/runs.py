@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daygrain.functions.dates import epoch_us, minute, minute_of_day, seconds_between
-from daygrain.operators.ordered import CHUNK, CHUNK_SECONDS, with_previous, with_running_sum
+from daygrain.operators.ordered import CHUNK, with_previous, with_running_sum
 from daygrain.operators.stats import exact_quantiles
 from daygrain.session import cut_lineage
 
 BURST_SECONDS = 15
+# Least width of the time chunks in which pairs are counted.
+CHUNK_SECONDS = 3600
 NONWEAR_MIN_RUN = 60
 DAY_MINUTES = 1440
 SWEEP_SECONDS = (15, 60, 120, 300, 1800)

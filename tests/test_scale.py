@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import ORACLE_SQL, QUERIES
-from daygrain.operators import daily, joins as J, runs as R, stats as S
+from daygrain.operators import daily, joins as J, ordered, runs as R, stats as S
 from daygrain.operators.tables import sorted_list
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +43,25 @@ def test_hot_key_gaps_are_complete(spark):
     assert any("_chunk" in line.split("], [")[-2] for line in sorts)
 
 
+def test_hot_stamp_is_dealt_out(spark):
+    """Two thirds of the rows share one stamp of one key; no chunk is far above the mean."""
+    rows = spark.range(60_000).select(F.lit("hot").alias("participant_id"), F.col("id").alias("seq"), F.expr(
+        "TIMESTAMP_NTZ'2020-01-01' + make_dt_interval(0, 0, 0, IF(id % 3 < 2, 0, id))").alias("ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    try:
+        dealt = ordered.chunked(rows, ["participant_id"], ["ts", "seq"])
+        sizes = [r["count"] for r in dealt.groupBy(ordered.CHUNK).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    placed = ordered.with_position(rows, ["participant_id"], "ts", ["ts", "seq"])
+    assert placed.select(F.min("position"), F.max("position"), F.countDistinct("position")).first() == (1, 60_000, 60_000)
+    assert R.gaps(rows, ["participant_id"], "ts", "seq").where("gap_s = 0").count() == 39_999
+    assert R.burst_groups(rows, ["participant_id"], "ts", "seq", 1).select("burst").distinct().count() == 20_001
+    flagged = R.runs(rows.withColumn("on", F.col("seq") % 3 < 2), ["participant_id"], "ts", "seq", "on")
+    assert flagged.agg(F.sum("n_rows")).first()[0] == 40_000
+
+
 def test_hot_stamp_pairs_are_counted_not_built(spark):
     got = {r["participant_id"]: r["n_pairs"] for r in R.pair_counts_within(hot(spark), "participant_id", "ts", 0).collect()}
     assert got["hot"] == 10000 * 9999 // 2
