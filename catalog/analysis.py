@@ -78,16 +78,18 @@ DEMEANED_SQL = DATA_SQL + ", y AS (SELECT " + ", ".join(
 
 
 @query("within_group_pearson", f"WITH {DEMEANED_SQL} " + each_pair(
-    "SELECT '{a}' AS var_a, '{b}' AS var_b, " + rnd("corr({a}, {b})", 6) + " + 0.0::DOUBLE AS within_r FROM y"))
+    "SELECT '{a}' AS var_a, '{b}' AS var_b, " + rnd("corr({a}, {b})", 6) + " + 0.0::DOUBLE AS within_r, count(*) FILTER "
+    "({a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM y"))
 def within_group_pearson(spark, sf_dir):
-    return tidy(K.within_group_pearson(data(spark, sf_dir), COLS), "within_r").drop("n")
+    return tidy(K.within_group_pearson(data(spark, sf_dir), COLS), "within_r")
 
 
-@query("pooled_vs_within", f"WITH {DEMEANED_SQL}, p AS ({each_pair('SELECT ' + chr(39) + '{a}' + chr(39) + ' AS var_a, ' + chr(39) + '{b}' + chr(39) + ' AS var_b, corr({a}, {b}) AS r FROM x')}), "
+@query("pooled_vs_within", f"WITH {DEMEANED_SQL}, p AS ({each_pair('SELECT ' + chr(39) + '{a}' + chr(39) + ' AS var_a, ' + chr(39) + '{b}' + chr(39) + ' AS var_b, corr({a}, {b}) AS r, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS corr_count FROM x')}), "
        f"w AS ({each_pair('SELECT ' + chr(39) + '{a}' + chr(39) + ' AS var_a, ' + chr(39) + '{b}' + chr(39) + ' AS var_b, corr({a}, {b}) AS r FROM y')}) "
-       f"SELECT var_a, var_b, {rnd('p.r', 6)} + 0.0::DOUBLE AS pooled_r, {rnd('w.r', 6)} + 0.0::DOUBLE AS within_r FROM p JOIN w USING (var_a, var_b)")
+       f"SELECT var_a, var_b, {rnd('p.r', 6)} + 0.0::DOUBLE AS pooled_r, {rnd('w.r', 6)} + 0.0::DOUBLE AS within_r, corr_count AS n, "
+       f"coalesce(sign(p.r) * sign(w.r) < 0, false) AS flips FROM p JOIN w USING (var_a, var_b)")
 def pooled_vs_within(spark, sf_dir):
-    return tidy(K.pooled_vs_within(data(spark, sf_dir), COLS), "pooled_r", "within_r").select("var_a", "var_b", "pooled_r", "within_r")
+    return tidy(K.pooled_vs_within(data(spark, sf_dir), COLS), "pooled_r", "within_r")
 
 
 # Three clearly related columns next to an unrelated one.

@@ -80,13 +80,13 @@ def file_inventory(spark, sf_dir):
 
 
 @query("schema_matrix", B.with_views(f"""
-    r AS (SELECT participant_id, meals, CAST(weight AS VARCHAR) AS weight, alcohol_consumed FROM reporting)
+    r AS (SELECT participant_id, seq, meals, CAST(weight AS VARCHAR) AS weight, alcohol_consumed FROM reporting)
     SELECT 'reporting' AS dataset, participant_id, field, dtype, {rnd('avg((TRY_CAST(v AS DOUBLE) IS NOT NULL)::INTEGER)', 3)} AS numeric_share,
-        count(*) FILTER (v IS NULL) AS n_missing, min(v) AS sample, false AS is_timestamp FROM (
-        SELECT participant_id, unnest(['meals', 'weight', 'alcohol_consumed']) AS field, unnest(['string', 'double', 'string']) AS dtype,
+        count(*) FILTER (v IS NULL) AS n_missing, arg_min(v, seq) FILTER (v IS NOT NULL) AS sample, false AS is_timestamp FROM (
+        SELECT participant_id, seq, unnest(['meals', 'weight', 'alcohol_consumed']) AS field, unnest(['string', 'double', 'string']) AS dtype,
             unnest([meals, weight, alcohol_consumed]) AS v FROM r) GROUP BY 1, 2, 3, 4""", "reporting"))
 def schema_matrix(spark, sf_dir):
-    rows = B.reporting(spark, sf_dir).select("participant_id", "meals", "weight", "alcohol_consumed")
+    rows = B.reporting(spark, sf_dir).select("participant_id", "seq", "meals", "weight", "alcohol_consumed")
     return A.audit_schema(rows, "reporting", timestamp="ts")
 
 

@@ -142,10 +142,10 @@ def pair_threshold_sweep(spark, sf_dir):
 
 
 @query("pair_threshold_by_participant", B.with_views(CONFIRMED_SQL + """
-    SELECT participant_id, CAST(1800 AS INTEGER) AS threshold_s, count(*) FILTER (gap_s <= 1800) AS n_pairs,
-        count(*) FILTER (gap_s <= 1800 AND same_meal) AS n_confirmed FROM confirmed GROUP BY 1"""))
+    SELECT participant_id, CAST(t AS INTEGER) AS threshold_s, count(*) FILTER (gap_s <= t) AS n_pairs,
+        count(*) FILTER (gap_s <= t AND same_meal) AS n_confirmed FROM confirmed, (SELECT unnest([15, 1800]) AS t) GROUP BY 1, 2"""))
 def pair_threshold_by_participant(spark, sf_dir):
-    return R.threshold_sweep(confirmed(spark, sf_dir), [1800], ["participant_id"]).drop("confirm_rate_pct")
+    return R.threshold_sweep(confirmed(spark, sf_dir), [15, 1800], ["participant_id"]).drop("confirm_rate_pct")
 
 
 @query("median_gap_by_verdict", B.with_views(CONFIRMED_SQL + f"""

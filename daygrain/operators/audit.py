@@ -48,16 +48,20 @@ def audit_inventory(participants: DataFrame, row_counts: DataFrame, sizes: DataF
 
 
 def audit_schema(df: DataFrame, source: str, keys: Sequence[str] = (PID,),
-                 timestamp: str | None = None) -> DataFrame:
-    """Per field: type, share of numeric text, missing values, smallest sample."""
-    fields = [c for c in df.columns if c not in keys]
-    long = df.select(*keys, *[F.col(c).cast("string").alias(c) for c in fields]).unpivot(
-        list(keys), fields, "field", "v")
+                 timestamp: str | None = None, order: str = "seq") -> DataFrame:
+    """Per field: type, share of numeric text, missing values, and the first known value in record order.
+
+    Without an ``order`` column the sample is the smallest value.
+    """
+    placed = order in df.columns
+    fields = [c for c in df.columns if c not in keys and c != order]
+    ids = [*keys, *([order] if placed else [])]
+    long = df.select(*ids, *[F.col(c).cast("string").alias(c) for c in fields]).unpivot(ids, fields, "field", "v")
     types = F.create_map(*[F.lit(x) for c, t in df.dtypes if c in fields for x in (c, t)])
     return long.groupBy(*keys, "field").agg(
         F.round(F.avg(F.col("v").try_cast("double").isNotNull().cast("double")), 3).alias("numeric_share"),
         F.count_if(F.col("v").isNull()).alias("n_missing"),
-        F.min("v").alias("sample"),
+        (F.min_by("v", F.when(F.col("v").isNotNull(), F.col(order))) if placed else F.min("v")).alias("sample"),
     ).select(F.lit(source).alias("dataset"), *keys, "field", F.element_at(types, F.col("field")).alias("dtype"),
              "numeric_share", "n_missing", "sample",
              (F.col("field") == F.lit(timestamp or "")).alias("is_timestamp"))

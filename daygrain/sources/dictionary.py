@@ -33,13 +33,14 @@ RULES = (
     (r"total_.*|peak_1min_steps|exercise_min|n_exercise_sessions", "activity", "activity of the day",
      "duplicate minutes and artefact bouts removed"),
     (r"n_deduped_min|n_clipped_hr", "quality", "rows changed by cleaning", "counted"),
-    (r"hr_(mean|sd|peak)|rhr_raw", "cardiac", "heart rate of the day", "untrusted samples removed, clipped"),
+    (r"hr_(mean|sd|peak)", "cardiac", "heart rate of the day", "untrusted samples removed, clipped"),
+    (r"rhr_raw", "cardiac", "resting heart rate of the day", "undated and non-positive values removed"),
+    (r"submission_hour|delayed_flag_ge12|lag_days", "process", "when the log was submitted", "derived"),
     (r"steps_cov_min|hr_cov_min|hr_n_samples|mean_conf|zones_available|has_.*|nutrition_kcal_available|"
      r"n_wellness_rows|n_reporting_rows", "coverage", "how much of the day is known", "counted"),
     (r"nonwear_.*", "wear", "minutes without movement or live heart rate", "runs of an hour or more"),
     (r"n_nights|n_naps|is_classic|.*_min|.*_pct|.*_hour|mean_.*", "sleep", "main night ending that day",
      "naps apart, stages only where recorded"),
-    (r"submission_hour|delayed_flag_ge12|lag_days", "process", "when the log was submitted", "derived"),
     (r"weight_raw|fluids_glasses|alcohol_bin", "reporting", "self report of the day", "as is"),
     (r"n_meals_logged|n_.*photo.*|estimated_kcal|protein_g|carbs_g|fat_g", "nutrition",
      "meals and their estimates", "bursts folded, invalid estimates removed"),
@@ -52,10 +53,8 @@ def feature_columns(df: DataFrame, excluded: Sequence[str] = EXCLUDED) -> list[s
 
 
 def _describe(column: str) -> tuple[str, str, str]:
-    """Source, description and rule; submission_hour must not read as sleep."""
+    """Source, description and rule of the first pattern that names the column."""
     for pattern, source, text, rule in RULES:
-        if column in ("submission_hour",) and source == "sleep":
-            continue
         if re.fullmatch(pattern, column):
             return source, text, rule
     return "derived", "", ""
