@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from daygrain.operators.missing import complete_cases, covered_columns
 from daygrain.operators.rolling import demean_within
 from daygrain.operators.stats import value_positions
+from daygrain.session import stored
 
 MIN_PAIR_ROWS = 3
 MIN_COMPLETE_ROWS = 100
@@ -188,12 +189,12 @@ def spearman_pairs(df: DataFrame, pairs: Pairs, out: str = "spearman_rho") -> Da
     set.  The ranks go back to their rows, which are folded like Pearson's.
     """
     cols, left, right = _indices(pairs)
-    data = finite(df, cols)
-    classes = _known_classes(data, cols)
+    # Stored: read three times, and the row numbers must not change when a lost task is run again.
+    data = stored(finite(df, cols).withColumn("_row", F.monotonically_increasing_id()), "columns")
+    classes = _known_classes(data.select(*cols), cols)
     masks = sorted(set(classes))
     weights = [f"w{m}" for m in masks]
-    marked = data.withColumn("_row", F.monotonically_increasing_id()).withColumn(
-        "_known", F.array(*[F.col(cols[m]).isNotNull().cast("long") for m in masks]))
+    marked = data.withColumn("_known", F.array(*[F.col(cols[m]).isNotNull().cast("long") for m in masks]))
     at = F.create_map(*[F.lit(x) for i, c in enumerate(cols) for x in (c, i)])
     long = (marked.unpivot(["_row", "_known"], list(cols), "_c", "_v").where(F.col("_v").isNotNull())
             .select("_row", F.element_at(at, F.col("_c")).alias("_c"), (F.col("_v") + 0.0).alias("_v"), "_known"))
