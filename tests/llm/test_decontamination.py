@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from daygrain.llm import decontamination
 from test_words import words
+from cases import ODD
 
 
 def brute(docs, items, size):
@@ -34,7 +35,6 @@ def corpus(seed):
 
 @pytest.mark.parametrize(("size", "block"), [(4, 2_000_000), (10, 2_000_000), (4, 20), (1, 2_000_000)])
 def test_matches_brute_force(spark, frame, monkeypatch, size, block):
-    from conftest import ODD
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
     docs, items = corpus(size)
     docs = docs + [(i and i + 100, t) for i, t in ODD]

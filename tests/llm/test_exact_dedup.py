@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from daygrain.llm import exact_dedup
+from cases import ODD
 
 
 def expected(rows):
@@ -21,14 +22,12 @@ def expected(rows):
 
 @pytest.mark.parametrize("block", [3, 7, 4096])
 def test_classes_match_brute_force(frame, block):
-    from conftest import ODD
     rows = ODD + [(100 + i, "abcdef" * (i % 7) + "x" * (i % 3)) for i in range(60)] + [(200, " a b c"), (201, "abc"), (202, "ab c")]
     got = exact_dedup.classes(frame(rows), block_points=block).collect()
     assert sorted((tuple(r) for r in got), key=str) == expected(rows)
 
 
 def test_shared_addresses_fall_back_to_the_blocks(frame, monkeypatch):
-    from conftest import ODD
     monkeypatch.setattr(exact_dedup, "address", lambda block: [F.lit(1).cast("long").alias("h1"), F.lit(2).cast("long").alias("h2")])
     got = exact_dedup.classes(frame(ODD), block_points=5).collect()
     assert sorted((tuple(r) for r in got), key=str) == expected(ODD)

@@ -3,6 +3,7 @@ from math import ceil
 
 from daygrain.llm import licenses
 from test_words import words
+from cases import ODD
 
 
 def brute(text, templates, containment):
@@ -24,7 +25,6 @@ def brute(text, templates, containment):
 
 
 def test_scan_matches_brute_force(frame):
-    from conftest import ODD
     rng = random.Random(4)
     vocabulary = ["the", "of", "license", "under", "MIT", "cc", "by", "nc", "Version", "2", "é", "apache", "rights", "K"]
     docs = list(ODD)

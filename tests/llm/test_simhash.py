@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from daygrain.llm import simhash
 from daygrain.operators.runs import components
+from cases import ODD
 
 
 def plain_fingerprint(text):
@@ -83,7 +84,6 @@ def test_links_find_all_components(spark, monkeypatch, m, chunk):
 
 
 def test_odd_rows(odd, empty):
-    from conftest import ODD
     got = simhash.near_copies(odd).collect()
     assert sorted((str(r["id"]), r["fp"] % (1 << 64)) for r in got) == sorted((str(i), plain_fingerprint(t)) for i, t in ODD)
     by_id = {r["id"]: r["component_id"] for r in got if r["id"] is not None}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from daygrain.llm import token_counts
 from daygrain.session import scratch_dir
+from cases import ODD
 
 SCHEMA = "op string, id long, source string, lang string, tokenizer string, n_tokens long, seq int, extra string"
 
@@ -58,7 +59,6 @@ def test_a_broken_batch_is_written_over(spark):
 
 
 def test_counts(odd, empty):
-    from conftest import ODD
     got = sorted((r["id"], r["n_tokens"]) for r in token_counts.counted(odd).where("tokenizer = 'words-1' AND id IS NOT NULL").collect())
     assert got == sorted((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in ODD if i is not None)
     assert token_counts.counted(empty).count() == 0
