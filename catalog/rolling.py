@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from catalog import bindings as B
-from catalog.registry import query
+from catalog import bindings as B, cleaning  # noqa: F401  (its twins are part of the whole table)
+from catalog.aggregates import MAIN_NIGHT
+from catalog.registry import ORACLE_SQL, query
 from daygrain.operators import daily, missing as M, rolling as W
 from daygrain.operators.audit import abs_deltas, half_split_drift
 from daygrain.operators.joins import reindex_days
@@ -261,6 +262,83 @@ def daily_feature_table(spark, sf_dir):
                       "was_imputed_weight_7d_median", "injured_last_7d", *[F.round(c, 6).alias(c) for c in six])
 
 
-@query("feature_table_all_columns")
+# The whole table: the twins of the daily folds on the spine, zeros where true, then the trailing windows.
+DAY_TWINS = ("activity_by_day", "exercise_by_day", "zones_by_day", "heart_rate_by_day", "resting_hr_by_day", "sleep_scores_by_day",
+             "training_load_three_state", "reporting_by_day", "injury_by_day", "photo_counts_by_day", "injury_onehots", "submission_timing")
+ACTS = ("individual", "running", "endurance", "strength", "team", "soccer", "walk", "bike")
+FLAGS = ("inj_head_neck__minor", "inj_left_foot__major", "inj_left_foot__minor")
+NIGHT_SQL = f"""n0 AS (SELECT *, sleep_type = 'classic' AS classic FROM night),
+    n1 AS (SELECT participant_id, date, CAST(n_nights AS INTEGER) AS n_nights, CAST(n_naps AS INTEGER) AS n_naps,
+        (n_nights > 0)::INTEGER AS has_sleep_record, CASE WHEN n_nights > 0 THEN classic::INTEGER END AS is_classic, asleep_min,
+        time_in_bed_min, efficiency_pct, {", ".join(f"CASE WHEN NOT classic THEN {x}_min END AS {x}_min" for x in ("deep", "light", "rem"))},
+        CASE WHEN classic THEN awake_min ELSE wake_min END AS wake_min,
+        {rnd("(hour(start_ts) + minute(start_ts) / 60.0::DOUBLE + floor(second(start_ts)) / 3600.0::DOUBLE)", 2)} AS onset_hour,
+        {rnd("(hour(end_ts) + minute(end_ts) / 60.0::DOUBLE + floor(second(end_ts)) / 3600.0::DOUBLE)", 2)} AS offset_hour FROM n0),
+    n2 AS (SELECT *, CASE WHEN is_classic = 0 AND deep_min + light_min + rem_min + wake_min > 0 THEN deep_min + light_min + rem_min + wake_min END
+        AS total, CASE WHEN offset_hour < onset_hour THEN ((offset_hour - onset_hour) % 24 + 24) % 24 ELSE (offset_hour - onset_hour) % 24 END
+        AS length FROM n1),
+    nights AS (SELECT * EXCLUDE (total, length), {", ".join(f"{rnd(f'(100 * {x}_min / total)', 2)} AS {x}_pct" for x in ("deep", "light", "rem", "wake"))},
+        {rnd("((onset_hour + length / 2) % 24)", 2)} AS midsleep_hour FROM n2)"""
+WEAR_SQL = f"""moving AS (SELECT participant_id, ts AS m FROM (SELECT participant_id, ts, arg_min(value, seq) AS v FROM minute
+        WHERE metric = 'steps' GROUP BY 1, 2) WHERE v > 0),
+    live AS (SELECT participant_id, date_trunc('minute', ts) AS m FROM hr WHERE confidence IS DISTINCT FROM 0 GROUP BY 1, 2
+        HAVING NOT (count(*) >= 2 AND min(least(greatest(bpm, 30), 220)) = max(least(greatest(bpm, 30), 220)))),
+    points AS (SELECT participant_id, CAST(m AS DATE) AS date, CAST(hour(m) * 60 + minute(m) AS INTEGER) AS p
+            FROM (SELECT * FROM moving UNION SELECT * FROM live)
+        UNION ALL SELECT participant_id, date, -1 FROM spine UNION ALL SELECT participant_id, date, 1440 FROM spine),
+    holes AS (SELECT participant_id, date, lead(p) OVER (PARTITION BY participant_id, date ORDER BY p) - p - 1 AS g FROM points),
+    wear AS (SELECT participant_id, date, CAST(coalesce(sum(g) FILTER (g >= 60), 0) AS BIGINT) AS nonwear_min FROM holes GROUP BY 1, 2)"""
+
+
+def split_twin(name: str) -> str:
+    """The SQL of a registered query with every source on its own event type."""
+    sql = ORACLE_SQL[name]
+    for view, kind in B.KINDS.items():
+        sql = sql.replace(f"{view} AS ({B.VIEWS[view]})", f"{view} AS ({B.VIEWS[view]} WHERE event_type = '{kind}')")
+    return sql.replace("INTERVAL 2 HOUR", "INTERVAL 15 SECOND")  # the table folds bursts at the default gap
+
+
+def whole_table_sql() -> str:
+    days = ", ".join(f"d{i} AS ({split_twin(name)})" for i, name in enumerate(DAY_TWINS))
+    joins = " ".join(f"LEFT JOIN {t} USING (participant_id, date)" for t in (*[f"d{i}" for i in range(len(DAY_TWINS))], "sr", "nights", "wear"))
+    session = ", ".join(f"max(list_contains(activity_names, '{a}')::INTEGER) AS sr_{a}" for a in ACTS)
+    acts = ", ".join(f"greatest(coalesce(ex_{a}, 0), coalesce(sr_{a}, 0)) AS act_{a}" for a in ACTS)
+    raw = ", ".join(f"{p}_{a}" for p in ("ex", "sr") for a in ACTS)
+    zeros = ", ".join(f"coalesce({c}, 0) AS {c}" for c in (*M.ZERO_WHEN_ABSENT, *FLAGS) if c != "nutrition_kcal_available")
+    ratios = {"wellness": "n_wellness_rows = 0", "weight": "weight_raw IS NULL", "zones": "zones_available = 0", "sleep": "n_nights = 0",
+              "srpe": "srpe_n_sessions = 0"}
+    missing = ", ".join(f"{rnd(f'avg(({gone})::INTEGER) {W7}', 6)} AS missing_ratio_{c}_7d" for c, gone in ratios.items())
+    stats = ", ".join(f"{rnd(f'({f}({c}) {W7})', 6)} AS {c}_{n}_7d" for c in P.WINDOWED
+                      for n, f in (("mean", "avg"), ("median", "median"), ("std", "stddev_samp")))
+    medians = ", ".join(f"{rnd(f'(median({c}_raw) {W7})', 2)} AS {c}_m, {rnd(f'({c}_raw - median({c}_raw) {W7})', 2)} AS {c}_residual"
+                        for c in ("weight", "rhr"))
+    carry = ", ".join(f"last_value({c}_m IGNORE NULLS) OVER (PARTITION BY participant_id ORDER BY date ROWS BETWEEN 2 PRECEDING AND "
+                      f"1 PRECEDING) AS {c}_c" for c in ("weight", "rhr"))
+    filled = ", ".join(f"coalesce({c}_m, {c}_c) AS {c}_7d_median, ({c}_m IS NULL AND {c}_c IS NOT NULL)::INTEGER AS was_imputed_{c}_7d_median"
+                       for c in ("weight", "rhr"))
+    presence = ", ".join(f"(coalesce({src}, 0) > 0)::INTEGER AS {flag}" for flag, src in M.PRESENCE.items() if flag != src)
+    return B.with_views(f"""{days}, {MAIN_NIGHT}, {NIGHT_SQL}, {WEAR_SQL},
+    sr AS (SELECT participant_id, d AS date, {session} FROM srpe GROUP BY 1, 2),
+    j AS (SELECT * EXCLUDE (srpe_load, srpe_minutes, {raw}) REPLACE ({zeros}), {acts},
+        CASE WHEN srpe_n_sessions IS NULL THEN 0 ELSE srpe_load END AS srpe_load FROM spine {joins}),
+    w AS (SELECT *, {medians}, {stats}, {missing}, {MONO} AS mono, sum(srpe_load) {W7} AS s7, avg(srpe_load) {W7} AS m7,
+        avg(srpe_load) {W28} AS m28, max(is_injured_day) {W7} AS injured_last_7d,
+        lead(readiness_same_day) OVER (PARTITION BY participant_id ORDER BY date) AS readiness_next_day FROM j),
+    f AS (SELECT *, {carry} FROM w)
+    SELECT * EXCLUDE (mono, s7, m7, m28, weight_m, rhr_m, weight_c, rhr_c), {filled}, {presence},
+        {rnd('s7', 1)} AS load_7d_sum, {rnd('m7', 1)} AS load_7d_mean, {rnd('mono', 2)} AS monotony_7d, {rnd('(s7 * mono)', 1)} AS strain_7d,
+        {rnd('(m7 / nullif(m28, 0))', 2)} AS acwr_7_28, CAST(isodow(date) - 1 AS INTEGER) AS dow, (isodow(date) >= 5)::INTEGER AS weekend_bin,
+        (readiness_next_day IS NOT NULL)::INTEGER AS label_available, {rnd('(nonwear_min / 60::DOUBLE)', 2)} AS nonwear_hours,
+        (nonwear_min > 0)::INTEGER AS has_nonwear,
+        (participant_id NOT IN (SELECT participant_id FROM hr))::INTEGER AS nonwear_is_upper_bound,
+        NULL::DOUBLE AS estimated_kcal, NULL::DOUBLE AS protein_g, NULL::DOUBLE AS carbs_g, NULL::DOUBLE AS fat_g,
+        0 AS nutrition_kcal_available
+    FROM f""", "spine", "minute", "hr", "sleep", "srpe", split=True)
+
+
+@query("feature_table_all_columns", whole_table_sql())
 def feature_table_all_columns(spark, sf_dir):
-    return feature_table(spark, sf_dir)
+    """Every column; the trailing statistics with six decimals."""
+    out = feature_table(spark, sf_dir)
+    six = [c for c in out.columns if c.startswith("missing_ratio_") or c.endswith(("_mean_7d", "_median_7d", "_std_7d"))]
+    return out.withColumns({c: F.round(c, 6) for c in six})
