@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import bindings as B
 from catalog.joins import WINDOWS_SQL, in_window_sql, windows
-from catalog.registry import query
+from catalog.registry import ORACLE_SQL, query
 from daygrain.functions import encoding as E
 from daygrain.operators import daily, windowed as W
 from daygrain.plans import report as R
@@ -382,6 +382,61 @@ def window_report(spark, sf_dir):
         "injury.reports_in_window", "nutrition.n_food_photos")
 
 
+# The whole record: the twins of its parts side by side, lists and maps as text.
+RECORD_TWINS = ("activity_by_window", "exercise_by_window", "mean_resting_hr", "zone_minutes_by_window", "sleep_scores_by_window",
+                "latest_wellness_by_window", "training_load_by_window", "reporting_by_window", "injury_by_window", "last_known_injury")
+NIGHT_NUMBERS = ("asleep_min", "time_in_bed_min", "efficiency_pct", "deep_min", "light_min", "rem_min", "wake_min")
+ZERO_IN_RECORD = ("n_wellness_rows", "n_srpe_sessions", "srpe_total_duration_min", "training_load", "n_reporting_rows", "n_meals_logged")
+
+
+def record_sql() -> str:
+    parts = ", ".join(f"r{i} AS ({B.split_twin(ORACLE_SQL[name])})" for i, name in enumerate(RECORD_TWINS))
+    joins = " ".join(f"LEFT JOIN {t} USING (participant_id, window_id)" for t in (*[f"r{i}" for i in range(len(RECORD_TWINS))], "nn", "pp", "ii"))
+    numbers = " || '/' || ".join(f"coalesce(CAST(CAST({c} AS BIGINT) AS VARCHAR), '-')" for c in NIGHT_NUMBERS)
+    zeros = ", ".join(f"coalesce({c}, 0) AS {c}" for c in (*ZERO_IN_RECORD, "z0", "z1", "z2", "z3"))
+    return B.with_views(WINDOWS_SQL + f""", {parts},
+    nn AS (SELECT participant_id, window_id, count(*) AS nights, string_agg(date_of_sleep || '/' || {numbers}, ';' ORDER BY position) AS night_list
+        FROM ({B.split_twin(ORACLE_SQL["nights_of_windows"])}) GROUP BY 1, 2),
+    pp AS (SELECT w.participant_id, w.window_id, count(*) AS photos, string_agg(DISTINCT file, ',' ORDER BY file) AS photo_files
+        FROM windows w JOIN photos s ON s.participant_id = w.participant_id AND {in_window_sql('s.ts')} GROUP BY 1, 2),
+    ii AS (SELECT w.participant_id, w.window_id, string_agg(strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || '=' || foot || '/' || coalesce(head, ''), ';'
+        ORDER BY ts) AS injuries FROM windows w JOIN injury s ON s.participant_id = w.participant_id AND {in_window_sql('s.ts')}
+        WHERE foot IS NOT NULL GROUP BY 1, 2)
+    SELECT * EXCLUDE (lower, upper, inclusive, n_named, nights, photos, meal_names) REPLACE ({zeros}), CAST(lower AS DATE) AS start_date,
+        CAST(upper AS DATE) AS end_date, coalesce(meal_names, '') AS meal_names, coalesce(nights, 0) AS n_nights,
+        coalesce(nights, 0) > 0 AS has_sleep_record, coalesce(photos, 0) AS n_food_photos FROM windows {joins}""",
+        "people", "photos", "injury", split=True)
+
+
+@query("window_record", record_sql())
+def window_record(spark, sf_dir):
+    """Every field of the record (the estimates are the caller's)."""
+    zone = {f"z{i}": F.coalesce(F.try_element_at("activity.hr_zones_min", F.lit(z)), F.lit(0.0)).alias(f"z{i}")
+            for i, z in enumerate(E.ZONE_KEYS)}
+    night = F.transform("sleep.nights", lambda n: F.concat_ws("/", n["date_of_sleep"], *[
+        F.coalesce(n[c].cast("long").cast("string"), F.lit("-")) for c in NIGHT_NUMBERS]))
+    hurt = F.transform(F.map_entries("injury.injuries"), lambda e: F.concat(
+        e["key"], F.lit("="), F.try_element_at(e["value"], F.lit("left_foot")), F.lit("/"),
+        F.coalesce(F.try_element_at(e["value"], F.lit("head_neck")), F.lit(""))))
+    foot = F.coalesce(F.try_element_at("injury.last_known", F.lit("left_foot")), F.lit("none"))
+    sessions = F.col("activity.n_exercise_sessions") > 0
+    return report(spark, sf_dir).select(
+        *W.WINDOW, "start_date", "end_date",
+        *[f"activity.{c}" for c in ("total_steps", "peak_1min_steps", "total_distance", "total_calories_burned", "n_exercise_sessions",
+                                    "resting_hr_bpm")],
+        F.when(sessions, F.col("activity.exercise_minutes")).otherwise(0.0).alias("exercise_minutes"),
+        F.array_join("activity.activities", ",").alias("activities"), *zone.values(),
+        "sleep.n_nights", "sleep.has_sleep_record", F.array_join(night, ";").alias("night_list"),
+        *[f"sleep.mean_{c}" for c in daily.SCORE_COLUMNS],
+        "questionnaire.n_wellness_rows", *[f"questionnaire.latest_wellness.{c}" for c in ("fatigue", "mood", "readiness", "soreness_area")],
+        *[f"questionnaire.{c}" for c in ("n_srpe_sessions", "mean_rpe", "srpe_total_duration_min", "training_load", "weight_kg",
+                                         "total_glasses_of_fluid", "alcohol_consumed")],
+        *[f"injury.{c}" for c in ("reports_in_window", "is_injured", "has_report_in_window", "last_report_ts")],
+        F.array_join(hurt, ";").alias("injuries"), F.when(F.col("injury.last_known").isNotNull(), foot).alias("left_foot"),
+        "nutrition.n_reporting_rows", "nutrition.n_meals_logged", F.coalesce(F.array_join("nutrition.meal_names", ","), F.lit("")).alias("meal_names"),
+        "nutrition.n_food_photos", F.array_join("nutrition.photo_files", ",").alias("photo_files"))
+
+
 @query("report_text")
 def report_text(spark, sf_dir):
     return R.render_report(report(spark, sf_dir)).select(*W.WINDOW, "text")

@@ -263,3 +263,10 @@ def with_views(body: str, *names: str, split: bool = False) -> str:
     ctes = ", ".join(f"{n} AS ({VIEWS[n]}{only.get(n, '')})" for n in wanted)
     body = body.strip()
     return f"WITH {ctes}{',' if not body.upper().startswith('SELECT') else ''} {body}"
+
+
+def split_twin(sql: str) -> str:
+    """The SQL of a query on single sources, with every source on its own event type."""
+    for view, kind in KINDS.items():
+        sql = sql.replace(f"{view} AS ({VIEWS[view]})", f"{view} AS ({VIEWS[view]} WHERE event_type = '{kind}')")
+    return sql

@@ -290,16 +290,9 @@ WEAR_SQL = f"""moving AS (SELECT participant_id, ts AS m FROM (SELECT participan
     wear AS (SELECT participant_id, date, CAST(coalesce(sum(g) FILTER (g >= 60), 0) AS BIGINT) AS nonwear_min FROM holes GROUP BY 1, 2)"""
 
 
-def split_twin(name: str) -> str:
-    """The SQL of a registered query with every source on its own event type."""
-    sql = ORACLE_SQL[name]
-    for view, kind in B.KINDS.items():
-        sql = sql.replace(f"{view} AS ({B.VIEWS[view]})", f"{view} AS ({B.VIEWS[view]} WHERE event_type = '{kind}')")
-    return sql.replace("INTERVAL 2 HOUR", "INTERVAL 15 SECOND")  # the table folds bursts at the default gap
-
-
 def whole_table_sql() -> str:
-    days = ", ".join(f"d{i} AS ({split_twin(name)})" for i, name in enumerate(DAY_TWINS))
+    # The table folds bursts at the default gap.
+    days = ", ".join(f"d{i} AS ({B.split_twin(ORACLE_SQL[name]).replace("INTERVAL 2 HOUR", "INTERVAL 15 SECOND")})" for i, name in enumerate(DAY_TWINS))
     joins = " ".join(f"LEFT JOIN {t} USING (participant_id, date)" for t in (*[f"d{i}" for i in range(len(DAY_TWINS))], "sr", "nights", "wear"))
     session = ", ".join(f"max(list_contains(activity_names, '{a}')::INTEGER) AS sr_{a}" for a in ACTS)
     acts = ", ".join(f"greatest(coalesce(ex_{a}, 0), coalesce(sr_{a}, 0)) AS act_{a}" for a in ACTS)
