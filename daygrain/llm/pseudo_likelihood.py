@@ -3,13 +3,14 @@
 Each word is predicted from the two words before and the two behind it, itself
 masked: h = tanh(b + sum of an embedding per neighbour and offset).  The word is
 predicted in two steps, its class and its place in the class, which are ranges of
-the frequency order; so a normalised log-probability costs 2 * 64 outputs instead
-of 4,096.  A document's score is the sum of the log-probabilities of its words.
+the frequency order; so a normalised log-probability costs 2 * 48 outputs instead
+of 2,304.  A document's score is the sum of the log-probabilities of its words.
 
 Vocabulary: all words are counted over all documents; the most frequent get an
 id of their own, the rest share hashed ids.
 
-Training: numpy, one pass over all words of all documents in ``ROUNDS`` rounds.  In
+Training: numpy, one pass over all documents in ``ROUNDS`` rounds; every word is a
+neighbour, and a random share ``MASKED`` of the words is masked and predicted.  In
 a round each task starts from the same weights and learns from its share of the
 round's documents; the results are averaged by the number of words, in two steps
 so that no task meets the weights of all others.
@@ -36,16 +37,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from daygrain.llm.common import hashed_words, ship, utf8
 
-CLASSES = MEMBERS = 64
+CLASSES = MEMBERS = 48
 WORDS = CLASSES * MEMBERS
 #: Ids shared by the words that are not frequent enough for one of their own.
 SHARED = 256
 OUTSIDE = WORDS
 OFFSETS = (-2, -1, 1, 2)
-WIDTH = 32
+WIDTH = 24
 ROUNDS = 3
 BATCH = 16384
+#: Words whose class scores are held at a time, so that they stay in a core's cache.
+BLOCK = 2048
 RATE = 0.1
+MASKED = 0.5
 #: Rows of weights handed on together, and how many partial averages are taken per such part.
 PART, FAN = 256, 64
 
@@ -79,11 +83,16 @@ class Weights:
         return Weights(*parts)
 
 
-def softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
+def exponentials(logits: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits, in place, and the sum of each row.
+
+    The hidden values lie in [-1, 1], so the weights (``rows``, the last of each a
+    bias) bound the logits; they are shifted only where they could overflow.
+    """
+    if np.abs(rows).sum(1).max() > 60:
+        logits -= logits.max(1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
-    return logits
+    return logits, logits @ np.ones(logits.shape[1], np.float32)
 
 
 def contexts(ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -103,28 +112,31 @@ def hidden(weights: Weights, near: np.ndarray) -> np.ndarray:
     return np.tanh(total, out=total)
 
 
-def by_class(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The positions of each class that occurs."""
-    classes = ids // MEMBERS
+def class_order(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that sorts words by class, and (class, first, end) of each class that occurs in it."""
+    classes = (ids // MEMBERS).astype(np.uint8)
     order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if cuts[c] < cuts[c + 1]:
-            yield c, order[cuts[c]:cuts[c + 1]]
+    cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, cuts[c], cuts[c + 1]) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
 
 
 def log_probabilities(weights: Weights, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
     """The log-probability of every word given its neighbours."""
     out = np.empty(len(ids), np.float64)
+    class_rows, class_bias = np.ascontiguousarray(weights.classes[:, :-1].T), weights.classes[:, -1]
+    member_rows = [np.ascontiguousarray(m[:, :-1].T) for m in weights.members]
     for at in range(0, len(ids), BATCH):
-        some = slice(at, at + BATCH)
-        own, h = ids[some], hidden(weights, near[some])
-        p = softmax(h @ weights.classes[:, :-1].T + weights.classes[:, -1])
-        chance = p[np.arange(len(own)), own // MEMBERS].astype(np.float64)
-        for c, rows in by_class(own):
-            q = softmax(h[rows] @ weights.members[c, :, :-1].T + weights.members[c, :, -1])
-            chance[rows] *= q[np.arange(len(rows)), own[rows] % MEMBERS]
-        out[some] = np.log(np.maximum(chance, 1e-30))
+        order, groups = class_order(ids[at:at + BATCH])
+        own = ids[at:at + BATCH][order]
+        h = hidden(weights, near[at:at + BATCH][order])
+        rows, chance = np.arange(len(own)), np.empty(len(own), np.float32)
+        for lo in range(0, len(own), BLOCK):
+            p, total = exponentials(h[lo:lo + BLOCK] @ class_rows + class_bias, weights.classes)
+            chance[lo:lo + BLOCK] = p[rows[:len(p)], own[lo:lo + BLOCK] // MEMBERS] / total
+        for c, lo, hi in groups:
+            q, total = exponentials(h[lo:hi] @ member_rows[c] + weights.members[c, :, -1], weights.members[c])
+            chance[lo:hi] *= q[rows[:hi - lo], own[lo:hi] % MEMBERS] / total
+        out[at + order] = np.log(np.maximum(chance, 1e-30))
     return out
 
 
@@ -136,29 +148,46 @@ class Trainer:
         self.seen = Weights(*(np.full_like(a, 1e-6) for a in (weights.embed, weights.classes, weights.members)))
 
     @staticmethod
-    def _update(values: np.ndarray, squares: np.ndarray, gradient: np.ndarray, where: object) -> None:
-        squares[where] += gradient * gradient
-        values[where] -= RATE * gradient / np.sqrt(squares[where])
+    def _update(values: np.ndarray, squares: np.ndarray, gradient: np.ndarray) -> None:
+        squares += gradient * gradient
+        values -= RATE * gradient / np.sqrt(squares)
+
+    @staticmethod
+    def _errors(h: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Probabilities minus the wanted ones."""
+        p, total = exponentials(h @ rows[:, :-1].T + rows[:, -1], rows)
+        p *= (1 / total)[:, None]
+        p[np.arange(len(p)), wanted] -= 1
+        return p
 
     def step(self, ids: np.ndarray, near: np.ndarray) -> None:
-        w, n = self.w, len(ids)
+        w = self.w
+        order, groups = class_order(ids)
+        ids, near = ids[order], near[order]
         h = hidden(w, near)
-        p = softmax(h @ w.classes[:, :-1].T + w.classes[:, -1])
-        p[np.arange(n), ids // MEMBERS] -= 1
-        back = p @ w.classes[:, :-1]
-        for c, rows in by_class(ids):
-            own = h[rows]
-            q = softmax(own @ w.members[c, :, :-1].T + w.members[c, :, -1])
-            q[np.arange(len(rows)), ids[rows] % MEMBERS] -= 1
-            back[rows] += q @ w.members[c, :, :-1]
-            self._update(w.members, self.seen.members, np.hstack([q.T @ own, q.sum(0)[:, None]]), c)
-        self._update(w.classes, self.seen.classes, np.hstack([p.T @ h, p.sum(0)[:, None]]), slice(None))
+        back, gradient = np.empty_like(h), np.zeros_like(w.classes)
+        for lo in range(0, len(ids), BLOCK):
+            own = h[lo:lo + BLOCK]
+            p = self._errors(own, w.classes, ids[lo:lo + BLOCK] // MEMBERS)
+            back[lo:lo + BLOCK] = p @ w.classes[:, :-1]
+            gradient[:, :-1] += p.T @ own
+            gradient[:, -1] += p.sum(0)
+        for c, lo, hi in groups:
+            own = h[lo:hi]
+            q = self._errors(own, w.members[c], ids[lo:hi] % MEMBERS)
+            back[lo:hi] += q @ w.members[c, :, :-1]
+            self._update(w.members[c], self.seen.members[c], np.hstack([q.T @ own, q.sum(0)[:, None]]))
+        self._update(w.classes, self.seen.classes, gradient)
         back *= 1 - h * h
         for k in range(len(OFFSETS)):
-            order = np.argsort(near[:, k], kind="stable")
-            words = near[order, k]
-            first = np.flatnonzero(np.diff(words, prepend=-1))
-            self._update(w.embed[k], self.seen.embed[k], np.add.reduceat(back[order], first, axis=0), words[first])
+            column = near[:, k].astype(np.uint16)  # sorted by radix
+            order = np.argsort(column, kind="stable")
+            words = column[order]
+            first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            gradient, at = np.add.reduceat(back[order], first, axis=0), words[first]
+            squares = self.seen.embed[k][at] + gradient * gradient
+            self.seen.embed[k][at] = squares
+            w.embed[k][at] -= RATE * gradient / np.sqrt(squares)
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -227,8 +256,8 @@ def _round(docs: DataFrame, text_col: str, frequent: np.ndarray, weights: Weight
             for lo, hi in portions(texts):
                 ids, owner = lookup.texts(texts[lo:hi])
                 near = contexts(ids, owner)
-                order = rng.permutation(len(ids))
-                for at in range(0, len(ids), BATCH):
+                order = rng.permutation(len(ids))[:round(MASKED * len(ids) + 0.5)]
+                for at in range(0, len(order), BATCH):
                     some = order[at:at + BATCH]
                     trainer.step(ids[some], near[some])
                 n += len(ids)
