@@ -107,11 +107,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         level, open_rows = level + 1, _pair_level(open_rows)
     names = reduce(DataFrame.unionAll, ended)
-    rows = prints.select("id", "n_points", "sha").alias("r").join(
+    rows = stored(prints.select("id", "n_points", "sha").alias("r").join(
         names.alias("n"), F.col("r.id").eqNullSafe(F.col("n.id")) & (F.col("r.sha") == F.col("n.sha"))).select(
-        "r.id", "r.n_points", "r.sha", "n.level", "n.name")
-    groups = rows.groupBy("level", "name").agg(
-        F.max_by("id", F.struct("n_points", -F.col("id"))).alias("keep_id"), F.count("*").alias("group_size"))
+        "r.id", "r.n_points", "r.sha", "n.level", "n.name"), "rows")
+    # Stored, so that both sides of the join are read: a group that holds a third of all rows can then be split.
+    groups = stored(rows.groupBy("level", "name").agg(
+        F.max_by("id", F.struct("n_points", -F.col("id"))).alias("keep_id"), F.count("*").alias("group_size")), "groups")
     return rows.join(groups, ["level", "name"]).select("id", "n_points", "sha", "keep_id", "group_size")
 
 
