@@ -163,7 +163,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, weights = sent.value[0], Model(*sent.value).dense()
-        for batch in batches:
+        # A thousand rows at a time: whole rows go back to the JVM, and what both sides hold of them stays small.
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             sums = np.zeros(batch.num_rows)
             active = [np.zeros(0, np.int64)]
             for words in hashed_words(utf8(batch.column(0)), STEM):
