@@ -3,15 +3,14 @@
 Each word is predicted from the two words before and the two behind it, itself
 masked: h = tanh(b + sum of an embedding per neighbour and offset).  The word is
 predicted in two steps, its class and its place in the class, which are ranges of
-the frequency order; so a normalised log-probability costs 2 * 48 outputs instead
-of 2,304.  A document's score is the sum of the log-probabilities of its words.
+the frequency order; so a normalised log-probability costs 2 * 64 outputs instead
+of 4,096.  A document's score is the sum of the log-probabilities of its words.
 
 Vocabulary: all words are counted over all documents; the most frequent get an
 id of their own, the rest share hashed ids.
 
-Training: numpy, one pass over all documents in ``ROUNDS`` rounds; every word is a
-neighbour, and a random share ``MASKED`` of the words is masked and predicted.  In
-a round each task starts from the same weights and learns from its share of the
+Training: numpy, one pass over all words of all documents in ``ROUNDS`` rounds; every
+word is a neighbour, and every word is masked and predicted once.  In a round each task starts from the same weights and learns from its share of the
 round's documents; the results are averaged by the number of words, in two steps
 so that no task meets the weights of all others.
 
@@ -37,19 +36,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from daygrain.llm.common import hashed_words, ship, utf8
 
-CLASSES = MEMBERS = 48
+CLASSES = MEMBERS = 64
 WORDS = CLASSES * MEMBERS
 #: Ids shared by the words that are not frequent enough for one of their own.
 SHARED = 256
 OUTSIDE = WORDS
 OFFSETS = (-2, -1, 1, 2)
-WIDTH = 24
+WIDTH = 32
 ROUNDS = 3
 BATCH = 16384
 #: Words whose class scores are held at a time, so that they stay in a core's cache.
 BLOCK = 2048
 RATE = 0.1
-MASKED = 0.5
 #: Rows of weights handed on together, and how many partial averages are taken per such part.
 PART, FAN = 256, 64
 
@@ -242,6 +240,15 @@ def portions(texts: list[bytes], size: int = 1 << 22) -> Iterator[tuple[int, int
             lo, held = i + 1, 0
 
 
+def study(trainer: Trainer, ids: np.ndarray, owner: np.ndarray, rng: np.random.Generator) -> int:
+    """Mask and predict every word once, in random order; the number of words."""
+    near, order = contexts(ids, owner), rng.permutation(len(ids))
+    for at in range(0, len(order), BATCH):
+        some = order[at:at + BATCH]
+        trainer.step(ids[some], near[some])
+    return len(ids)
+
+
 def _round(docs: DataFrame, text_col: str, frequent: np.ndarray, weights: Weights, number: int, rounds: int) -> Weights:
     """Weights after one round: the documents of the round, each task on its own, then the average."""
     sent = docs.sparkSession.sparkContext.broadcast((frequent, weights.rows()))
@@ -254,13 +261,7 @@ def _round(docs: DataFrame, text_col: str, frequent: np.ndarray, weights: Weight
         for batch in batches:
             texts = utf8(batch.column(0))
             for lo, hi in portions(texts):
-                ids, owner = lookup.texts(texts[lo:hi])
-                near = contexts(ids, owner)
-                order = rng.permutation(len(ids))[:round(MASKED * len(ids) + 0.5)]
-                for at in range(0, len(order), BATCH):
-                    some = order[at:at + BATCH]
-                    trainer.step(ids[some], near[some])
-                n += len(ids)
+                n += study(trainer, *lookup.texts(texts[lo:hi]), rng)
         if n:
             rows = trainer.w.rows()
             parts = [rows[at:at + PART].tobytes() for at in range(0, len(rows), PART)]

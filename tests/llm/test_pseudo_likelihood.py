@@ -73,3 +73,18 @@ def test_odd_rows(odd, empty):
     assert sum(r["n_words"] == 0 for r in got) == 5
     nothing = P.fit(empty)
     assert P.score(empty, nothing).count() == 0 and P.score(odd, nothing).count() == odd.count()
+
+
+def test_every_word_is_learned_from():
+    assert (P.CLASSES, P.MEMBERS, P.WIDTH) == (64, 64, 32)
+
+    class Counter:
+        def __init__(self):
+            self.seen = []
+
+        def step(self, ids, near):
+            self.seen += ids.tolist()
+
+    counter, ids = Counter(), np.arange(2 * P.BATCH + 100, dtype=np.int32)
+    assert P.study(counter, ids, np.zeros(len(ids), np.int64), np.random.default_rng(0)) == len(ids)
+    assert sorted(counter.seen) == ids.tolist()
