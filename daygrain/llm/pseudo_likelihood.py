@@ -6,20 +6,25 @@ predicted in two steps, its class and its place in the class, which are ranges o
 the frequency order; so a normalised log-probability costs 2 * 64 outputs instead
 of 4,096.  A document's score is the sum of the log-probabilities of its words.
 
-Vocabulary: all words are counted over all documents; the most frequent get an
-id of their own, the rest share hashed ids.
+Vocabulary: all words are counted over all documents.  The network's classes and
+members grow with the fourth root of the number of distinct words, so its ids grow
+with the square root, 64 x 64 at least.  The most frequent words get an id of their
+own, the rest share hashed ids; their probability is that of the id times the
+word's share of the id's count, joined from the table of all counts.
 
 Training: numpy, one pass over all words of all documents in ``ROUNDS`` rounds; every
 word is a neighbour, and every word is masked and predicted once.  In a round each task starts from the same weights and learns from its share of the
 round's documents; the results are averaged by the number of words, in two steps
 so that no task meets the weights of all others.
 
-At volume: texts are never shuffled.  Word counts fold map-side.  Weights are a few
-megabytes whatever the corpus holds: these are what is broadcast, and what each
-task hands on.
+At volume: texts are never shuffled.  Word counts fold map-side; the table of
+all counts is stored and joined, never broadcast by force.  Weights grow with the
+square root of the distinct words (8 MB at 100,000, 40 MB at ten million): these are
+what is broadcast, and what each task hands on.
 
 Defined cases: null and empty texts have no words, a sum of 0 and no mean; a
-neighbour beyond the text is a mark of its own; rows that repeat an id are scored
+neighbour beyond the text is a mark of its own; a word that was not counted has
+half an occurrence of its shared id; rows that repeat an id are scored
 each; without any word in the corpus the weights stay at their start; extra
 columns are ignored; an empty table gives an empty result.
 """
@@ -33,14 +38,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from daygrain.llm.common import hashed_words, ship, utf8
+from daygrain.session import stored
 
 CLASSES = MEMBERS = 64
 WORDS = CLASSES * MEMBERS
-#: Ids shared by the words that are not frequent enough for one of their own.
-SHARED = 256
+#: Classes and members per fourth root of the number of distinct words.
+GROWTH = 4
+#: One id in so many is shared by words that are not frequent enough for one of their own.
+SHARED_OF = 16
 OUTSIDE = WORDS
+#: Occurrences of a word that was not counted.
+UNSEEN = 0.5
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 32
 ROUNDS = 3
@@ -61,11 +72,14 @@ class Weights:
     members: np.ndarray
 
     @staticmethod
-    def start(seed: int = 7) -> Weights:
+    def start(seed: int = 7, side: int = CLASSES) -> Weights:
         rng = np.random.default_rng(seed)
-        embed = rng.normal(0, 0.1, (len(OFFSETS), WORDS + 1, WIDTH)).astype(np.float32)
-        return Weights(embed, np.zeros((CLASSES, WIDTH + 1), np.float32),
-                       np.zeros((CLASSES, MEMBERS, WIDTH + 1), np.float32))
+        embed = rng.normal(0, 0.1, (len(OFFSETS), side * side + 1, WIDTH)).astype(np.float32)
+        return Weights(embed, np.zeros((side, WIDTH + 1), np.float32), np.zeros((side, side, WIDTH + 1), np.float32))
+
+    @property
+    def side(self) -> int:
+        return len(self.classes)
 
     def rows(self) -> np.ndarray:
         """All weights as rows of equal width, for sending."""
@@ -73,11 +87,12 @@ class Weights:
         return np.resize(np.append(flat, np.zeros(-len(flat) % WIDTH, np.float32)), (-(-len(flat) // WIDTH), WIDTH))
 
     @staticmethod
-    def of_rows(rows: np.ndarray) -> Weights:
-        like, flat, parts, at = Weights.start(), rows.ravel(), [], 0
-        for array in (like.embed, like.classes, like.members):
-            parts.append(flat[at:at + array.size].reshape(array.shape).astype(np.float32))
-            at += array.size
+    def of_rows(rows: np.ndarray, side: int = CLASSES) -> Weights:
+        flat, parts, at = rows.ravel(), [], 0
+        for shape in ((len(OFFSETS), side * side + 1, WIDTH), (side, WIDTH + 1), (side, side, WIDTH + 1)):
+            size = int(np.prod(shape))
+            parts.append(flat[at:at + size].reshape(shape).astype(np.float32))
+            at += size
         return Weights(*parts)
 
 
@@ -93,9 +108,9 @@ def exponentials(logits: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.n
     return logits, logits @ np.ones(logits.shape[1], np.float32)
 
 
-def contexts(ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """(word, offset): the neighbours of every word, ``OUTSIDE`` beyond its text."""
-    out = np.full((len(ids), len(OFFSETS)), OUTSIDE, np.int32)
+def contexts(ids: np.ndarray, owner: np.ndarray, outside: int = OUTSIDE) -> np.ndarray:
+    """(word, offset): the neighbours of every word, ``outside`` beyond its text."""
+    out = np.full((len(ids), len(OFFSETS)), outside, np.int32)
     for k, o in enumerate(OFFSETS):
         here, there = (slice(-o, None), slice(None, o)) if o < 0 else (slice(None, -o), slice(o, None))
         same = owner[here] == owner[there]
@@ -110,12 +125,12 @@ def hidden(weights: Weights, near: np.ndarray) -> np.ndarray:
     return np.tanh(total, out=total)
 
 
-def class_order(ids: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+def class_order(ids: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order that sorts words by class, and (class, first, end) of each class that occurs in it."""
-    classes = (ids // MEMBERS).astype(np.uint8)
+    classes = (ids // side).astype(np.uint8 if side <= 256 else np.uint16)
     order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1)).tolist()
-    return order, [(c, cuts[c], cuts[c + 1]) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+    cuts = np.searchsorted(classes[order], np.arange(side + 1)).tolist()
+    return order, [(c, cuts[c], cuts[c + 1]) for c in range(side) if cuts[c] < cuts[c + 1]]
 
 
 def log_probabilities(weights: Weights, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -124,16 +139,16 @@ def log_probabilities(weights: Weights, ids: np.ndarray, near: np.ndarray) -> np
     class_rows, class_bias = np.ascontiguousarray(weights.classes[:, :-1].T), weights.classes[:, -1]
     member_rows = [np.ascontiguousarray(m[:, :-1].T) for m in weights.members]
     for at in range(0, len(ids), BATCH):
-        order, groups = class_order(ids[at:at + BATCH])
+        order, groups = class_order(ids[at:at + BATCH], weights.side)
         own = ids[at:at + BATCH][order]
         h = hidden(weights, near[at:at + BATCH][order])
         rows, chance = np.arange(len(own)), np.empty(len(own), np.float32)
         for lo in range(0, len(own), BLOCK):
             p, total = exponentials(h[lo:lo + BLOCK] @ class_rows + class_bias, weights.classes)
-            chance[lo:lo + BLOCK] = p[rows[:len(p)], own[lo:lo + BLOCK] // MEMBERS] / total
+            chance[lo:lo + BLOCK] = p[rows[:len(p)], own[lo:lo + BLOCK] // weights.side] / total
         for c, lo, hi in groups:
             q, total = exponentials(h[lo:hi] @ member_rows[c] + weights.members[c, :, -1], weights.members[c])
-            chance[lo:hi] *= q[rows[:hi - lo], own[lo:hi] % MEMBERS] / total
+            chance[lo:hi] *= q[rows[:hi - lo], own[lo:hi] % weights.side] / total
         out[at + order] = np.log(np.maximum(chance, 1e-30))
     return out
 
@@ -160,25 +175,25 @@ class Trainer:
 
     def step(self, ids: np.ndarray, near: np.ndarray) -> None:
         w = self.w
-        order, groups = class_order(ids)
+        order, groups = class_order(ids, w.side)
         ids, near = ids[order], near[order]
         h = hidden(w, near)
         back, gradient = np.empty_like(h), np.zeros_like(w.classes)
         for lo in range(0, len(ids), BLOCK):
             own = h[lo:lo + BLOCK]
-            p = self._errors(own, w.classes, ids[lo:lo + BLOCK] // MEMBERS)
+            p = self._errors(own, w.classes, ids[lo:lo + BLOCK] // w.side)
             back[lo:lo + BLOCK] = p @ w.classes[:, :-1]
             gradient[:, :-1] += p.T @ own
             gradient[:, -1] += p.sum(0)
         for c, lo, hi in groups:
             own = h[lo:hi]
-            q = self._errors(own, w.members[c], ids[lo:hi] % MEMBERS)
+            q = self._errors(own, w.members[c], ids[lo:hi] % w.side)
             back[lo:hi] += q @ w.members[c, :, :-1]
             self._update(w.members[c], self.seen.members[c], np.hstack([q.T @ own, q.sum(0)[:, None]]))
         self._update(w.classes, self.seen.classes, gradient)
         back *= 1 - h * h
         for k in range(len(OFFSETS)):
-            column = near[:, k].astype(np.uint16)  # sorted by radix
+            column = near[:, k].astype(np.min_scalar_type(w.side * w.side))  # 16 bits are sorted by radix
             order = np.argsort(column, kind="stable")
             words = column[order]
             first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
@@ -188,8 +203,8 @@ class Trainer:
             w.embed[k][at] -= RATE * gradient / np.sqrt(squares)
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Hashes of the most frequent words of all documents, most frequent first."""
+def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n): the hash and count of every word of all documents."""
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,31 +218,58 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                         names=["word", "n"])
 
     counts = docs.select(text_col).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS - SHARED).collect()  # a fixed number of rows
-    return np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    return stored(counts, "words")
+
+
+def side_of(distinct: int) -> int:
+    """Classes, and members of each, for so many distinct words."""
+    return max(CLASSES, int(np.ceil(GROWTH * distinct ** 0.25)))
+
+
+def most_frequent(counts: DataFrame, side: int) -> tuple[np.ndarray, DataFrame]:
+    """(hashes of the words with an id of their own, most frequent first; the counts of all others)."""
+    room = side * side - side * side // SHARED_OF
+    top = counts.orderBy(F.desc("n"), "word").limit(room).collect()  # as many as the network has ids
+    last = top[-1] if len(top) == room else None
+    rest = counts.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") > last["word"]))
+                        if last else F.lit(False))
+    return np.array([r["word"] for r in top], np.int64).view(np.uint64), rest
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Hashes of the most frequent words of all documents, most frequent first."""
+    counts = counted(docs, text_col)
+    return most_frequent(counts, side_of(counts.count()))[0]
 
 
 class Lookup:
     """Word hashes to ids."""
 
-    def __init__(self, frequent: np.ndarray):
+    def __init__(self, frequent: np.ndarray, side: int = CLASSES):
+        self.shared = side * side // SHARED_OF
+        self.first_shared = side * side - self.shared
         self.order = np.argsort(frequent).astype(np.int32)
         self.ranked = frequent[self.order]
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        shared = (WORDS - SHARED + (hashes >> np.uint64(40)) % np.uint64(SHARED)).astype(np.int32)
+        shared = (self.first_shared + (hashes >> np.uint64(40)) % np.uint64(self.shared)).astype(np.int32)
         if not len(self.ranked):
             return shared
         near = np.minimum(np.searchsorted(self.ranked, hashes), len(self.ranked) - 1)
         return np.where(self.ranked[near] == hashes, self.order[near], shared)
 
-    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, text index) of all words of some texts."""
-        ids, owner = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    def hashed(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, text index, hashes) of all words of some texts."""
+        ids, owner, hashes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for words in hashed_words(texts):
             ids.append(self(words.hashes))
             owner.append(words.text)
-        return np.concatenate(ids), np.concatenate(owner)
+            hashes.append(words.hashes)
+        return np.concatenate(ids), np.concatenate(owner), np.concatenate(hashes)
+
+    def texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, text index) of all words of some texts."""
+        return self.hashed(texts)[:2]
 
 
 def portions(texts: list[bytes], size: int = 1 << 22) -> Iterator[tuple[int, int]]:
@@ -240,9 +282,9 @@ def portions(texts: list[bytes], size: int = 1 << 22) -> Iterator[tuple[int, int
             lo, held = i + 1, 0
 
 
-def study(trainer: Trainer, ids: np.ndarray, owner: np.ndarray, rng: np.random.Generator) -> int:
+def study(trainer: Trainer, ids: np.ndarray, owner: np.ndarray, rng: np.random.Generator, outside: int = OUTSIDE) -> int:
     """Mask and predict every word once, in random order; the number of words."""
-    near, order = contexts(ids, owner), rng.permutation(len(ids))
+    near, order = contexts(ids, owner, outside), rng.permutation(len(ids))
     for at in range(0, len(order), BATCH):
         some = order[at:at + BATCH]
         trainer.step(ids[some], near[some])
@@ -251,17 +293,18 @@ def study(trainer: Trainer, ids: np.ndarray, owner: np.ndarray, rng: np.random.G
 
 def _round(docs: DataFrame, text_col: str, frequent: np.ndarray, weights: Weights, number: int, rounds: int) -> Weights:
     """Weights after one round: the documents of the round, each task on its own, then the average."""
+    side = weights.side
     sent = docs.sparkSession.sparkContext.broadcast((frequent, weights.rows()))
     mine = docs.where(F.pmod(F.xxhash64(F.lit(11), text_col), F.lit(rounds)) == number).select(text_col)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        lookup, trainer, n = Lookup(sent.value[0]), Trainer(Weights.of_rows(sent.value[1])), 0
+        lookup, trainer, n = Lookup(sent.value[0], side), Trainer(Weights.of_rows(sent.value[1], side)), 0
         rng = np.random.default_rng(number)
         for batch in batches:
             texts = utf8(batch.column(0))
             for lo, hi in portions(texts):
-                n += study(trainer, *lookup.texts(texts[lo:hi]), rng)
+                n += study(trainer, *lookup.texts(texts[lo:hi]), rng, side * side)
         if n:
             rows = trainer.w.rows()
             parts = [rows[at:at + PART].tobytes() for at in range(0, len(rows), PART)]
@@ -282,35 +325,65 @@ def _round(docs: DataFrame, text_col: str, frequent: np.ndarray, weights: Weight
     whole = partial.groupBy("part").applyInPandas(average, schema).orderBy("part").collect()  # the weights, once
     if not whole:
         return weights
-    return Weights.of_rows(np.frombuffer(b"".join(r["rows"] for r in whole), np.float32).reshape(-1, WIDTH))
+    return Weights.of_rows(np.frombuffer(b"".join(r["rows"] for r in whole), np.float32).reshape(-1, WIDTH), side)
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, Weights]:
-    """(vocabulary, weights) learned from all documents."""
-    frequent, weights = vocabulary(docs, text_col), Weights.start()
+def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, Weights, DataFrame]:
+    """(vocabulary, weights, counts of the other words) learned from all documents."""
+    counts = counted(docs, text_col)
+    side = side_of(counts.count())
+    (frequent, rest), weights = most_frequent(counts, side), Weights.start(side=side)
     for number in range(rounds):
         weights = _round(docs, text_col, frequent, weights, number, rounds)
-    return frequent, weights
+    return frequent, weights, rest
+
 
+def shares(said: DataFrame, rest: DataFrame, shared: int) -> DataFrame:
+    """(row, share): the sum of log(count of the word / count of its shared id) over the words said in a row."""
+    key = (F.shiftrightunsigned("word", 40) % shared).alias("key")
+    totals = rest.groupBy(key).agg(F.sum("n").alias("total"))
+    known = said.join(rest, "word", "left").select("row", key, "n").join(totals, "key", "left")
+    share = F.when(F.col("total").isNull(), 0.0).otherwise(F.log(F.coalesce("n", F.lit(UNSEEN)) / F.col("total")))
+    return known.groupBy("row").agg(F.sum(share).alias("share"))
 
-def score(docs: DataFrame, model: tuple[np.ndarray, Weights], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, log_likelihood, mean_log_probability), one row per row of ``docs``."""
+
+def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, log_likelihood, mean_log_probability), one row per row of ``docs``.
+
+    A model without the counts of the other words scores these by their shared ids alone.
+    """
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast((model[0], model[1].rows()))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    frequent, weights, *rest = model
+    side = weights.side
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, weights.rows()))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, weights = Lookup(sent.value[0]), Weights.of_rows(sent.value[1])
+        lookup, weights = Lookup(sent.value[0], side), Weights.of_rows(sent.value[1], side)
         for batch in batches:
-            texts, n, total = utf8(batch.column(1)), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            texts, n, total = utf8(batch.column(2)), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            others, sizes = [np.zeros(0, np.uint64)], np.zeros(batch.num_rows + 1, np.int64)
             for lo, hi in portions(texts):
-                ids, owner = lookup.texts(texts[lo:hi])
-                logs = log_probabilities(weights, ids, contexts(ids, owner))
+                ids, owner, hashes = lookup.hashed(texts[lo:hi])
+                logs = log_probabilities(weights, ids, contexts(ids, owner, side * side))
                 n[lo:hi] = np.bincount(owner, minlength=hi - lo)
                 total[lo:hi] = np.bincount(owner, logs, minlength=hi - lo)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean],
-                                             names=["id", "n_words", "log_likelihood", "mean_log_probability"])
-
-    schema = rows.select("id").schema.add("n_words", "long").add("log_likelihood", "double").add("mean_log_probability", "double")
-    return rows.mapInArrow(run, schema)
+                other = ids >= lookup.first_shared
+                others.append(hashes[other])
+                sizes[lo + 1:hi + 1] = np.bincount(owner[other], minlength=hi - lo)
+            words = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)),
+                                             pa.array(np.concatenate(others).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total), words],
+                                             names=["row", "id", "n_words", "log_likelihood", "others"])
+
+    schema = (rows.select("row", "id").schema.add("n_words", "long").add("log_likelihood", "double")
+              .add("others", ArrayType(LongType())))
+    scored = rows.mapInArrow(run, schema)
+    if rest:
+        scored = stored(scored, "scores")
+        said = scored.select("row", F.explode("others").alias("word"))
+        whole = F.col("log_likelihood") + F.coalesce("share", F.lit(0.0))
+        scored = (scored.drop("others").join(shares(said, rest[0], side * side // SHARED_OF), "row", "left")
+                  .withColumn("log_likelihood", whole))
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return scored.select("id", "n_words", "log_likelihood", mean.alias("mean_log_probability"))

@@ -88,3 +88,39 @@ def test_every_word_is_learned_from():
     counter, ids = Counter(), np.arange(2 * P.BATCH + 100, dtype=np.int32)
     assert P.study(counter, ids, np.zeros(len(ids), np.int64), np.random.default_rng(0)) == len(ids)
     assert sorted(counter.seen) == ids.tolist()
+
+
+def test_rare_words_have_probabilities_of_their_own(frame):
+    rng = random.Random(5)
+    # 3,900 words that fill the ids of the network, then rare ones of 1 to 3 occurrences.
+    rare = {f"rare{i}": 1 + i % 3 for i in range(900)}
+    words = [f"w{i}" for i in range(3900)] * 5 + [w for w, n in rare.items() for _ in range(n)]
+    rng.shuffle(words)
+    model = P.fit(frame([(i, " ".join(words[i::50])) for i in range(50)]), rounds=1)
+    frequent, weights, rest = model
+    assert len(frequent) == 3840 and rest.count() == 60 + 900
+    ids, _, hashes = P.Lookup(frequent).hashed([w.encode() for w in rare])
+    counts = {r["word"]: r["n"] for r in rest.collect()}
+    totals = {}
+    for h, n in counts.items():
+        key = (h % (1 << 64) >> 40) % 256
+        totals[key] = totals.get(key, 0) + n
+    whole = {r["id"]: r["log_likelihood"] for r in P.score(frame(list(enumerate(rare))), model).collect()}
+    shared = {r["id"]: r["log_likelihood"] for r in P.score(frame(list(enumerate(rare))), (frequent, weights)).collect()}
+    for i, (w, n) in enumerate(rare.items()):
+        assert counts[int(hashes[i].view(np.int64))] == n
+        assert abs(whole[i] - shared[i] - np.log(n / totals[ids[i] - 3840])) < 1e-6
+    unseen = P.score(frame([(1, "neverseen")]), model).first()["log_likelihood"]
+    assert unseen < P.score(frame([(1, "neverseen")]), (frequent, weights)).first()["log_likelihood"]
+
+
+def test_the_network_grows_with_the_distinct_words():
+    assert P.side_of(0) == 64 and P.side_of(65536) == 64 and P.side_of(10 ** 6) == 127
+    weights = P.Weights.start(side=300)
+    ids = np.array([0, 89999, 70000, 5], np.int32)
+    near = P.contexts(ids, np.zeros(4, np.int64), 90000)
+    trainer = P.Trainer(P.Weights.of_rows(weights.rows(), 300))
+    before = P.log_probabilities(trainer.w, ids, near).sum()
+    for _ in range(3):
+        trainer.step(ids, near)
+    assert P.log_probabilities(trainer.w, ids, near).sum() > before
