@@ -6,8 +6,8 @@ import pytest
 
 import check_queries as check
 import corpus_pipeline
-from daygrain.llm import decontamination, simhash, toxicity
-from daygrain.llm.queries import ORACLE_SQL, QUERIES
+from daygrain.llm import decontamination, mixing, simhash, toxicity
+from daygrain.llm.queries import MIX, ORACLE_SQL, QUERIES
 from test_simhash import brute_components, plain_fingerprint
 from test_words import words
 
@@ -70,3 +70,11 @@ def test_pipeline_matches_a_plain_version(spark):
 def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash", "decontamination", "mixing"]
     assert simhash.RADIUS == 2
+
+
+def test_mixing_query_has_a_row_per_copy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = mixing.mix(docs, **MIX).select("doc_id", "source", "epoch", "mix_key")
+    out = QUERIES["op3_temperature_mixing"](spark, SF)
+    assert sorted(map(str, out.select("doc_id", "source", "epoch", "mix_key").collect())) == sorted(map(str, want.collect()))
+    assert abs(sum(r["weight"] for r in out.select("source", "weight").distinct().collect()) - 1) < 1e-9
