@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from daygrain.llm import chat, decontamination, exact_dedup, licenses, mixing, pseudo_likelihood, simhash, substring_dedup, token_counts, toxicity
+from daygrain.llm import (chat, decontamination, exact_dedup, lexical_search, licenses, mixing, periodic_runs, pseudo_likelihood, sentencepieces,
+                          simhash, substring_dedup, token_counts, toxicity)
+from daygrain.llm.common import SPACED_PATTERN
 from daygrain.session import scratch_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,3 +199,64 @@ def op10_lm_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = pseudo_likelihood.score(docs, pseudo_likelihood.fit(docs))
     return scored.withColumnRenamed("id", "doc_id")
+
+
+def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where a public tokenizer's file lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op11_sentencepiece")
+def op11_sentencepiece(spark, sf_dir):
+    vocabulary = sentencepieces.read_vocabulary(vocabulary_path())
+    encoded = sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary)
+    return sentencepieces.decode(encoded, vocabulary).select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op12_lexical_search", f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, {SQL_WORDS} AS w FROM documents),
+    t AS (SELECT doc_id, r, len(w) AS n, w FROM d WHERE len(w) > 0),
+    s AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS lt FROM t),
+    q AS (SELECT item_id, word, count(*) AS times FROM (SELECT item_id, unnest({SQL_WORDS}) AS word FROM benchmark) GROUP BY 1, 2),
+    p AS (SELECT doc_id, r, n, word, count(*) AS tf FROM (SELECT doc_id, r, n, unnest(w) AS word FROM t) GROUP BY 1, 2, 3, 4),
+    f AS (SELECT word, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight
+          FROM p, s GROUP BY word, nd),
+    x AS (SELECT doc_id, r, word, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nd) // lt)) AS impact FROM p, s),
+    g AS (SELECT item_id, doc_id, r, CAST(sum(times * weight * impact) AS BIGINT) AS score
+          FROM q JOIN f USING (word) JOIN x USING (word) GROUP BY 1, 2, 3)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM g WHERE score > 0)
+    WHERE rank <= {lexical_search.K}""")
+def op12_lexical_search(spark, sf_dir):
+    found = lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` with the words from a on repeated with period p where crc32(doc_id) is a multiple of 10."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.col("text"), F.lit(SPACED_PATTERN), F.lit(0)))
+    chosen = docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g"))
+    sized = chosen.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    p = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    turns = sized.withColumn("p", p).withColumn("times", F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.col("times"))), F.lit(1), F.col("n") - F.col("a"))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return turns.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic_runs.periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","),
+                                                   r["period"].cast("string"), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
