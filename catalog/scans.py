@@ -61,6 +61,41 @@ def scan_minutes_in_window(spark, sf_dir):
     return R.read_minute(spark, minute_export(spark, sf_dir), "steps", bounds).drop("seq", "metric")
 
 
+def export_arrays(df, order: str, file: str) -> str:
+    """Write a tree of files that are one JSON array each, a person's records in one of them in the given order; returns its root."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    records = df.select(F.pmod(F.xxhash64("participant_id"), F.lit(n)).alias("shard"), F.col(order).cast("long").alias("place"),
+                        F.concat(F.lit(","), F.to_json(F.struct(*[c for c in df.columns if c != order]))).alias("value"))
+    # An array opens with an empty record, so that every other record follows a comma.
+    shards = spark.range(n)
+    ends = shards.select("id", F.lit(-1).alias("place"), F.lit("[{}").alias("value")).unionAll(
+        shards.select("id", F.lit((1 << 63) - 1), F.lit("]")))
+    root = scratch(spark)
+    (records.unionAll(ends).repartition(n, "shard").sortWithinPartitions("shard", "place").select("shard", "value")
+     .write.partitionBy("shard").text(f"{root}/people/watch/{file}"))
+    return root
+
+
+def minute_arrays(spark, sf_dir):
+    stamp = F.expr("CASE k % 2 WHEN 0 THEN date_format(ts, 'dd/MM/yy HH:mm:ss') ELSE date_format(ts, 'yyyy-MM-dd HH:mm:ss') END")
+    return export_arrays(raw_events(spark, sf_dir).select("event_id", "participant_id", stamp.alias("dateTime"),
+                                                          F.expr(RAW_VALUE).alias("value")), "event_id", "steps.json")
+
+
+@query("scan_minute_arrays", B.with_views(f"""
+    SELECT {PID}, date_trunc('second', ts) AS ts, 'steps' AS metric, value FROM ev WHERE k % 9 > 1"""))
+def scan_minute_arrays(spark, sf_dir):
+    return R.read_minute(spark, minute_arrays(spark, sf_dir), "steps").drop("seq")
+
+
+@query("scan_minute_arrays_in_window", B.with_views(f"""
+    SELECT {PID}, date_trunc('second', ts) AS ts, value FROM ev WHERE k % 9 > 1 AND d BETWEEN '2024-01-10' AND '2024-01-12'"""))
+def scan_minute_arrays_in_window(spark, sf_dir):
+    bounds = D.window_bounds("2024-01-10", "2024-01-12")
+    return R.read_minute(spark, minute_arrays(spark, sf_dir), "steps", bounds).drop("seq", "metric")
+
+
 @query("scan_absent_source", B.with_views("""
     SELECT CAST(participant_id AS VARCHAR) AS participant_id, 0 AS n_distance, count(*) AS n_steps FROM ev WHERE k % 9 > 1 GROUP BY 1"""))
 def scan_absent_source(spark, sf_dir):
@@ -82,6 +117,17 @@ def scan_heart_rate(spark, sf_dir):
     return R.read_hr(spark, export(raw, "heart_rate.json")).drop("seq")
 
 
+@query("scan_heart_rate_arrays", B.with_views(f"""
+    SELECT {PID}, date_trunc('second', ts) AS ts, arg_max(CAST(floor(value) + 20 AS DOUBLE), event_id) AS bpm,
+        CAST(arg_max(k % 4, event_id) AS INTEGER) AS confidence FROM ev GROUP BY participant_id, date_trunc('second', ts)"""))
+def scan_heart_rate_arrays(spark, sf_dir):
+    """Nested records with braces and quotes in their strings, the last record of a stamp wins."""
+    raw = raw_events(spark, sf_dir).select(
+        "event_id", "participant_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("dateTime"),
+        F.expr("""named_struct('note', '},{ \\" [', 'bpm', CAST(floor(value) + 20 AS BIGINT), 'confidence', k % 4)""").alias("value"))
+    return R.read_hr(spark, export_arrays(raw, "event_id", "heart_rate.json")).drop("seq")
+
+
 @query("scan_resting_hr", B.with_views(f"""
     SELECT {PID}, date_trunc('second', ts) AS ts, CASE WHEN k % 5 = 0 THEN NULL ELSE strftime(ts, '%m/%d/%y') END AS rhr_date,
         CASE WHEN k % 6 = 0 THEN 0 ELSE value END AS value FROM ev"""))

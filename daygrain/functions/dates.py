@@ -91,6 +91,14 @@ def _parse_bound(text: str) -> tuple[datetime, bool]:
     return parsed.replace(microsecond=parsed.microsecond // 1000 * 1000), whole_day
 
 
+def day_of(text: str) -> date | None:
+    """The calendar day of a raw date in the shapes of ``std_ts``, None where it is not readable."""
+    try:
+        return _parse_bound(text)[0].date()
+    except ValueError:
+        return None
+
+
 def window_bounds(start: str, end: str | None = None) -> Bounds:
     """Resolve report arguments to a window.
 

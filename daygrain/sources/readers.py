@@ -3,7 +3,7 @@
 Two layouts are understood under ``root``:
 
 * a tree ``<participant>/<folder>/<file>`` as exported per person, where a
-  JSON file is one array, and
+  JSON file is one array, cut into records by ``json_arrays``, and
 * one data set ``<file>`` for all participants, with a ``participant_id``
   field in every record (JSON lines, CSV): the splittable form for volume.
 
@@ -27,15 +27,18 @@ from daygrain.functions.cleaning import clean_static_text, clean_stride, safe_do
 from daygrain.functions.dates import Bounds, in_window, std_ts
 from daygrain.functions.encoding import parse_list, parse_map
 from daygrain.sources import schemas as S
+from daygrain.sources.json_arrays import read_array
 
 SEQ = "decimal(38,0)"
+#: The two ways to ask for a path spell the scheme with one or three slashes.
+SLASHES = (r"^(\w+):/+", r"\1:/")
+Window = tuple[str, Bounds] | None
 SPARK_LAYOUTS = (("{root}/{file}", False), ("{root}/*/*/{file}", True))
 
 
-def _participant(file: str) -> Column:
+def _participant(file: str, path: str = "_metadata.file_path") -> Column:
     """The participant named in the record, else the folder two levels up."""
-    path = F.col("_metadata.file_path")
-    folder = F.regexp_extract(path, rf"([^/]+)/[^/]+/{file.replace('.', '[.]')}", 1)
+    folder = F.regexp_extract(F.col(path), rf"([^/]+)/[^/]+/{file.replace('.', '[.]')}", 1)
     return F.coalesce(F.col("participant_id"), F.nullif(folder, F.lit("")))
 
 
@@ -45,28 +48,48 @@ def _numbered(raw: DataFrame, layout: int) -> DataFrame:
     Blocks of one file follow each other by their start, and a record's running
     number grows inside its block; so the order needs no pass over the data.
     """
-    # The two ways to ask for a path spell the scheme with one or three slashes.
-    slashes = (r"^(\w+):/+", r"\1:/", "$1:/")
-    paths = sorted(re.sub(*slashes[:2], path) for path in raw.inputFiles())
-    files = [(path, layout * 10 ** 9 + i) for i, path in enumerate(paths)]
-    ranks = raw.sparkSession.createDataFrame(files, "_file string, _rank long")
     record = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = raw.withColumn("_record", record).join(
-        ranks, F.regexp_replace("_metadata.file_path", slashes[0], slashes[2]) == F.col("_file"), "left")
-    parts = [F.col(c).cast(SEQ) * F.lit(str(10 ** n)).cast(SEQ)
-             for c, n in (("_rank", 27), ("_metadata.file_block_start", 11), ("_record", 0))]
-    return placed.withColumn("seq", reduce(Column.__add__, parts).cast(SEQ)).drop("_file", "_rank", "_record")
+        _ranks(raw, layout), F.regexp_replace("_metadata.file_path", SLASHES[0], "$1:/") == F.col("_file"), "left")
+    return placed.withColumn("seq", _seq("_rank", "_metadata.file_block_start", "_record")).drop("_file", "_rank", "_record")
 
 
-def _scan(spark: SparkSession, root: str, file: str, schema: T.StructType) -> DataFrame:
-    """Both layouts of one source, or the empty table when neither exists."""
+def _ranks(raw: DataFrame, layout: int) -> DataFrame:
+    """(_file, _rank): the files of a scan in path order, behind those of an earlier layout."""
+    paths = sorted(re.sub(*SLASHES, path) for path in raw.inputFiles())
+    return raw.sparkSession.createDataFrame([(path, layout * 10 ** 9 + i) for i, path in enumerate(paths)], "_file string, _rank long")
+
+
+def _seq(rank: str, block: str, record: str) -> Column:
+    parts = [F.col(c).cast(SEQ) * F.lit(str(10 ** n)).cast(SEQ) for c, n in ((rank, 27), (block, 11), (record, 0))]
+    return reduce(Column.__add__, parts).cast(SEQ)
+
+
+def _arrays(spark: SparkSession, path: str, file: str, schema: T.StructType, layout: int, window: Window) -> DataFrame:
+    """The records of JSON arrays, numbered like those of other files: the block is the one that a record ends in."""
+    ranks = _ranks(spark.read.text(path), layout)
+    records = read_array(spark, path, schema, *(window or ()))
+    placed = records.join(ranks, F.col("file") == F.xxhash64("_file"), "left")
+    return (placed.withColumn("participant_id", _participant(file, "_file"))
+            .select(*schema.names, _seq("_rank", "block", "at").alias("seq")))
+
+
+def _scan(spark: SparkSession, root: str, file: str, schema: T.StructType, window: Window = None) -> DataFrame:
+    """Both layouts of one source, or the empty table when neither exists.
+
+    ``window`` names the field that is in time order with its bounds; arrays
+    leave out records of other days before they are parsed.
+    """
     found = []
     for layout, (pattern, is_tree) in enumerate(SPARK_LAYOUTS):
         reader = spark.read.schema(schema)
         path = pattern.format(root=root.rstrip("/"), file=file)
         try:
+            if file.endswith(".json") and is_tree:
+                found.append(_arrays(spark, path, file, schema, layout, window))
+                continue
             if file.endswith(".json"):
-                raw = reader.option("multiLine", is_tree).json(path)
+                raw = reader.json(path)
             else:
                 raw = _read_csv(spark, path, schema, is_tree)
         except AnalysisException as missing:
@@ -99,6 +122,10 @@ def _csv_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in unique])
 
 
+def _window(field: str, bounds: Bounds | None) -> Window:
+    return None if bounds is None else (field, bounds)
+
+
 def _in(df: DataFrame, ts: str, bounds: Bounds | None) -> DataFrame:
     """Rows with a readable time inside the window."""
     df = df.where(F.col(ts).isNotNull())
@@ -122,7 +149,7 @@ def read_minute(spark: SparkSession, root: str, metric: str,
 
     Records without a number are dropped.
     """
-    raw = _scan(spark, root, f"{metric}.json", S.MINUTE)
+    raw = _scan(spark, root, f"{metric}.json", S.MINUTE, _window("dateTime", bounds))
     out = raw.select("participant_id", std_ts("dateTime").alias("ts"), F.lit(metric).alias("metric"),
                      safe_double("value").alias("value"), "seq")
     return _in(out, "ts", bounds).where(F.col("value").isNotNull())
@@ -130,7 +157,7 @@ def read_minute(spark: SparkSession, root: str, metric: str,
 
 def read_hr(spark: SparkSession, root: str, bounds: Bounds | None = None) -> DataFrame:
     """Heart-rate samples; the last record of a time stamp wins."""
-    raw = _scan(spark, root, "heart_rate.json", S.HEART_RATE)
+    raw = _scan(spark, root, "heart_rate.json", S.HEART_RATE, _window("dateTime", bounds))
     out = raw.select("participant_id", std_ts("dateTime").alias("ts"),
                      safe_double("value.bpm").alias("bpm"),
                      safe_double("value.confidence").cast("int").alias("confidence"), "seq")
@@ -139,7 +166,7 @@ def read_hr(spark: SparkSession, root: str, bounds: Bounds | None = None) -> Dat
 
 def read_rhr(spark: SparkSession, root: str, bounds: Bounds | None = None) -> DataFrame:
     """Daily resting heart rate as exported, sentinels included."""
-    raw = _scan(spark, root, "resting_heart_rate.json", S.RESTING_HR)
+    raw = _scan(spark, root, "resting_heart_rate.json", S.RESTING_HR, _window("dateTime", bounds))
     out = raw.select("participant_id", std_ts("dateTime").alias("ts"),
                      F.col("value.date").alias("rhr_date"), safe_double("value.value").alias("value"),
                      safe_double("value.error").alias("error"), "seq")
@@ -148,7 +175,7 @@ def read_rhr(spark: SparkSession, root: str, bounds: Bounds | None = None) -> Da
 
 def read_zones(spark: SparkSession, root: str, bounds: Bounds | None = None) -> DataFrame:
     """Daily minutes per heart-rate zone as a map."""
-    raw = _scan(spark, root, "time_in_heart_rate_zones.json", S.ZONES)
+    raw = _scan(spark, root, "time_in_heart_rate_zones.json", S.ZONES, _window("dateTime", bounds))
     zones = F.coalesce("value.valuesInZones", F.from_json(F.lit("{}"), "map<string,double>"))
     out = raw.select("participant_id", std_ts("dateTime").alias("ts"), zones.alias("zones"), "seq")
     return last_write(_in(out, "ts", bounds), ["participant_id", "ts"])
@@ -156,7 +183,7 @@ def read_zones(spark: SparkSession, root: str, bounds: Bounds | None = None) ->
 
 def read_sleep(spark: SparkSession, root: str, bounds: Bounds | None = None) -> DataFrame:
     """Sleep logs, flattened; filtered on the start time, last record of a log wins."""
-    raw = _scan(spark, root, "sleep.json", S.SLEEP)
+    raw = _scan(spark, root, "sleep.json", S.SLEEP, _window("startTime", bounds))
 
     def stage(name: str) -> Column:
         return F.try_element_at("levels.summary", F.lit(name)).getField("minutes").alias(f"{name}_min")
@@ -174,7 +201,7 @@ def read_sleep(spark: SparkSession, root: str, bounds: Bounds | None = None) ->
 
 def read_exercise(spark: SparkSession, root: str, bounds: Bounds | None = None) -> DataFrame:
     """Exercise bouts; filtered on the start time, last record of a log wins."""
-    raw = _scan(spark, root, "exercise.json", S.EXERCISE)
+    raw = _scan(spark, root, "exercise.json", S.EXERCISE, _window("startTime", bounds))
     out = raw.select("participant_id", F.col("logId").alias("log_id"),
                      F.col("activityName").alias("activity_name"), std_ts("startTime").alias("start_ts"),
                      F.col("activeDuration").alias("active_ms"), F.col("duration").alias("duration_ms"), "seq")
