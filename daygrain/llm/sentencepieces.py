@@ -33,11 +33,13 @@ decode to an empty text and to nothing.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -46,7 +48,7 @@ from daygrain.llm.common import ship, utf8
 SPACE = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
-#: Words up to this length are remembered, so many words and pairs at a time.
+#: Words up to this length are remembered, so many words, and pairs and steps of the automaton, at a time.
 WORD_LENGTH, REMEMBERED, PAIRS = 48, 150_000, 1_000_000
 
 
@@ -81,29 +83,76 @@ def read_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(tuple(p.piece for p in model.pieces), tuple(p.score for p in model.pieces), kinds)
 
 
+#: Stands before the first token of a text.
+START = -1
+
+
+class State(dict):
+    """A state of the automaton: the longest end of the text so far that starts a piece.
+
+    Its entries are the states behind the next character, found when first
+    asked for; ``ends`` are the (id, length) of the pieces that end here,
+    longest first.
+    """
+
+    def __init__(self, encoder: Encoder, text: str):
+        self.encoder, self.text = encoder, text
+        ids = encoder.ids
+        self.ends = tuple((ids[text[i:]], len(text) - i) for i in range(len(text)) if text[i:] in ids)
+
+    def __missing__(self, char: str) -> State:
+        text = self.text + char
+        while text not in self.encoder.prefixes:
+            text = text[1:]
+        state = self[char] = self.encoder.state(text)
+        self.encoder.found += 1
+        return state
+
+
+class Followers(dict):
+    """Whether a token may stand behind a given one, found when first asked for."""
+
+    def __init__(self, encoder: Encoder, left: int):
+        self.encoder, self.left = encoder, left
+
+    def __missing__(self, right: int) -> bool:
+        self.encoder.found += 1
+        fits = self[right] = self.encoder.compatible(self.left, right)
+        return fits
+
+
 class Encoder:
-    """Encodes texts of one vocabulary; holds the automaton and what was found out about pieces and pairs."""
+    """Encodes texts of one vocabulary; remembers what it found out about characters, pairs and words."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.pieces = vocabulary.pieces
         known = [(p, i) for i, (p, kind) in enumerate(zip(vocabulary.pieces, vocabulary.kinds, strict=True)) if kind == NORMAL]
+        self.ids = dict(known)
+        self.prefixes = {p[:n] for p in self.ids for n in range(len(p) + 1)}
         self.scores = {p: vocabulary.scores[i] for p, i in known}
         self.bytes = {int(p[1:-1], 16): i for i, p in enumerate(vocabulary.pieces) if vocabulary.kinds[i] == BYTE}
-        self.automaton = ahocorasick.Automaton()
-        for piece, i in known:
-            self.automaton.add_word(piece, (i, len(piece)))
-        self.automaton.make_automaton()
-        single = "".join(re.escape(p) for p, _ in known if len(p) == 1)
-        parted = not any(SPACE in p.lstrip(SPACE) for p, _ in known)
+        self.single = {p for p in self.ids if len(p) == 1}
+        parted = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if parted else r"(?s).+").findall
         #: Characters outside the vocabulary merge with nothing, so texts fall apart there too.
-        self.parts = re.compile(f"[{single}]+|[^{single}]").findall
-        self.single = {p for p, _ in known if len(p) == 1}
+        letters = "".join(map(re.escape, sorted(self.single)))
+        self.parts = re.compile(f"[{letters}]+|[^{letters}]").findall
         self.histories: dict[int, tuple | None] = {}
-        self.pairs: dict[int, dict[int, bool]] = {}
-        self.found = 0
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with an empty automaton and no pairs."""
+        self.states: dict[str, State] = {}
+        self.pairs: dict[int, Followers] = {START: Followers(self, START)} | {i: Followers(self, i) for i in self.ids.values()}
+        self.found = 0
+
+    def state(self, text: str) -> State:
+        """The state of a text that starts a piece."""
+        if text not in self.states:
+            self.states[text] = State(self, text)
+        return self.states[text]
 
     def history(self, token: int) -> tuple | None:
         """How the merges of a token run: their scores, and the first and last symbol before, between and after them.
@@ -125,7 +174,9 @@ class Encoder:
         return self.histories[token]
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether the two tokens are the encoding of their joint text."""
+        """Whether the two tokens are the encoding of their joint text; at the start, whether the token is one of its own."""
+        if left == START:
+            return self.history(right) is not None
         a, b = self.history(left), self.history(right)
         if a is None or b is None:
             return False
@@ -143,46 +194,30 @@ class Encoder:
             else:
                 j += 1
 
-    def followers(self, left: int) -> dict[int, bool]:
-        """What is known about the tokens after a token."""
-        if self.found > PAIRS:
-            self.pairs.clear()
-            self.found = 0
-        return self.pairs.setdefault(left, {})
-
-    def last_tokens(self, text: str) -> list[tuple[int, int]]:
-        """(id, length) of the last token of every prefix, by the length of the prefix; all characters are pieces."""
-        table: list = [None] * (len(text) + 1)
-        pairs = self.pairs
-        for at, piece in self.automaton.iter(text):  # ends ascend
-            if table[at + 1] is not None:
-                continue
-            token, size = piece
-            before = table[at + 1 - size]
-            if before is None:  # the whole prefix
-                fits = self.history(token) is not None
-            else:
-                after = pairs.get(before[0]) or self.followers(before[0])
-                fits = after.get(token)
-                if fits is None:
-                    fits = after[token] = self.compatible(before[0], token)
-                    self.found += 1
-            if fits:
-                table[at + 1] = piece
+    def last_tokens(self, text: str) -> list[int]:
+        """The last token of every prefix, by the length of the prefix; all characters are pieces."""
+        table, at, pairs, state = [START], 0, self.pairs, self.state("")
+        for char in text:
+            state = state[char]
+            at += 1
+            for token, size in state.ends:
+                if pairs[table[at - size]][token]:
+                    table.append(token)
+                    break
         return table
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         """The ids of one part of a text, from the end of its table to the front."""
         ids: list[int] = []
         for part in reversed(self.parts(word)):
-            if part not in self.single and len(part) == 1:
+            if len(part) == 1 and part not in self.single:
                 ids.extend([self.bytes[b] for b in reversed(part.encode())])
                 continue
             table, at = self.last_tokens(part), len(part)
             while at:
-                token, size = table[at]
+                token = table[at]
                 ids.append(token)
-                at -= size
+                at -= len(self.pieces[token])
         return tuple(reversed(ids))
 
     def encode(self, text: str) -> list[int]:
@@ -190,6 +225,8 @@ class Encoder:
         if not text:
             return []
         ids: list[int] = []
+        if self.found > PAIRS:
+            self.forget()
         if len(self.known) > REMEMBERED:  # what was used since the last time stays
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
@@ -239,7 +276,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _built(Encoder, sent.value)
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            ids = pa.array((encoder.encode(t.decode("utf-8", "replace")) for t in utf8(batch.column(1))), pa.list_(pa.int32()))
+            flat, ends = array("i"), [0]
+            for text in utf8(batch.column(1)):
+                flat.extend(encoder.encode(text.decode("utf-8", "replace")))
+                ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
     return rows.mapInArrow(run, rows.select("id").schema.add("ids", ArrayType(IntegerType())))
@@ -256,7 +297,10 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _built(Decoder, sent.value)
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            texts = pa.array([decoder.decode(ids or []) for ids in batch.column(0).to_pylist()], pa.string())
+            sizes = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy()
+            ends = np.cumsum(sizes).tolist()
+            flat = pc.fill_null(batch.column(0).flatten(), START).to_numpy().tolist()
+            texts = pa.array([decoder.decode(flat[end - n:end]) for n, end in zip(sizes.tolist(), ends, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], texts], names=[*batch.schema.names[1:], "text"])
 
     return rows.mapInArrow(run, rows.drop("ids").schema.add("text", "string")).toDF(*kept, out_col)
