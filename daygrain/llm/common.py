@@ -7,15 +7,14 @@ ASCII white space.  Both work on UTF-8 bytes because all separators are ASCII.
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from daygrain.session import ship  # noqa: F401 - the operators take it from here
 
 #: A-Z become a-z; control characters, spaces and ASCII punctuation become 0.
 PLAIN = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 0
@@ -33,23 +32,6 @@ _POWERS = np.cumprod(np.full(CHUNK + 1, _BASE, np.uint64)) * np.uint64(pow(_BASE
 _INVERSE = np.cumprod(np.full(CHUNK + 1, pow(_BASE, -1, 1 << 64), np.uint64)) * np.uint64(_BASE)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once per application."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = f"{tempfile.mkdtemp()}/{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(archive)
-    _SHIPPED.add(context.applicationId)
-
-
 def packed(docs: DataFrame, **keys: Column) -> DataFrame:
     """Whole rows as one column ``_row`` beside some keys, so that no name of theirs clashes with a name used here."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),

@@ -211,8 +211,7 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
 @query("op11_sentencepiece")
 def op11_sentencepiece(spark, sf_dir):
     vocabulary = sentencepieces.read_vocabulary(vocabulary_path())
-    encoded = sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary)
-    return sentencepieces.decode(encoded, vocabulary).select(
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary, round_trip=True).select(
         F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 

@@ -49,7 +49,9 @@ SPACE = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 #: Words up to this length are remembered, so many words, and pairs and steps of the automaton, at a time.
-WORD_LENGTH, REMEMBERED, PAIRS = 48, 150_000, 1_000_000
+WORD_LENGTH, REMEMBERED, PAIRS = 48, 50_000, 300_000
+#: Rows that are worked on and handed back at a time.
+ROWS = 200
 
 
 @dataclass(frozen=True)
@@ -95,6 +97,8 @@ class State(dict):
     longest first.
     """
 
+    __slots__ = ("encoder", "text", "ends")
+
     def __init__(self, encoder: Encoder, text: str):
         self.encoder, self.text = encoder, text
         ids = encoder.ids
@@ -112,6 +116,8 @@ class State(dict):
 class Followers(dict):
     """Whether a token may stand behind a given one, found when first asked for."""
 
+    __slots__ = ("encoder", "left")
+
     def __init__(self, encoder: Encoder, left: int):
         self.encoder, self.left = encoder, left
 
@@ -267,23 +273,33 @@ def _built(kind: type, vocabulary: Vocabulary):
     return _BUILT[key]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): the ids of every text, one row per row of ``docs``."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", round_trip: bool = False) -> DataFrame:
+    """(id, ids): the ids of every text, one row per row of ``docs``.
+
+    With ``round_trip`` the column ``text`` has what the ids decode to, in the
+    same pass.
+    """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = rows.select("id").schema.add("ids", ArrayType(IntegerType()))
+    schema = schema.add("text", "string") if round_trip else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _built(Encoder, sent.value)
-        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
-            flat, ends = array("i"), [0]
+        encoder, decoder = _built(Encoder, sent.value), _built(Decoder, sent.value)
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            flat, ends, texts = array("i"), [0], []
             for text in utf8(batch.column(1)):
-                flat.extend(encoder.encode(text.decode("utf-8", "replace")))
+                ids = encoder.encode(text.decode("utf-8", "replace"))
+                flat.extend(ids)
                 ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
+                if round_trip:
+                    texts.append(decoder.decode(ids))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+            columns = [batch.column(0), lists, *([pa.array(texts, pa.string())] if round_trip else [])]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(run, rows.select("id").schema.add("ids", ArrayType(IntegerType())))
+    return rows.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -296,7 +312,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _built(Decoder, sent.value)
-        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             sizes = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy()
             ends = np.cumsum(sizes).tolist()
             flat = pc.fill_null(batch.column(0).flatten(), START).to_numpy().tolist()

@@ -88,6 +88,8 @@ def test_odd_cases(odd, empty):
     assert sorted(map(str, ((r["id"], r["ids"], r["text"]) for r in rows))) == sorted(
         str((i, LIBRARY.encode(t or ""), t or "")) for i, t in ODD)
     assert sp.decode(sp.encode(empty, VOCABULARY), VOCABULARY).count() == 0
+    both = sp.encode(odd, VOCABULARY, round_trip=True)
+    assert sorted(map(str, both.collect())) == sorted(map(str, rows)) and sp.encode(empty, VOCABULARY, round_trip=True).count() == 0
 
 
 def test_decode_keeps_other_columns(spark):
