@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from daygrain.functions.cleaning import valid_macros
 from daygrain.functions.dates import epoch_us, seconds_between
+from daygrain.operators.timetree import WindowTree
 
 KEYS = ["participant_id", "date"]
 
@@ -62,32 +63,19 @@ def with_static(df: DataFrame, dim: DataFrame, key: str = "participant_id") -> D
     return df.join(dim, key, "left")
 
 
-def nights_ending_in(sleep: DataFrame, windows: DataFrame) -> DataFrame:
+def nights_ending_in(sleep: DataFrame, windows: DataFrame | WindowTree) -> DataFrame:
     """Sleep records whose end lies in the window of their participant.
 
     ``windows``: participant_id, window_id, lower, upper, inclusive.  A record
     must start no earlier than the day before the window.
     """
-    joined = explode_windows(windows).join(
-        sleep.withColumn("date", F.to_date("end_ts")), KEYS)
-    in_upper = F.when(F.col("inclusive"), F.col("end_ts") <= F.col("upper")).otherwise(
-        F.col("end_ts") < F.col("upper"))
     lookback = (F.to_date("lower") - F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz")
-    return joined.where((F.col("end_ts") >= F.col("lower")) & in_upper
-                        & (F.col("start_ts") >= lookback))
+    return rows_in_windows(sleep, "end_ts", windows).where(F.col("start_ts") >= lookback)
 
 
-def explode_windows(windows: DataFrame) -> DataFrame:
-    """One row per window and day it touches, so windows join on equality."""
-    return windows.withColumn("date", F.explode(F.sequence(F.to_date("lower"), F.to_date("upper"))))
-
-
-def rows_in_windows(df: DataFrame, ts: str, windows: DataFrame) -> DataFrame:
-    """Rows matched to the windows of their participant that contain ``ts``."""
-    joined = explode_windows(windows).join(df.withColumn("date", F.to_date(ts)), KEYS)
-    in_upper = F.when(F.col("inclusive"), F.col(ts) <= F.col("upper")).otherwise(
-        F.col(ts) < F.col("upper"))
-    return joined.where((F.col(ts) >= F.col("lower")) & in_upper)
+def rows_in_windows(df: DataFrame, ts: str, windows: DataFrame | WindowTree) -> DataFrame:
+    """Rows matched to the windows of their participant that contain ``ts``, with the columns of the window."""
+    return WindowTree.of(windows).rows(df, ts)
 
 
 def last_known(df: DataFrame, windows: DataFrame, ts: str, payload: str) -> DataFrame:
