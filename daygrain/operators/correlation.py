@@ -21,6 +21,10 @@ from daygrain.session import stored
 
 MIN_PAIR_ROWS = 3
 MIN_COMPLETE_ROWS = 100
+#: Masks a value is ranked on at a time, ranks of a row in one tile, and ranks in one array of a task.
+MASKS, CELLS, TENSOR = 16, 2048, 1 << 22
+#: Up to so many pairs the sums are plain aggregates; more pairs fold as matrices.
+PLAIN_PAIRS = 64
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 _PAIR = "var_a string, var_b string"
 
@@ -81,18 +85,33 @@ def _indices(pairs: Pairs) -> tuple[list[str], np.ndarray, np.ndarray]:
     return cols, np.array([at[a] for a, _ in pairs]), np.array([at[b] for _, b in pairs])
 
 
+def _plain_sums(data: DataFrame, pairs: Pairs, centre: dict[str, float]) -> DataFrame:
+    """The six sums of every pair as aggregates, one row per pair."""
+    sums = []
+    for i, (a, b) in enumerate(pairs):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = (F.when(both, F.col(c) - F.lit(centre[c])) for c in (a, b))
+        parts = (F.when(both, F.lit(1.0)), x, y, x * x, y * y, x * y)
+        sums += [F.coalesce(F.sum(p), F.lit(0.0)).alias(f"{c}_{i}") for c, p in zip(_SUMS, parts, strict=True)]
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), *[F.col(f"{c}_{i}").alias(c) for c in _SUMS]) for i in range(len(pairs))])
+    return data.agg(*sums).select(F.inline(rows))
+
+
 def pearson_pairs(df: DataFrame, pairs: Pairs, out: str = "pearson_r") -> DataFrame:
     """Pearson r and n of the named pairs, each on its own complete rows, in one scan.
 
-    Each task folds its Arrow batches into masked k x k moment matrices and
-    emits one row per pair; the sums meet in one small aggregation.  Columns
-    are centred on their means first, so that the sums do not cancel.  Values
-    that are not finite count as unknown.
+    Up to ``PLAIN_PAIRS`` pairs are six plain sums each.  For more, each task
+    folds its Arrow batches into masked k x k moment matrices and emits one row
+    per pair.  The sums meet in one small aggregation.  Columns are centred on
+    their means first, so that the sums do not cancel.  Values that are not
+    finite count as unknown.
     """
     cols, left, right = _indices(pairs)
     data = finite(df, cols)
     means = data.agg(*[F.avg(c).alias(c) for c in cols]).first()
     centre = np.array([0.0 if means[c] is None else means[c] for c in cols])
+    if len(pairs) <= PLAIN_PAIRS:
+        return _r_of_sums(_plain_sums(data, pairs, dict(zip(cols, centre.tolist(), strict=True))), pairs, out)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros((len(cols), len(cols)))
@@ -180,51 +199,98 @@ def _known_classes(data: DataFrame, cols: Sequence[str]) -> list[int]:
     return [next(j for j in range(len(cols)) if n[j, j] == n[i, i] == n[i, j]) for i in range(len(cols))]
 
 
+def _blocks(classes: Sequence[int]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Columns in blocks of at most ``MASKS`` masks and ``CELLS`` ranks a row.
+
+    Returns the block and the place in its block's masks of every column, and
+    the first mask and the number of masks of every block.
+    """
+    order = {m: i for i, m in enumerate(sorted(set(classes)))}
+    block, slot, first, wide, size = [0] * len(classes), [0] * len(classes), [], [], 0
+    for c in sorted(range(len(classes)), key=lambda c: order[classes[c]]):
+        mask = order[classes[c]]
+        span = mask - first[-1] + 1 if first else 0
+        if not first or span > MASKS or (size + 1) * span > CELLS:
+            first.append(mask)
+            wide.append(0)
+            size, span = 0, 1
+        size += 1
+        wide[-1] = max(wide[-1], span)
+        block[c], slot[c] = len(first) - 1, span - 1
+    return block, slot, first, wide
+
+
 def spearman_pairs(df: DataFrame, pairs: Pairs, out: str = "spearman_rho") -> DataFrame:
     """Spearman rho of the named pairs, ranked on each pair's complete rows.
 
     All columns are ranked together in long form (column, value), so the plan
     does not grow with their number.  A value has one average rank per set of
-    rows it is ranked on; columns that are known on the same rows share that
-    set.  The ranks go back to their rows, which are folded like Pearson's.
+    rows (mask) it is ranked on; columns that are known on the same rows share
+    a mask.  Masks come in blocks: a value is counted and ranked for one block
+    of masks at a time, and the ranks go back to their rows tile by tile, a tile
+    being the columns of two blocks.  So no row ever holds a rank for every
+    column and mask, and a batch holds at most ``CELLS`` ranks a row.
     """
     cols, left, right = _indices(pairs)
     # Stored: read three times, and the row numbers must not change when a lost task is run again.
     data = stored(finite(df, cols).withColumn("_row", F.monotonically_increasing_id()), "columns")
     classes = _known_classes(data.select(*cols), cols)
     masks = sorted(set(classes))
-    weights = [f"w{m}" for m in masks]
-    marked = data.withColumn("_known", F.array(*[F.col(cols[m]).isNotNull().cast("long") for m in masks]))
+    block, slot, first, wide = map(np.array, _blocks(classes))
+    weights = [f"w{i}" for i in range(int(max(wide, default=0)))]
+    asked: dict[int, set[int]] = {}
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        asked.setdefault(a, set()).add(int(block[b]))
+        asked.setdefault(b, set()).add(int(block[a]))
+
+    def constant(values) -> Column:
+        return F.array(*[F.lit(int(v)) for v in values])
+
     at = F.create_map(*[F.lit(x) for i, c in enumerate(cols) for x in (c, i)])
-    long = (marked.unpivot(["_row", "_known"], list(cols), "_c", "_v").where(F.col("_v").isNotNull())
-            .select("_row", F.element_at(at, F.col("_c")).alias("_c"), (F.col("_v") + 0.0).alias("_v"), "_known"))
-    counts = long.withColumn("_key", F.struct("_c")).groupBy("_key", "_v").agg(
-        *[F.sum(F.col("_known")[i]).alias(w) for i, w in enumerate(weights)])
+    wanted = F.array(*[constant(sorted(asked[i])) for i in range(len(cols))])
+    marked = data.withColumn("_known", F.array(*[F.col(cols[m]).isNotNull().cast("byte") for m in masks]))
+    long = (marked.unpivot(["_row", "_known"], list(cols), "_name", "_v").where(F.col("_v").isNotNull())
+            .select("_row", F.element_at(at, F.col("_name")).alias("_c"), (F.col("_v") + 0.0).alias("_v"), "_known")
+            .select("*", F.explode(F.get(wanted, "_c")).alias("_b")))
+    known = F.slice("_known", F.get(constant(first), "_b") + 1, len(weights))
+    counts = long.select("_c", "_b", "_v", known.alias("_known")).withColumn("_key", F.struct("_c", "_b")).groupBy("_key", "_v").agg(
+        *[F.sum(F.coalesce(F.get("_known", F.lit(i)), F.lit(0))).alias(w) for i, w in enumerate(weights)])
     placed = value_positions(counts, "_v", weights).select(
-        F.col("_key._c").alias("_c"), "_v",
+        F.col("_key._c").alias("_c"), F.col("_key._b").alias("_b"), "_v",
         F.array(*[F.col(f"{w}_before") + (F.col(w) + 1) / 2 for w in weights]).alias("_ranks"))
-    ranked = (long.select("_row", "_c", "_v").join(placed, ["_c", "_v"])
-              .groupBy("_row").agg(F.collect_list("_c").alias("cs"), F.flatten(F.collect_list("_ranks")).alias("ranks")))
-    of_class = np.array([masks.index(m) for m in classes])
-    k, wide = len(cols), len(masks)
+    own = F.get(constant(block), "_c")
+    ranked = (long.select("_row", "_c", "_b", "_v").join(placed, ["_c", "_b", "_v"])
+              .groupBy("_row", F.least("_b", own).alias("_lo"), F.greatest("_b", own).alias("_hi"))
+              .agg(F.collect_list("_c").alias("cs"), F.flatten(F.collect_list("_ranks")).alias("ranks")))
+    tiles: dict[tuple[int, int], list[int]] = {}
+    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        tiles.setdefault((min(int(block[a]), int(block[b])), max(int(block[a]), int(block[b]))), []).append(i)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = {c: np.zeros(len(left)) for c in _SUMS}
         for batch in batches:
-            sizes = batch["cs"].map(len).to_numpy()
-            row, col = np.repeat(np.arange(len(batch)), sizes), np.concatenate(batch["cs"].to_numpy())
-            ranks = np.full((len(batch), k, wide), np.nan)
-            ranks[row, col] = np.concatenate(batch["ranks"].to_numpy()).reshape(-1, wide)
-            for at in range(0, len(left), 256):
-                a, b = left[at:at + 256], right[at:at + 256]
-                x, y = ranks[:, a, of_class[b]], ranks[:, b, of_class[a]]
-                both = np.isfinite(x) & np.isfinite(y)
-                x, y = np.where(both, x, 0.0), np.where(both, y, 0.0)
-                for name, part in zip(_SUMS, (both, x, y, x * x, y * y, x * y), strict=True):
-                    sums[name][at:at + 256] += part.sum(0)
+            for (lo, hi), part in batch.groupby(["_lo", "_hi"], sort=False):
+                here = np.array(tiles[lo, hi])
+                members = np.flatnonzero((block == lo) | (block == hi))
+                local = np.zeros(len(cols), int)
+                local[members] = np.arange(len(members))
+                step = max(1, TENSOR // (len(members) * len(weights)))
+                for start in range(0, len(part), step):
+                    rows = part.iloc[start:start + step]
+                    sizes = rows["cs"].map(len).to_numpy()
+                    row, col = np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows["cs"].to_numpy())
+                    ranks = np.full((len(rows), len(members), len(weights)), np.nan)
+                    ranks[row, local[col]] = np.concatenate(rows["ranks"].to_numpy()).reshape(-1, len(weights))
+                    for some in np.array_split(here, -(-len(here) // 256)):
+                        a, b = left[some], right[some]
+                        x, y = ranks[:, local[a], slot[b]], ranks[:, local[b], slot[a]]
+                        both = np.isfinite(x) & np.isfinite(y)
+                        x, y = np.where(both, x, 0.0), np.where(both, y, 0.0)
+                        for name, value in zip(_SUMS, (both, x, y, x * x, y * y, x * y), strict=True):
+                            sums[name][some] += value.sum(0)
         yield pd.DataFrame({"i": np.arange(len(left)), **sums})
 
-    sums = ranked.select("cs", "ranks").mapInPandas(fold, "i int, n double, sa double, sb double, qa double, qb double, p double")
+    sums = ranked.select("_lo", "_hi", "cs", "ranks").mapInPandas(fold, "i int, n double, sa double, sb double, qa double, qb double, p double")
     return _r_of_sums(sums, pairs, out)
 
 

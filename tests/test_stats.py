@@ -2,6 +2,7 @@
 
 import math
 import random
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -185,3 +186,48 @@ def test_spearman_of_many_columns(spark):
     def exchanges(cols):
         return K.pairwise_spearman(df, cols)._jdf.queryExecution().executedPlan().toString().count("Exchange ")
     assert exchanges(["c0", "c1"]) == exchanges([f"c{i}" for i in range(10)])
+
+
+def test_spearman_of_many_patterns(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.integers(0, 30, (400, 45)).astype(float), columns=[f"c{i}" for i in range(45)])
+    for i in range(45):
+        pdf.loc[rng.random(400) < 0.02 * (i % 23), f"c{i}"] = np.nan
+    pdf["c7"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"c{i} double" for i in range(45)))
+    classes = list(range(45))
+    block, slot, first, wide = K._blocks(classes)
+    assert max(wide) <= K.MASKS and len(first) == 3 and all(first[b] + s == classes[i] for i, (b, s) in enumerate(zip(block, slot)))
+    for pairs in (list(combinations(pdf.columns, 2)), [(c, "c44") for c in pdf.columns[:-1]]):
+        out = K.spearman_pairs(df, pairs).collect()
+        assert len(out) == len(pairs)
+        for r in out:
+            both = pdf[[r["var_a"], r["var_b"]]].dropna()
+            assert r["n"] == len(both)
+            want = np.corrcoef(average_ranks(both.iloc[:, 0]), average_ranks(both.iloc[:, 1]))[0, 1] if len(both) > 2 else None
+            assert r["spearman_rho"] == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
+def test_blocks_bound_the_ranks_of_a_row():
+    for classes in ([0] * 5000, [i // 40 for i in range(4000)], list(range(300)), [i % 3 for i in range(3000)]):
+        block, slot, first, wide = K._blocks(classes)
+        size = np.bincount(block)
+        assert max(wide) <= K.MASKS and all(n * w <= K.CELLS for n, w in zip(size, wide))
+        order = {m: i for i, m in enumerate(sorted(set(classes)))}
+        assert all(first[block[c]] + slot[c] == order[classes[c]] for c in range(len(classes)))
+
+
+@pytest.mark.parametrize("plain", [0, 64])
+def test_pearson_by_sums_and_by_matrices(spark, monkeypatch, plain):
+    monkeypatch.setattr(K, "PLAIN_PAIRS", plain)
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame(rng.normal(1e6, 1.0, (500, 5)), columns=list("abcde"))
+    pdf.loc[rng.random(500) < 0.3, "b"] = np.nan
+    pdf["d"] = 4.0
+    pdf["e"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double, d double, e double")
+    for r in K.pairwise_pearson(df, list("abcde")).collect():
+        both = pdf[[r["var_a"], r["var_b"]]].dropna()
+        assert r["n"] == len(both)
+        flat = len(both) < 3 or "d" in (r["var_a"], r["var_b"])
+        assert r["pearson_r"] == (None if flat else pytest.approx(np.corrcoef(both.T)[0, 1], abs=1e-9))
