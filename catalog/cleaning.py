@@ -116,6 +116,20 @@ def parse_list_literal(spark, sf_dir):
         "event_id", F.array_join(E.parse_list("raw"), ",").alias("names"))
 
 
+@query("parse_literal_grammar", B.with_views("""
+    SELECT event_id, CASE k % 6 WHEN 0 THEN 'hip|none' WHEN 1 THEN 'true|1.5|xy' WHEN 2 THEN '(''a'', 1)|[]' WHEN 3 THEN 'it''s' || chr(10) || 'k='
+        || k ELSE '' END AS names, CASE k % 6 WHEN 4 THEN 'None' END AS left_foot, CASE k % 6 WHEN 4 THEN CAST(k AS VARCHAR) END AS n,
+        CASE k % 6 WHEN 4 THEN '{''a'': [1, ''b'']}' END AS nested FROM ev"""))
+def parse_literal_grammar(spark, sf_dir):
+    """Tuples, names, numbers, escapes, trailing commas and nesting; k % 6 = 5 is no literal."""
+    raw = F.expr(r"""CASE k % 6 WHEN 0 THEN "('Hip', None, )" WHEN 1 THEN "[True, 1.50, 'x' \"y\"]" WHEN 2 THEN "[('a', 1), [], ]"
+        WHEN 3 THEN concat("[\"it's\\nk=", k, "\",]") WHEN 4 THEN concat("{'left_foot': None, 'n': ", k, ", 'nested': {'a': [1, 'b',]}, }")
+        ELSE "['hip', 'toe'" END""")
+    rows = B.events(spark, sf_dir).select("event_id", raw.alias("raw")).withColumn("map", E.parse_map("raw"))
+    return rows.select("event_id", F.array_join(E.parse_list("raw"), "|").alias("names"), *[
+        F.try_element_at("map", F.lit(c)).alias(c) for c in ("left_foot", "n", "nested")])
+
+
 @query("parse_soreness_area", B.with_views("""
     SELECT seq, CASE k4 WHEN 1 THEN 'knee' WHEN 2 THEN 'knee,Back' ELSE '' END AS areas, k4 IN (1, 2) AS any_sore,
         CASE k4 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS n_zones

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from daygrain.functions.literals import dict_items, list_items
+
 # Activity labels matched by substring, and heart-rate zone
 # names with their Edwards weights.
 ACTIVITY_LABELS = ("individual", "running", "endurance", "strength", "team", "soccer",
@@ -17,8 +19,6 @@ ZONE_WEIGHTS = {
 ZONE_KEYS = tuple(ZONE_WEIGHTS)
 HIGHEST_ZONE = "IN_DEFAULT_ZONE_3"
 
-_LITERAL = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "false"}
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -26,17 +26,15 @@ def _col(c: Column | str) -> Column:
 
 def parse_map(c: Column | str) -> Column:
     """A dict literal as ``MAP<STRING,STRING>``; anything else is the empty map."""
-    parsed = F.from_json(F.trim(_col(c)), "map<string,string>", _LITERAL)
-    return F.coalesce(parsed, F.from_json(F.lit("{}"), "map<string,string>"))
+    return F.coalesce(dict_items(c), F.map_from_arrays(*[F.array().cast("array<string>")] * 2))
 
 
 def _literal_list(c: Column | str) -> Column:
-    parsed = F.from_json(F.trim(_col(c)), "array<string>", _LITERAL)
-    return F.coalesce(parsed, F.array().cast("array<string>"))
+    return F.coalesce(list_items(c), F.array().cast("array<string>"))
 
 
 def parse_list(c: Column | str) -> Column:
-    """A list literal as trimmed lower-case names, blanks removed."""
+    """A list or tuple literal as trimmed lower-case names, blanks removed."""
     names = F.transform(_literal_list(c), lambda x: F.lower(F.trim(x)))
     return F.filter(names, lambda x: x != "")
 
