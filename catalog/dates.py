@@ -31,6 +31,22 @@ def standardize_timestamps(spark, sf_dir):
                       D.std_ts("swapped", "yyyy-dd-MM HH:mm:ss").alias("parsed_by_format"))
 
 
+RARE_TEXT = """CASE k % 10 WHEN 0 THEN date_format(ts, 'MMM d yyyy HH:mm:ss') WHEN 1 THEN date_format(ts, 'EEEE, d MMMM yyyy')
+    WHEN 2 THEN date_format(ts, 'M.d.yyyy HH:mm') WHEN 3 THEN date_format(ts, 'yyyyMMdd') WHEN 4 THEN date_format(ts, "yyyyMMdd'T'HHmmss")
+    WHEN 5 THEN date_format(ts, 'dd-MMM-yy') WHEN 6 THEN date_format(ts, 'yyyy.MM.dd h:mm a') WHEN 7 THEN concat('31.', date_format(ts, 'MM.yyyy'))
+    WHEN 8 THEN date_format(ts, 'MMM yyyy') ELSE concat(date_format(ts, 'd/M/yyyy'), ', ', date_format(ts, 'HH:mm')) END"""
+
+
+@query("standardize_rare_dates", B.with_views("""
+    SELECT event_id, CASE k % 10 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN CAST(d AS TIMESTAMP) WHEN 2 THEN date_trunc('minute', ts)
+        WHEN 3 THEN CAST(d AS TIMESTAMP) WHEN 4 THEN date_trunc('second', ts) WHEN 5 THEN CAST(d AS TIMESTAMP)
+        WHEN 6 THEN date_trunc('minute', ts) WHEN 7 THEN try_strptime('31.' || strftime(ts, '%m.%Y'), '%d.%m.%Y')
+        WHEN 8 THEN NULL ELSE date_trunc('minute', ts) END AS parsed FROM ev"""))
+def standardize_rare_dates(spark, sf_dir):
+    """Month names, dots, digits without separators, 12-hour clocks; a date without a day is not read."""
+    return B.events(spark, sf_dir).select("event_id", D.std_ts(F.expr(RARE_TEXT)).alias("parsed"))
+
+
 @query("canonical_timestamp_text", B.with_views("""
     SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS ts_text, strftime(ts, '%Y-%m-%d') AS day_text FROM ev"""))
 def canonical_timestamp_text(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import date, datetime, time, timedelta
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, functions as F
@@ -25,6 +26,35 @@ SLASHES = r"^(\d{1,2})/(\d{1,2})/(\d{4})"
 HALF_DAY = r"(?i)^(\S+)[ T]+(\d{1,2})((?::\d{2}){1,2}(?:\.\d+)?)\s*([ap])\.?m\.?$"
 HALF_DAY_FORMAT = "yyyy-M-d h:mm[:ss][.SSS][ ]a"
 FINER_THAN_MS = r"(\.\d{3})\d+$"
+MONTHS = ("jan(?:uary)?", "feb(?:ruary)?", "mar(?:ch)?", "apr(?:il)?", "may", "june?", "july?", "aug(?:ust)?", "sep(?:t(?:ember)?)?",
+          "oct(?:ober)?", "nov(?:ember)?", "dec(?:ember)?")
+_SEP, _END, _YEAR, _CLOCK = r"[\s\-./,]", r"(?=\D|$)", r"(\d{4}|\d{2})", r"(?:,\s*|\s+(?=\d{1,2}\s*[ap]))"
+# Rarer shapes, rewritten one after the other: names first, then what stands where, then the year, then the clock.
+# Numbers without slashes are month first, unless the first can be no month (then the day); "=" marks what is settled.
+# Two-digit years are of this century.
+REWRITES = (
+    (r"(?i)\s*(?:UTC|GMT)$", ""),
+    (r"(?i)^(?:mon|tue(?:s)?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?\.?,?\s+", ""),
+    (r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", r"\1"),
+    *[(rf"(?i)(?<![a-z]){name}\.?(?![a-z])", f"~{i:02d}~") for i, name in enumerate(MONTHS, 1)],
+    (r"^~(\d\d)~\s+(\d{1,2})\s+(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s+(\d{4})$", r"=\4-\1-\2 \3"),
+    (rf"^~(\d\d)~{_SEP}*(\d{{1,2}}){_SEP}+{_YEAR}{_END}", r"=\3-\1-\2"),
+    (rf"(?i)^(\d{{1,2}}){_SEP}*(?:of\s+)?~(\d\d)~{_SEP}*{_YEAR}{_END}", r"=\3-\2-\1"),
+    (rf"^(\d{{4}}){_SEP}*~(\d\d)~{_SEP}*(\d{{1,2}}){_END}", r"=\1-\2-\3"),
+    (r"^(\d{4})(\d\d)(\d\d)[Tt\s]?(\d\d)(\d\d)(\d\d)(?=\.|$)", r"=\1-\2-\3 \4:\5:\6"),
+    (r"^(\d{4})(\d\d)(\d\d)[Tt\s]?(\d\d)(\d\d)$", r"=\1-\2-\3 \4:\5"),
+    (r"^(\d{4})(\d\d)(\d\d)(?=[Tt\s,]|$)", r"=\1-\2-\3"),
+    (r"^(\d\d)(\d\d)(\d\d)$", r"\1.\2.\3"),
+    (rf"^(\d{{4}})\.(\d{{1,2}})\.(\d{{1,2}}){_END}", r"=\1-\2-\3"),
+    (rf"^(1[3-9]|2\d|3[01])[.-](\d{{1,2}})[.-]{_YEAR}{_END}", r"=\3-\2-\1"),
+    (rf"^(0?[1-9]|1[0-2])[.-](\d{{1,2}})[.-]{_YEAR}{_END}", r"=\3-\1-\2"),
+    (rf"(?i)^(\d{{1,2}})/(0?[1-9]|1[0-2])/{_YEAR}{_CLOCK}", r"=\3-\2-\1 "),
+    (rf"(?i)^(\d{{1,2}})/(\d{{1,2}})/{_YEAR}{_CLOCK}", r"=\3-\1-\2 "),
+    (r"^=(\d\d)-", r"20\1-"),
+    (r"^=", ""),
+    (r"^(\d{4}-\d{1,2}-\d{1,2})\s*,\s*", r"\1 "),
+    (r"(?i)(?<=[Tt\s])(\d{1,2})\s*([ap])\.?m\.?$", r"\1:00 \2m"),
+)
 DATE_ONLY = r"^(\d{4}-\d{2}-\d{2}|\d{4}[:/]\d{1,2}[:/]\d{1,2}|\d{1,2}/\d{1,2}/\d{2,4})$"
 
 
@@ -33,7 +63,10 @@ def std_ts(c: Column | str, fmt: str | None = None) -> Column:
 
     Slash dates are day first (month first only where day first is no date)
     unless they begin with the year; ``YYYY:MM:DD`` camera dates, ISO text and
-    12-hour clocks are accepted; a trailing zone is dropped, not converted.
+    12-hour clocks are accepted, and the shapes of ``REWRITES``: month names,
+    dots and dashes (month first), digits without separators, two-digit years.
+    A trailing zone is dropped, not converted.  Texts without a day, month and
+    year are not read.
     Empty and unparseable text gives NULL.  ``fmt`` overrides the guess with an
     explicit Spark datetime pattern.
     """
@@ -41,11 +74,14 @@ def std_ts(c: Column | str, fmt: str | None = None) -> Column:
     if fmt is not None:
         return F.date_trunc("millisecond", F.try_to_timestamp(text, F.lit(fmt))).cast("timestamp_ntz")
     text = F.regexp_replace(text, ZONE, "")
+    # The rare shapes come last and cost nothing where another one fits.
+    spelled = reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1].replace("\\", "$")), REWRITES, text)
+    spelled = F.regexp_replace(spelled, FINER_THAN_MS, "$1")
     text = F.regexp_replace(text, YEAR_FIRST, "$1-$2-$3")
     text = F.regexp_replace(text, FINER_THAN_MS, "$1")
     wide = F.regexp_replace(text, SHORT_YEAR, "$1/$2/20$3")
     read = []
-    for iso in (F.regexp_replace(wide, SLASHES, "$3-$2-$1"), F.regexp_replace(wide, SLASHES, "$3-$1-$2")):
+    for iso in (F.regexp_replace(wide, SLASHES, "$3-$2-$1"), F.regexp_replace(wide, SLASHES, "$3-$1-$2"), spelled):
         dated = F.when(iso.rlike(r"^\d{4}-"), iso)
         read += [dated.try_cast("timestamp_ntz"), F.try_to_timestamp(dated, F.lit(HALF_DAY_FORMAT)).cast("timestamp_ntz")]
     return F.coalesce(*read)
@@ -75,17 +111,21 @@ def _parse_bound(text: str) -> tuple[datetime, bool]:
     whole_day = re.fullmatch(DATE_ONLY, text) is not None
     text = re.sub(r"\s*(?:Z|(?<=:\d\d)[+-]\d{2}:?\d{2})$", "", text, flags=re.IGNORECASE)
     text = re.sub(YEAR_FIRST, r"\1-\2-\3", text)
-    clock = re.fullmatch(HALF_DAY, text)
-    if clock:
-        hour = int(clock[2]) % 12 + (12 if clock[4].lower() == "p" else 0)
-        text = f"{clock[1]} {hour:02d}{clock[3]}"
     text = re.sub(SHORT_YEAR, r"\1/\2/20\3", text)
+    if not re.match(r"\d{4}-\d|\d{1,2}/", text) or text[-1:].isalpha() or "," in text:
+        for pattern, shape in REWRITES:
+            text = re.sub(pattern, shape, text)
     slashes = re.match(SLASHES, text)
     if slashes:
         day, month, year = map(int, slashes.groups())
         if month > 12:
             day, month = month, day
         text = f"{year:04d}-{month:02d}-{day:02d}{text[slashes.end():]}"
+    clock = re.fullmatch(HALF_DAY, text)
+    if clock:
+        hour = int(clock[2]) % 12 + (12 if clock[4].lower() == "p" else 0)
+        text = f"{clock[1]} {hour:02d}{clock[3]}"
+    text = re.sub(r"(?<=\d)[ T]+(\d):", r" 0\1:", text)
     text = re.sub(r"^(\d{4})-(\d{1,2})-(\d{1,2})(?=\D|$)", lambda m: f"{m[1]}-{int(m[2]):02d}-{int(m[3]):02d}", text)
     parsed = datetime.fromisoformat(text).replace(tzinfo=None)
     return parsed.replace(microsecond=parsed.microsecond // 1000 * 1000), whole_day
