@@ -13,6 +13,7 @@ from daygrain.functions import dates as D
 from daygrain.operators import daily
 from daygrain.session import scratch_dir
 from daygrain.sources import dictionary, readers as R, sinks
+from daygrain.sources.estimates import EstimateStore
 
 RAW_VALUE = "CASE k % 9 WHEN 0 THEN 'n/a' WHEN 1 THEN NULL ELSE CAST(value AS STRING) END"
 
@@ -322,6 +323,26 @@ def estimate_table_upsert(spark, sf_dir):
     return second.select("cache_key", "calories")
 
 
+@query("estimate_versions", B.with_views(MACRO_KEYS_SQL + """
+    SELECT 1 AS version, cache_key, 100.0::DOUBLE AS calories FROM keys WHERE day(date) <= 20
+    UNION ALL SELECT 2, cache_key, CASE WHEN day(date) >= 16 THEN 200.0 + day(date) ELSE 100.0 END::DOUBLE FROM keys""", "photos"))
+def estimate_versions(spark, sf_dir):
+    """Two upserts of a bucketed store, each key of the second given twice; both versions stay readable."""
+    keys = daily.day_estimate_keys(daily.photo_meals(B.photos(spark, sf_dir), seconds=7200))
+
+    def estimates(rows, calories, at):
+        one = F.lit(1.0)
+        return rows.select("cache_key", calories.alias("calories"), one.alias("protein"), one.alias("carbohydrates"), one.alias("fats"),
+                           F.lit(at).alias("at"))
+
+    store = EstimateStore(spark, scratch(spark), sinks.ESTIMATE_SCHEMA, buckets=16)
+    store.upsert(estimates(keys.where(F.dayofmonth("date") <= 20), F.lit(100.0), 0))
+    late = keys.where(F.dayofmonth("date") >= 16)
+    store.upsert(estimates(late, F.lit(900.0), 1).unionByName(estimates(late, F.lit(200.0) + F.dayofmonth("date"), 2)), ["at"])
+    return store.load(1).select(F.lit(1).alias("version"), "cache_key", "calories").unionByName(
+        store.load().select(F.lit(2).alias("version"), "cache_key", "calories"))
+
+
 @query("data_dictionary", B.with_views("""
     c AS (SELECT count(DISTINCT (participant_id, d)) AS n FROM sleep)
     SELECT unnest(['participant_id', 'date', 'n_nights', 'n_naps', 'has_sleep_record']) AS "column",
