@@ -132,6 +132,23 @@ def variance_inflation(spark, sf_dir):
     return K.vif(related(spark, sf_dir), ["size", "twice", "other"])
 
 
+@query("core_inflation_by_coverage", f"""WITH {RELATED_SQL},
+    y AS (SELECT size, twice, CASE WHEN p_partkey % 20 <> 0 THEN (p_partkey % 7)::DOUBLE END AS other
+          FROM (SELECT p_size::DOUBLE AS size, p_size * 2.0 + p_partkey % 3 AS twice, p_partkey FROM part)),
+    one AS (SELECT corr(size, twice) AS ab, count(*) AS n FROM y),
+    r AS (SELECT corr(size, twice) AS ab, corr(size, other) AS ac, corr(twice, other) AS bc, count(*) AS n FROM y WHERE other IS NOT NULL),
+    s AS (SELECT 1.0::DOUBLE AS min_coverage, c AS "column", ab * ab AS r2, n FROM one, (SELECT unnest(['size', 'twice']) AS c)
+        UNION ALL SELECT 0.9, 'size', (ab * ab + ac * ac - 2 * ab * ac * bc) / (1 - bc * bc), n FROM r
+        UNION ALL SELECT 0.9, 'twice', (ab * ab + bc * bc - 2 * ab * ac * bc) / (1 - ac * ac), n FROM r
+        UNION ALL SELECT 0.9, 'other', (ac * ac + bc * bc - 2 * ab * ac * bc) / (1 - ab * ab), n FROM r)
+    SELECT min_coverage, "column", {rnd('(1 / (1 - r2))', 2)} AS vif, {rnd('r2', 4)} AS r2_vs_rest, CAST(n AS INTEGER) AS n, 'ok' AS status FROM s""")
+def core_inflation_by_coverage(spark, sf_dir):
+    key, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    rows = B.table(spark, sf_dir, "part").select(size.alias("size"), (size * 2 + key % 3).alias("twice"),
+                                                 F.when(key % 20 != 0, (key % 7).cast("double")).alias("other"))
+    return K.core_vifs(rows, ["size", "twice", "other"], (1.0, 0.9))
+
+
 @query("core_subset", f"WITH {DATA_SQL} SELECT price, tax FROM x")
 def core_subset(spark, sf_dir):
     return K.core_subset(data(spark, sf_dir), ["price", "tax", "qty", "disc"], 1.0)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import bindings as B
 from catalog.joins import PAIRS_SQL, pairs
-from catalog.registry import query
+from catalog.registry import ORACLE_SQL, query
 from daygrain.operators import runs as R
 
 rnd = B.rnd
@@ -141,6 +141,23 @@ def pair_threshold_sweep(spark, sf_dir):
     return R.threshold_sweep(confirmed(spark, sf_dir))
 
 
+SWEEP_TWIN = ORACLE_SQL["pair_threshold_sweep"]
+
+
+@query("pair_sweep_without_pairs", SWEEP_TWIN)
+def pair_sweep_without_pairs(spark, sf_dir):
+    """Two events agree where their k are both even or both odd."""
+    return R.pair_sweep(B.events(spark, sf_dir), "participant_id", "ts", F.col("k") % 2)
+
+
+@query("pair_sweep_by_participant", B.with_views(CONFIRMED_SQL + """
+    SELECT participant_id, CAST(t AS INTEGER) AS threshold_s, count(*) FILTER (gap_s <= t) AS n_pairs,
+        count(*) FILTER (gap_s <= t AND same_meal) AS n_confirmed FROM (SELECT participant_id FROM people)
+        CROSS JOIN (SELECT unnest([15, 1800]) AS t) LEFT JOIN confirmed USING (participant_id) GROUP BY 1, 2""", "people"))
+def pair_sweep_by_participant(spark, sf_dir):
+    return R.pair_sweep(B.events(spark, sf_dir), "participant_id", "ts", F.col("k") % 2, [15, 1800], ["participant_id"]).drop("confirm_rate_pct")
+
+
 @query("pair_threshold_by_participant", B.with_views(CONFIRMED_SQL + """
     SELECT participant_id, CAST(t AS INTEGER) AS threshold_s, count(*) FILTER (gap_s <= t) AS n_pairs,
         count(*) FILTER (gap_s <= t AND same_meal) AS n_confirmed FROM confirmed, (SELECT unnest([15, 1800]) AS t) GROUP BY 1, 2"""))

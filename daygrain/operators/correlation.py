@@ -362,23 +362,100 @@ def _average_linkage(distance: np.ndarray, cut: float) -> list[list[int]]:
     return [c for c, keep in zip(clusters, alive) if keep]
 
 
+def swept_r2(matrix: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
+    """R^2 of every column of a correlation matrix on all the others, by one pass of the sweep operator.
+
+    Each column is swept in turn; one whose pivot is gone is a combination of
+    those swept before, and so is each of these that has a share in it: their
+    R^2 is one.  For the other columns the swept matrix has the inverse on its
+    diagonal.  The cost is that of one inverse.
+    """
+    a, k = matrix.astype(float).copy(), len(matrix)
+    free = []
+    for j in range(k):
+        pivot = a[j, j]
+        if pivot <= tolerance:
+            continue
+        free.append(j)
+        row, column = a[j] / pivot, a[:, j].copy()
+        a -= np.outer(column, row)
+        a[j], a[:, j], a[j, j] = row, column / pivot, -1.0 / pivot
+    bound = [j for j in range(k) if j not in set(free)]
+    r2 = np.ones(k)
+    for j in free:
+        if not np.any(np.abs(a[j, bound]) > 1e-9):
+            r2[j] = 1.0 + 1.0 / a[j, j]
+    return r2
+
+
+def _inflation(matrix: np.ndarray) -> list[tuple[float, float]]:
+    """(inflation, R^2) of every column; infinite where a column is explained."""
+    return [(float("inf") if r2 >= 1.0 - 1e-12 else round(1.0 / (1.0 - r2), 2), round(r2, 4)) for r2 in swept_r2(matrix).tolist()]
+
+
+def _complete_moments(df: DataFrame, cores: Sequence[Sequence[str]], centre: dict[str, float]) -> list[np.ndarray]:
+    """For each list of columns the moments (one, columns) of its complete rows, centred, in one scan."""
+    cols = list(dict.fromkeys(c for core in cores for c in core))
+    members = [np.array([cols.index(c) for c in core], int) for core in cores]
+    middle = np.array([centre[c] for c in cols])
+    sizes = [len(m) + 1 for m in members]
+    starts = np.cumsum([0] + [s * s for s in sizes])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = [np.zeros((s, s)) for s in sizes]
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) - middle
+            for which, total in zip(members, sums, strict=True):
+                rows = x[:, which][np.isfinite(x[:, which]).all(axis=1)]
+                ones = np.hstack([np.ones((len(rows), 1)), rows])
+                total += ones.T @ ones
+        yield pd.DataFrame({"i": np.arange(starts[-1]), "v": np.concatenate([s.ravel() for s in sums])})
+
+    # One number per pair of columns and list.
+    found = finite(df, cols).mapInPandas(fold, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    flat = np.zeros(starts[-1])
+    for row in found:
+        flat[row["i"]] = row["v"]
+    return [flat[a:b].reshape(s, s) for a, b, s in zip(starts[:-1], starts[1:], sizes, strict=True)]
+
+
+def _correlations(moments: np.ndarray) -> np.ndarray:
+    """Correlation matrix of centred moments; a constant column correlates with nothing."""
+    n, sums = max(moments[0, 0], 1.0), moments[0, 1:]
+    spread = moments[1:, 1:] - np.outer(sums, sums) / n
+    size = np.where(np.diag(spread) > 1e-12 * np.diag(moments[1:, 1:]), np.diag(spread), np.inf)
+    out = spread / np.sqrt(np.outer(size, size))
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
+def core_vifs(df: DataFrame, cols: Sequence[str], coverages: Sequence[float] = (1.0, 0.95), min_rows: int = MIN_COMPLETE_ROWS) -> DataFrame:
+    """``core_vif`` for several least coverages from two scans: one for coverage and means, one for all moments."""
+    data = finite(df, cols)
+    row = data.agg(F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"{name}_{c}") for c in cols for name, f in (("n", F.count), ("m", F.avg))]).first()
+    cores = [[c for c in cols if row["_n"] and row[f"n_{c}"] / row["_n"] >= share] for share in coverages]
+    moments = _complete_moments(data, cores, {c: row[f"m_{c}"] or 0.0 for c in cols}) if any(cores) else [np.zeros((1, 1))] * len(cores)
+    rows = []
+    for share, core, moment in zip(coverages, cores, moments, strict=True):
+        n = int(moment[0, 0])
+        if len(core) >= 2 and n >= min_rows:
+            rows += [(share, c, v, r2, n, "ok") for c, (v, r2) in zip(core, _inflation(_correlations(moment)), strict=True)]
+        else:
+            status = "too few columns" if len(core) < 2 else "too few rows"
+            rows += [(share, c, None, None, n, status) for c in cols]
+    return df.sparkSession.createDataFrame(rows, "min_coverage double, column string, vif double, r2_vs_rest double, n int, status string")
+
+
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Variance inflation of each column on the others, over complete rows.
 
-    Spark computes the k x k correlations; R^2 follows from that matrix.  A
-    perfectly explained column has infinite inflation.
+    Spark computes the k x k moments; R^2 of all columns follows from one sweep
+    of that matrix.  A perfectly explained column has infinite inflation.
     """
     cols = list(cols)
-    complete = finite(df, cols).dropna()
-    matrix = np.eye(len(cols))
-    for row in pairwise_pearson(complete, cols).collect():
-        i, j = cols.index(row["var_a"]), cols.index(row["var_b"])
-        matrix[i, j] = matrix[j, i] = row["pearson_r"] or 0.0
-    rows = []
-    for j, c in enumerate(cols):
-        rest = [i for i in range(len(cols)) if i != j]
-        r2 = float(matrix[j, rest] @ np.linalg.pinv(matrix[np.ix_(rest, rest)]) @ matrix[rest, j])
-        rows.append((c, float("inf") if r2 >= 1.0 - 1e-12 else round(1.0 / (1.0 - r2), 2), round(r2, 4)))
+    means = finite(df, cols).dropna().agg(*[F.avg(c).alias(c) for c in cols]).first()
+    moments = _complete_moments(df, [cols], {c: means[c] or 0.0 for c in cols})[0]
+    rows = [(c, v, r2) for c, (v, r2) in zip(cols, _inflation(_correlations(moments)), strict=True)]
     return df.sparkSession.createDataFrame(rows, "column string, vif double, r2_vs_rest double").orderBy(
         F.desc("vif"), "column")
 

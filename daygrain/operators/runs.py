@@ -185,7 +185,11 @@ def threshold_sweep(pairs: DataFrame, thresholds: Sequence[int] = SWEEP_SECONDS,
     for t in thresholds:
         near = F.col("gap_s") <= t
         aggs += [F.count_if(near).alias(f"n_{t}"), F.count_if(near & F.col("same_meal")).alias(f"c_{t}")]
-    wide = pairs.groupBy(*keys).agg(*aggs)
+    return _sweep_rows(pairs.groupBy(*keys).agg(*aggs), thresholds, keys)
+
+
+def _sweep_rows(wide: DataFrame, thresholds: Sequence[int], keys: Sequence[str]) -> DataFrame:
+    """A row per threshold out of the columns ``n_<t>`` and ``c_<t>``."""
     rows = F.array(*[F.struct(F.lit(t).alias("threshold_s"), F.col(f"n_{t}").alias("n_pairs"),
                               F.col(f"c_{t}").alias("n_confirmed")) for t in thresholds])
     out = wide.select(*keys, F.inline(rows))
@@ -193,6 +197,38 @@ def threshold_sweep(pairs: DataFrame, thresholds: Sequence[int] = SWEEP_SECONDS,
         100 * F.col("n_confirmed") / F.nullif(F.col("n_pairs"), F.lit(0)), 1))
 
 
+def pair_sweep(events: DataFrame, key: str, ts: str, same: Column, thresholds: Sequence[int] = SWEEP_SECONDS,
+               keys: Sequence[str] = ()) -> DataFrame:
+    """``threshold_sweep`` without the pairs, for the verdict that both events agree in ``same``.
+
+    Events of one key, stamp and ``same`` fold to one row with a count.  Each
+    chunk of time also receives what follows within the longest threshold, so
+    that one pass over it counts the partners of every row for all thresholds
+    by range frames.  Rows meet in no join, and a stamp with half of the events
+    is a few rows.
+    """
+    widths = {t: int(t * 1_000_000) for t in thresholds}
+    longest = max(widths.values())
+    chunk_us = max(CHUNK_SECONDS * 1_000_000, longest)
+    ticks = (events.where(F.col(ts).isNotNull() & F.col(key).isNotNull())
+             .groupBy(key, epoch_us(ts).alias("_us"), F.struct(same.alias("label")).alias("_same")).agg(F.count("*").alias("_n")))
+    own = F.floor(F.col("_us") / F.lit(chunk_us))
+    reached = F.sequence(F.floor((F.col("_us") - longest) / F.lit(chunk_us)), own)
+    spread = ticks.withColumn("_own", own).withColumn("_chunk", F.explode(reached))
+    by_time = Window.partitionBy(key, "_chunk").orderBy("_us")
+    by_same = Window.partitionBy(key, "_chunk", "_same").orderBy("_us")
+    n, agrees = F.col("_n"), F.col("_same.label").isNotNull()
+    at_once = F.sum("_n").over(by_time.rangeBetween(0, 0))
+    counted = spread.withColumns({f"_p{t}": n * (F.coalesce(F.sum("_n").over(by_time.rangeBetween(1, w)), F.lit(0)) + (at_once - 1) / 2)
+                                  for t, w in widths.items()})
+    counted = counted.withColumns({f"_c{t}": n * (F.coalesce(F.sum("_n").over(by_same.rangeBetween(1, w)), F.lit(0)) + (n - 1) / 2)
+                                   for t, w in widths.items()})
+    sums = counted.where(F.col("_chunk") == F.col("_own")).groupBy(*keys).agg(*[
+        F.round(F.sum(v)).cast("long").alias(name) for t in thresholds
+        for v, name in ((F.col(f"_p{t}"), f"n_{t}"), (F.when(agrees, F.col(f"_c{t}")).otherwise(0.0), f"c_{t}"))])
+    return _sweep_rows(sums, thresholds, keys)
+
+
 def median_gap_by_verdict(pairs: DataFrame) -> DataFrame:
     """Median gap of confirmed and of rejected pairs."""
     return exact_quantiles(pairs, ["same_meal"], "gap_s", {"median_gap_s": 0.5})

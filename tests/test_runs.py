@@ -149,3 +149,24 @@ def test_threshold_sweep(spark):
     rows = [(5.0, True), (15.0, False), (100.0, True), (1700.0, False)]
     out = R.threshold_sweep(spark.createDataFrame(rows, "gap_s double, same_meal boolean")).orderBy("threshold_s").collect()
     assert [(r["n_pairs"], r["n_confirmed"]) for r in out] == [(2, 1), (2, 1), (3, 2), (3, 2), (4, 2)]
+
+
+def test_sweep_without_pairs(spark):
+    draw = random.Random(8)
+    start = datetime(2020, 2, 3, 23, 30)
+    events = [(draw.choice("ab"), start + timedelta(seconds=draw.choice([0, 0, 1, 15, 60, 61, 3600, 7200]) + draw.randrange(3) * 0.5 + 86400 * draw.randrange(2)),
+               draw.choice([0, 1, None])) for _ in range(150)] + [("a", None, 1), (None, start, 1)]
+    frame = spark.createDataFrame(events, "p string, ts timestamp_ntz, label int")
+    for thresholds in ([15, 60, 1800, 7200], [1]):
+        out = R.pair_sweep(frame, "p", "ts", F.col("label"), thresholds, ["p"]).collect()
+        for r in out:
+            mine = [e for e in events if e[0] == r["p"] and e[1] is not None]
+            near = [(a, b) for i, a in enumerate(mine) for b in mine[:i] if abs((a[1] - b[1]).total_seconds()) <= r["threshold_s"]]
+            assert r["n_pairs"] == len(near) and r["n_confirmed"] == sum(a[2] is not None and a[2] == b[2] for a, b in near)
+        assert len(out) == 2 * len(thresholds)
+    plan = R.pair_sweep(frame, "p", "ts", F.col("label"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    hot = spark.range(200_000).selectExpr("'a' AS p", "CASE WHEN id % 2 = 0 THEN TIMESTAMP_NTZ'2020-02-03 00:00:00' ELSE timestampadd(SECOND, CAST(id AS INT), TIMESTAMP_NTZ'2020-02-03 00:00:00') END AS ts", "1 AS label")
+    found = R.pair_sweep(hot, "p", "ts", F.col("label"), [15]).first()
+    n = 100_000
+    assert found["n_pairs"] == found["n_confirmed"] == n * (n - 1) // 2 + 8 * n + sum(min(7, n - 1 - i) for i in range(n))

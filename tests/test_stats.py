@@ -231,3 +231,44 @@ def test_pearson_by_sums_and_by_matrices(spark, monkeypatch, plain):
         assert r["n"] == len(both)
         flat = len(both) < 3 or "d" in (r["var_a"], r["var_b"])
         assert r["pearson_r"] == (None if flat else pytest.approx(np.corrcoef(both.T)[0, 1], abs=1e-9))
+
+
+def plain_r2(matrix, j):
+    rest = [i for i in range(len(matrix)) if i != j]
+    return float(matrix[j, rest] @ np.linalg.pinv(matrix[np.ix_(rest, rest)]) @ matrix[rest, j])
+
+
+def test_one_sweep_gives_every_r2():
+    rng = np.random.default_rng(7)
+    for k in range(1, 12):
+        x = rng.normal(size=(400, k)) @ rng.normal(size=(k, k))
+        if k > 4:
+            x[:, 1] = 2 * x[:, 0] - x[:, 3]  # three columns explain each other
+        if k > 7:
+            x[:, 6] = x[:, 5]
+        c = np.atleast_2d(np.corrcoef(x.T))
+        for j, r2 in enumerate(K.swept_r2(c)):
+            assert r2 == pytest.approx(plain_r2(c, j) if k > 1 else 0.0, abs=1e-6)
+    assert K.swept_r2(np.eye(3)).tolist() == [0.0, 0.0, 0.0]
+
+
+def test_inflation_of_several_coverages(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(1e5, 1.0, (600, 5)), columns=list("abcde"))
+    pdf["b"] = pdf["a"] + 0.5 * pdf["b"]
+    pdf.loc[rng.random(600) < 0.03, "c"] = np.nan
+    pdf.loc[rng.random(600) < 0.5, "d"] = np.nan
+    pdf["e"] = pdf["a"] + pdf["c"]
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double, d double, e double")
+    out = K.core_vifs(df, list("abcde"), (1.0, 0.95, 0.4)).collect()
+    for share, core in ((1.0, ["a", "b"]), (0.95, ["a", "b", "c", "e"]), (0.4, list("abcde"))):
+        some = {r["column"]: r for r in out if r["min_coverage"] == share}
+        rows = pdf[core].dropna()
+        c = np.corrcoef(rows.to_numpy().T)
+        assert set(some) == set(core)
+        for j, name in enumerate(core):
+            assert some[name]["n"] == len(rows) and some[name]["r2_vs_rest"] == pytest.approx(plain_r2(c, j), abs=1e-3)
+            assert (some[name]["vif"] == float("inf")) == (share < 1.0 and name in "ace")
+    few = K.core_vifs(df.limit(50), ["a", "b"]).collect()
+    assert {(r["status"], r["vif"]) for r in few} == {("too few rows", None)} and len(few) == 4
+    assert {r["status"] for r in K.core_vifs(df.where("false"), ["a", "b"]).collect()} == {"too few columns"}
