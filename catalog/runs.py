@@ -6,6 +6,7 @@ from catalog import bindings as B
 from catalog.joins import PAIRS_SQL, pairs
 from catalog.registry import ORACLE_SQL, query
 from daygrain.operators import runs as R
+from daygrain.streaming import live as L
 
 rnd = B.rnd
 BURST = 7200
@@ -29,6 +30,30 @@ def burst_representatives(spark, sf_dir):
     return R.burst_representatives(groups, ["participant_id"], "ts", "event_id")
 
 
+@query("live_bursts", B.with_views(BURST_SQL + """,
+    b AS (SELECT participant_id, arg_min(event_id, (ts, event_id)) AS representative, min(ts) AS first_ts, max(ts) AS last_ts,
+        count(*) AS n_events FROM grouped GROUP BY participant_id, burst)
+    SELECT * FROM b WHERE epoch_us(last_ts) + """ + f"{BURST * 1_000_000 + 1}" + """ <= (SELECT max(epoch_ms(ts)) FROM ev) * 1000 - 3600000000"""))
+def live_bursts(spark, sf_dir):
+    """The events as a stream: bursts that an hour of lateness has closed."""
+    live = B.live_events(spark, sf_dir)
+    return L.run_to_end(L.live_bursts(live, ["participant_id"], "ts", "event_id", BURST))
+
+
+@query("live_activity", B.with_views("""
+    one AS (SELECT participant_id, metric, ts, d, arg_min(value, seq) AS value FROM minute GROUP BY 1, 2, 3, 4)
+    SELECT participant_id, d AS date, coalesce(sum(value) FILTER (metric = 'steps'), 0) AS total_steps,
+        CAST(count(*) FILTER (metric = 'steps') AS INTEGER) AS steps_cov_min, coalesce(sum(value) FILTER (metric = 'calories'), 0) AS total_kcal
+    FROM one GROUP BY 1, 2 HAVING epoch_ms(CAST(d AS TIMESTAMP)) + 86400000 <= (SELECT max(epoch_ms(ts)) FROM minute) - 3600000""", "minute"))
+def live_activity(spark, sf_dir):
+    """The minutes as a stream: days that an hour of lateness has closed."""
+    live = B.live_events(spark, sf_dir).select(
+        "participant_id", F.date_trunc("hour", "ts").alias("ts"),
+        F.expr("CASE k % 3 WHEN 0 THEN 'steps' WHEN 1 THEN 'distance' ELSE 'calories' END").alias("metric"),
+        F.expr("CAST(floor(value * 10) AS DOUBLE)").alias("value"), F.col("event_id").alias("seq"))
+    return L.run_to_end(L.live_activity(live)).select("participant_id", "date", "total_steps", "steps_cov_min", "total_kcal")
+
+
 # Pairs are confirmed when both events have the same parity of k.
 CONFIRMED_SQL = PAIRS_SQL + """, confirmed AS (SELECT p.*, (a.k + b.k) % 2 = 0 AS same_meal FROM pairs p
     JOIN ev a ON a.event_id = event_id_1 JOIN ev b ON b.event_id = event_id_2)"""

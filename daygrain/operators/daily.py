@@ -44,21 +44,25 @@ def dedupe_counts_per_day(minute: DataFrame, metrics: Sequence[str] = ("steps",
 
 def activity_daily(minute: DataFrame) -> DataFrame:
     """Daily totals of the deduplicated minute metrics and their coverage."""
-    clean = dedupe_minutes(minute)
+    return _by_day(dedupe_minutes(minute)).agg(*activity_totals())
+
+
+def activity_totals() -> list[Column]:
+    """The aggregates of one day of deduplicated minutes."""
     value, metric = F.col("value"), F.col("metric")
 
     def of(name: str) -> Column:
         return F.when(metric == name, value)
 
     distance = F.coalesce(F.sum(of("distance")), F.lit(0.0))
-    return _by_day(clean).agg(
+    return [
         F.coalesce(F.sum(of("steps")), F.lit(0.0)).alias("total_steps"),
         F.coalesce(F.max(of("steps")), F.lit(0.0)).alias("peak_1min_steps"),
         F.count(of("steps")).cast("int").alias("steps_cov_min"),
         F.coalesce(F.sum(F.when(metric.isin("steps", "distance"), F.col("n_raw") - 1)), F.lit(0))
         .cast("int").alias("n_deduped_min"),
         distance.alias("total_distance_cm"), C.cm_to_m(distance).alias("total_distance_m"),
-        F.coalesce(F.sum(of("calories")), F.lit(0.0)).alias("total_kcal"))
+        F.coalesce(F.sum(of("calories")), F.lit(0.0)).alias("total_kcal")]
 
 
 def exercise_daily(bouts: DataFrame, min_minutes: float = C.MIN_BOUT_MINUTES,

@@ -8,7 +8,7 @@ from catalog import ORACLE_SQL, QUERIES
 
 TEXT = (Path(__file__).resolve().parents[1] / "COVERAGE.md").read_text()
 ROWS = [[c.strip() for c in line.strip("|\n").split("|")] for line in TEXT.splitlines() if re.match(r"\| [A-Z]\d", line)]
-PACKAGES = ("functions", "operators", "sources", "plans")
+PACKAGES = ("functions", "operators", "sources", "plans", "streaming")
 
 
 def find(path):
