@@ -220,8 +220,12 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   size: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that hold a window of a test item; rows without an id go together."""
-    found = matches(docs, items, id_col, text_col, size=size)
+    """``docs`` without the documents that hold a window of a test item.
+
+    A row is known by its id and a print of its text, so rows that share an id
+    or have none are judged each by its own text.
+    """
+    key = F.struct(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("print"))
+    found = matches(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), items, "_key", "_text", size=size)
     gone = found.where("n_hit > 0").select(F.col("id").alias("_gone")).distinct()
-    return (packed(docs, _id=F.col(id_col)).join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
-            .select("_row.*"))
+    return packed(docs, _key=key).join(gone, F.col("_key") == F.col("_gone"), "left_anti").select("_row.*")

@@ -145,11 +145,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         **limits: float) -> DataFrame:
     """``docs`` with one row per copy, and ``epoch`` and ``mix_key``; order by ``mix_key`` for the stream."""
     _, ruled = planned(docs, id_col, text_col, source_col, seed, **limits)
-    return realised(docs, ruled, id_col, source_col, seed).drop("_weight")
+    return realised(docs, ruled, id_col, source_col, seed, weighted=False)
 
 
-def realised(docs: DataFrame, ruled: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 1) -> DataFrame:
-    """The copies of ``mix`` for quotas that are known, and the ``_weight`` of their sources."""
+def realised(docs: DataFrame, ruled: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 1,
+             weighted: bool = True) -> DataFrame:
+    """The copies of ``mix`` for quotas that are known; if ``weighted``, with the ``_weight`` of their sources."""
     names = [c for c in docs.columns if c not in ("epoch", "mix_key")]
     rule = ruled.select(F.col("source").alias("_source"), F.col("weight").alias("_weight"), "whole", "cut", "rest", "n_docs")
     held = docs.select(F.struct(*names).alias("_doc"), F.col(source_col).alias("_s"), F.col(id_col).alias("_id"),
@@ -161,4 +162,5 @@ def realised(docs: DataFrame, ruled: DataFrame, id_col: str = "doc_id", source_c
     low = (1 << 20) - 1
     key = (F.xxhash64(F.lit(seed), "epoch", "_s", block).bitwiseAND(F.lit(~low))
            .bitwiseOR(F.xxhash64(F.lit(seed), "epoch", "_id").bitwiseAND(F.lit(low))))
-    return taken.select("_doc.*", F.col("epoch").cast("int").alias("epoch"), key.alias("mix_key"), "_weight")
+    shown = [F.col("_weight")] if weighted else []
+    return taken.select("_doc.*", F.col("epoch").cast("int").alias("epoch"), key.alias("mix_key"), *shown)

@@ -60,3 +60,13 @@ def test_decontaminate(spark, odd, empty):
     assert decontamination.decontaminate(empty, items).count() == 0
     none = decontamination.matches(odd, items.where("false"))
     assert none.count() == odd.count() and none.agg(F.sum("n_hit")).first()[0] == 0
+
+
+def test_rows_without_an_id_are_judged_by_their_own_text(spark, frame):
+    leaked = "one two three four five six seven eight nine ten"
+    docs = frame([(None, "x " + leaked), (None, "a clean text"), (None, None), (7, leaked + " y"), (7, "another clean text"), (8, "clean")])
+    items = spark.createDataFrame([(1, leaked)], "item_id long, text string")
+    kept = decontamination.decontaminate(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+        [(None, "a clean text"), (None, None), (7, "another clean text"), (8, "clean")], key=str)

@@ -2,6 +2,7 @@ from collections import defaultdict
 from math import log
 
 import pytest
+from pyspark.sql import functions as F
 
 from daygrain.llm import mixing
 
@@ -71,3 +72,10 @@ def test_odd_rows(odd, empty):
     assert mixing.mix(empty, min_entropy=0.9, max_repetition=2.0).count() == 0
     blank = odd.where("doc_id IN (1, 2, 3)")
     assert mixing.mix(blank, min_entropy=0.9, max_repetition=2.0).count() == 3
+
+
+def test_a_caller_keeps_its_weight_column(frame):
+    docs = frame([(i, f"text {i}") for i in range(12)]).withColumn("_weight", F.lit(0.25)).withColumn("whole", F.lit("w"))
+    out = mixing.mix(docs, min_entropy=0.95, max_repetition=2.0)
+    assert {(r["_weight"], r["whole"]) for r in out.collect()} == {(0.25, "w")}
+    assert out.columns == [*docs.columns, "epoch", "mix_key"]
