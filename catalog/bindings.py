@@ -26,11 +26,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` read as a stream of files; event time needs a time zone, which is UTC."""
+    """``events`` read as a stream of files."""
     stored = table(spark, sf_dir, "events")
     # A pattern, since a stream of files takes a folder or a pattern, and the table may be either one file or a folder.
     live = spark.readStream.schema(stored.schema).parquet(f"{sf_dir}/events.parque[t]")
-    return live.select("event_id", F.col("user_id").alias("participant_id"), F.col("ts").cast("timestamp").alias("ts"),
+    return live.select("event_id", F.col("user_id").alias("participant_id"), F.col("ts").cast("timestamp_ntz").alias("ts"),
                        "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
