@@ -74,17 +74,32 @@ def std_ts(c: Column | str, fmt: str | None = None) -> Column:
     if fmt is not None:
         return F.date_trunc("millisecond", F.try_to_timestamp(text, F.lit(fmt))).cast("timestamp_ntz")
     text = F.regexp_replace(text, ZONE, "")
-    # The rare shapes come last and cost nothing where another one fits.
-    spelled = reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1].replace("\\", "$")), REWRITES, text)
-    spelled = F.regexp_replace(spelled, FINER_THAN_MS, "$1")
+    rare = _rare_shapes(text)
     text = F.regexp_replace(text, YEAR_FIRST, "$1-$2-$3")
     text = F.regexp_replace(text, FINER_THAN_MS, "$1")
     wide = F.regexp_replace(text, SHORT_YEAR, "$1/$2/20$3")
     read = []
-    for iso in (F.regexp_replace(wide, SLASHES, "$3-$2-$1"), F.regexp_replace(wide, SLASHES, "$3-$1-$2"), spelled):
+    for iso in (F.regexp_replace(wide, SLASHES, "$3-$2-$1"), F.regexp_replace(wide, SLASHES, "$3-$1-$2")):
         dated = F.when(iso.rlike(r"^\d{4}-"), iso)
         read += [dated.try_cast("timestamp_ntz"), F.try_to_timestamp(dated, F.lit(HALF_DAY_FORMAT)).cast("timestamp_ntz")]
-    return F.coalesce(*read)
+    return F.coalesce(*read, rare)
+
+
+def _rare_shapes(text: Column) -> Column:
+    """The shapes of ``REWRITES``.
+
+    They come last and are bound in functions over a list of one, which are
+    called where no other shape fits and add nothing to the generated code.
+    """
+    def spelled(c: Column) -> Column:
+        iso = reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1].replace("\\", "$")), REWRITES, c)
+        return F.regexp_replace(iso, FINER_THAN_MS, "$1")
+
+    def read(iso: Column) -> Column:
+        dated = F.when(iso.rlike(r"^\d{4}-"), iso)
+        return F.coalesce(dated.try_cast("timestamp_ntz"), F.try_to_timestamp(dated, F.lit(HALF_DAY_FORMAT)).cast("timestamp_ntz"))
+
+    return F.transform(F.transform(F.array(text), spelled), read)[0]
 
 
 def std_text(ts: Column | str) -> Column:

@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 @pytest.fixture(scope="session")
 def spark():
     from daygrain.session import build_session
-    session = build_session("tests", "local[8]", 8)
+    session = build_session("tests", "local[8]", 8, "6g")
     session.sparkContext.setLogLevel("ERROR")
     if session.conf.get("spark.checkpoint.dir", None) is None:
         session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
