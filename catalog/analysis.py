@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import bindings as B
 from catalog.registry import query
 from daygrain.operators import correlation as K
+from daygrain.operators.information import neighbour_mi
 
 rnd = B.rnd
 COLS = ["qty", "price", "disc", "tax"]
@@ -233,6 +234,36 @@ def binned_mutual_information(spark, sf_dir):
     return tidy(K.binned_mi(data(spark, sf_dir), ["price", "qty", "disc"], "line"), "mi_binned").drop("n")
 
 
+def neighbour_mi_sql(c: str) -> str:
+    """All pairs of the labelled parts."""
+    return f"""SELECT '{c}' AS "column", (SELECT h FROM psi WHERE m = max(d.n)) + avg(pk.h - pa.h - pb.h) AS mi, max(d.n) AS n FROM (
+        SELECT s.i, any_value(s.n) AS n, any_value(CASE WHEN same > 3 THEN same ELSE 3 END) AS ties,
+            count(*) FILTER (abs(t.x - s.x) <= r + 1e-13) AS a, count(*) FILTER (abs(t.y - s.y) <= r + 1e-13) AS b
+        FROM (SELECT p.i, any_value(p.x) AS x, any_value(p.y) AS y, count(*) + 1 AS n,
+                  count(*) FILTER (q.x = p.x AND q.y = p.y) + 1 AS same,
+                  min(greatest(abs(q.x - p.x), abs(q.y - p.y)), 3)[3] * (1 - pow(2, -30)) AS r
+              FROM v_{c} p JOIN v_{c} q ON p.i <> q.i GROUP BY p.i) s CROSS JOIN v_{c} t GROUP BY s.i) d
+        JOIN psi pk ON pk.m = d.ties JOIN psi pa ON pa.m = d.a JOIN psi pb ON pb.m = d.b"""
+
+
+NEIGHBOUR_COLS = ["size", "steps", "key"]
+
+
+@query("neighbour_information", """WITH w AS (SELECT p_partkey AS i, p_retailprice AS price, floor(p_size / 10)::DOUBLE AS steps,
+        CASE WHEN p_type <> 'SMALL' THEN p_size::DOUBLE END AS size, sqrt(p_partkey) AS key FROM part), """ + ", ".join(
+    f"""v_{c} AS (SELECT i, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS y
+        FROM (SELECT i, coalesce({c}, median({c}) OVER ()) AS x, price AS y FROM w))""" for c in NEIGHBOUR_COLS) + f""",
+    psi AS (SELECT m, -0.57721566490153286 + coalesce(sum(1.0::DOUBLE / (m - 1)) FILTER (m > 1) OVER (ORDER BY m), 0) AS h
+            FROM (SELECT unnest(range(1, (SELECT count(*) + 1 FROM part))) AS m))
+    SELECT "column", {rnd('greatest(mi, 0)', 6)} + 0.0::DOUBLE AS mi, n FROM (""" + " UNION ALL ".join(
+    neighbour_mi_sql(c) for c in NEIGHBOUR_COLS) + ")")
+def neighbour_information(spark, sf_dir):
+    parts = B.table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_retailprice").alias("price"), F.floor(F.col("p_size") / 10).cast("double").alias("steps"),
+        F.when(F.col("p_type") != "SMALL", F.col("p_size").cast("double")).alias("size"), F.sqrt("p_partkey").alias("key"))
+    return tidy(neighbour_mi(parts, NEIGHBOUR_COLS, "price"), "mi")
+
+
 @query("label_relevance", f"WITH {DATA_SQL}, s AS (" + " UNION ALL ".join(
     SPEARMAN_PAIR.format(a=c, b="line") for c in COLS) + "), p AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS var_a, corr({c}, line) AS r FROM x" for c in COLS) + f""")
