@@ -15,7 +15,10 @@ word's share of the id's count, joined from the table of all counts.
 Training: numpy, one pass over all words of all documents in ``ROUNDS`` rounds; every
 word is a neighbour, and every word is masked and predicted once.  In a round each task starts from the same weights and learns from its share of the
 round's documents; the results are averaged by the number of words, in two steps
-so that no task meets the weights of all others.
+where there are more than ``FAN`` of them, so that no task meets the weights of all
+others.  A round has ``TASKS`` tasks per core, whatever the number of files: each
+hands its weights on once, so these do not grow with the splits of the input.
+The scores depend on which documents a task meets, thus on the file layout.
 
 At volume: texts are never shuffled.  Word counts fold map-side; the table of
 all counts is stored and joined, never broadcast by force.  Weights grow with the
@@ -59,8 +62,10 @@ BATCH = 16384
 #: Words whose class scores are held at a time, so that they stay in a core's cache.
 BLOCK = 2048
 RATE = 0.1
-#: Rows of weights handed on together, and how many partial averages are taken per such part.
+#: Rows of weights handed on together, and how many tasks' weights of such a part are averaged in one step.
 PART, FAN = 256, 64
+#: Training tasks per core.
+TASKS = 2
 
 
 @dataclass
@@ -293,9 +298,11 @@ def study(trainer: Trainer, ids: np.ndarray, owner: np.ndarray, rng: np.random.G
 
 def _round(docs: DataFrame, text_col: str, frequent: np.ndarray, weights: Weights, number: int, rounds: int) -> Weights:
     """Weights after one round: the documents of the round, each task on its own, then the average."""
-    side = weights.side
-    sent = docs.sparkSession.sparkContext.broadcast((frequent, weights.rows()))
-    mine = docs.where(F.pmod(F.xxhash64(F.lit(11), text_col), F.lit(rounds)) == number).select(text_col)
+    side, context = weights.side, docs.sparkSession.sparkContext
+    sent = context.broadcast((frequent, weights.rows()))
+    tasks = TASKS * context.defaultParallelism
+    fans = 1 if tasks <= FAN else int(np.ceil(np.sqrt(tasks)))
+    mine = docs.where(F.pmod(F.xxhash64(F.lit(11), text_col), F.lit(rounds)) == number).select(text_col).coalesce(tasks)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -310,7 +317,7 @@ def _round(docs: DataFrame, text_col: str, frequent: np.ndarray, weights: Weight
             parts = [rows[at:at + PART].tobytes() for at in range(0, len(rows), PART)]
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(parts)), pa.int32()), pa.array([task % FAN] * len(parts), pa.int32()),
+                [pa.array(range(len(parts)), pa.int32()), pa.array([task % fans] * len(parts), pa.int32()),
                  pa.array([float(n)] * len(parts)), pa.array(parts, pa.binary())], names=["part", "fan", "n", "rows"])
 
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -321,10 +328,13 @@ def _round(docs: DataFrame, text_col: str, frequent: np.ndarray, weights: Weight
                              "rows": [mean.astype(np.float32).tobytes()]})
 
     schema = "part int, fan int, n double, rows binary"
-    partial = mine.mapInArrow(learn, schema).groupBy("part", "fan").applyInPandas(average, schema)
-    whole = partial.groupBy("part").applyInPandas(average, schema).orderBy("part").collect()  # the weights, once
+    partial = mine.mapInArrow(learn, schema)
+    if fans > 1:
+        partial = partial.groupBy("part", "fan").applyInPandas(average, schema)
+    whole = partial.groupBy("part").applyInPandas(average, schema).collect()  # the weights, once
     if not whole:
         return weights
+    whole.sort(key=lambda r: r["part"])
     return Weights.of_rows(np.frombuffer(b"".join(r["rows"] for r in whole), np.float32).reshape(-1, WIDTH), side)
 
 

@@ -124,3 +124,12 @@ def test_the_network_grows_with_the_distinct_words():
     for _ in range(3):
         trainer.step(ids, near)
     assert P.log_probabilities(trainer.w, ids, near).sum() > before
+
+
+def test_one_step_and_two_steps_of_averaging_agree(frame, monkeypatch):
+    rng = random.Random(9)
+    docs = frame([(i, " ".join(f"w{rng.randint(0, 40)}" for _ in range(60))) for i in range(80)]).repartition(20, "doc_id")
+    one = P.fit(docs, rounds=1)[1].rows()
+    monkeypatch.setattr(P, "FAN", 1)
+    two = P.fit(docs, rounds=1)[1].rows()
+    assert np.abs(one - P.Weights.start().rows()).max() > 0.01 and np.abs(one - two).max() < 1e-5
