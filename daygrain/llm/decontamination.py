@@ -8,9 +8,10 @@ tells how often each term occurs in the training data; every window is then
 looked up from its two rarest terms.  The postings of the rarest term, adjusted
 by its offset in the window, are intersected with the adjusted postings of the
 second rarest and, for what is left, of all other terms, rarest first.  What
-remains is an exact phrase match.  With ``slop`` > 0, places where the second
-rarest term stands within ``slop`` words of its expected position are counted
-as proximity matches.
+remains is an exact phrase match.  With ``slop`` > 0 every place of a window's
+rarest term around which each other term of the window stands within ``slop``
+words of its expected position counts as a proximity match; exact matches are
+among them, and the same posting lists are intersected, each widened by ``slop``.
 
 Terms are told apart by a 64-bit hash of all their bytes.
 
@@ -170,10 +171,13 @@ def search(index: DataFrame, windows: Windows, counts: np.ndarray, slop: int = 0
             near = np.zeros(len(n_words), np.int64)
             for window, start in candidates(ids, at[rare], terms[rare]):
                 if slop:
-                    place = start + order[window, min(1, size - 1)]
-                    wanted = window_terms[window, order[window, min(1, size - 1)]]
-                    close = (wanted >= 0) & np.any([ids[place + d] == wanted for d in range(-slop, slop + 1)], axis=0)
-                    owner = np.searchsorted(base - pad, start[close] + order[window[close], 0], "right") - 1
+                    wide, begin = window, start
+                    for k in range(1, size):
+                        offset = order[wide, k]
+                        wanted = window_terms[wide, offset]
+                        close = (length[wide] <= k) | np.any([ids[begin + offset + d] == wanted for d in range(-slop, slop + 1)], axis=0)
+                        wide, begin = wide[close], begin[close]
+                    owner = np.searchsorted(base, begin + order[wide, 0], "right") - 1
                     near += np.bincount(owner, minlength=len(near))
                 for k in range(1, size):
                     offset = order[window, k]
@@ -203,7 +207,11 @@ def search(index: DataFrame, windows: Windows, counts: np.ndarray, slop: int = 0
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, slop: int = 0) -> DataFrame:
-    """One row per row of ``docs``: id, n_words, n_hit, items (ids as sorted strings), n_near."""
+    """One row per row of ``docs``: id, n_words, n_hit, items (ids as sorted strings), n_near.
+
+    ``n_near`` counts (window, place of its rarest term) within ``slop``; terms
+    that occur equally often are taken in the order of the window.
+    """
     found = []
     for windows in blocks(items, item_col, item_text_col, size):
         index = build_index(docs, windows.vocabulary, id_col, text_col)

@@ -101,6 +101,10 @@ SQL_WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOW
              "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
 
 
+#: Words by which a term may stand off its place in a proximity match.
+SLOP = 2
+
+
 @query("op7_benchmark_decontamination", f"""
     WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
     i AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -113,15 +117,26 @@ SQL_WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOW
     hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit
             FROM (SELECT doc_id, unnest(generate_series(a, a + n - 1)) AS p FROM m) GROUP BY 1),
     it AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s
-           FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
+           FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1),
+    said AS (SELECT doc_id, unnest(w) AS t, unnest(generate_series(0, len(w) - 1)) AS p FROM d WHERE len(w) > 0),
+    often AS (SELECT t, count(*) AS c FROM said GROUP BY 1),
+    wk AS (SELECT id, n, unnest(string_split(s, ' ')) AS t, unnest(generate_series(0, n - 1)) AS k
+           FROM (SELECT row_number() OVER () AS id, n, s FROM iw)),
+    rarest AS (SELECT id, n, t, k FROM wk LEFT JOIN often USING (t)
+               QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(c, 0), k) = 1),
+    begun AS (SELECT doc_id, id, n, p - k AS a FROM said JOIN rarest USING (t)),
+    within AS (SELECT b.doc_id, b.id, b.a FROM begun b JOIN wk USING (id)
+               JOIN said ON said.doc_id = b.doc_id AND said.t = wk.t AND abs(said.p - b.a - wk.k) <= {SLOP}
+               GROUP BY b.doc_id, b.id, b.a, b.n HAVING count(DISTINCT wk.k) = b.n),
+    nr AS (SELECT doc_id, count(*) AS n_near FROM within GROUP BY 1)
     SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-           sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""")
+           sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)""")
 def op7_benchmark_decontamination(spark, sf_dir):
-    found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-                        (F.col("n_hit") > 0).alias("contaminated"))
+                        (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 @query("op9_simhash_near_dedup")

@@ -52,6 +52,41 @@ def test_proximity(spark, frame):
     assert got == {1: (4, 1), 2: (0, 1), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
 
 
+def brute_near(docs, items, size, slop):
+    """Places of the rarest term of each window with all its terms within ``slop``."""
+    texts = [words(t) for _, t in docs]
+    count = lambda t: sum(w.count(t) for w in texts)
+    out = [0] * len(docs)
+    for item in {i for i, _ in items}:
+        windows = set()
+        for i, said in items:
+            q = words(said) if i == item else []
+            n = min(size, len(q))
+            windows |= {tuple(q[a:a + n]) for a in range(len(q) - n + 1 if n else 0)}
+        for window in windows:
+            pivot = min(range(len(window)), key=lambda k: (count(window[k]), k))
+            for d, w in enumerate(texts):
+                for p in (p for p, t in enumerate(w) if t == window[pivot]):
+                    out[d] += all(t in w[max(0, p - pivot + k - slop):max(0, p - pivot + k + slop + 1)]
+                                  for k, t in enumerate(window) if k != pivot)
+    return out
+
+
+@pytest.mark.parametrize(("size", "slop"), [(3, 1), (4, 2), (10, 3), (1, 2)])
+def test_proximity_matches_brute_force(spark, frame, size, slop):
+    docs, items = corpus(20 + size)
+    rng = random.Random(size)
+    for i in range(30):  # windows with a word put in, left out or swapped
+        w = (items[i % 12][1] or "").split()
+        at = rng.randrange(len(w))
+        w[at:at + 1] = rng.choice([[], [w[at], "put"], [w[at], "in", "in"]])
+        docs.append((200 + i, " ".join(w)))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["id"]: r["n_near"] for r in decontamination.matches(frame(docs), table, size=size, slop=slop).collect()}
+    want = dict(zip((i for i, _ in docs), brute_near(docs, items, size, slop)))
+    assert got == want and sum(want.values()) > 20
+
+
 def test_decontaminate(spark, odd, empty):
     items = spark.createDataFrame([(1, "one"), (2, "two WORDS")], "item_id long, text string")
     out = decontamination.decontaminate(odd, items)
