@@ -7,6 +7,8 @@ Two answers per document:
 * the templates that are contained in a text block: at least ``CONTAINMENT`` of a
   template's distinct words occur in one block of ``BLOCK`` words.  Blocks start
   every ``STRIDE`` words, so a passage of up to ``STRIDE`` words lies in one block.
+  Templates of more words than that have blocks and strides of their own, doubled
+  until the template fits, so a document that quotes it holds it in one block.
 
 The join is exact.  Words are ordered by how often they occur in all texts, rarest
 first.  With a = ceil(CONTAINMENT * |T|), a block that contains a words of T holds
@@ -14,7 +16,7 @@ at least one of the first |T| - a + 1 of them (prefix), has at least a template
 words (length), and a common word at place i of T and j of the block leaves room
 for 1 + min(|T| - i, |B| - j) >= a common words (position).  What passes is verified.
 
-At volume: three scans, no text is shuffled.  Word counts fold map-side and only
+At volume: three scans, and one more for each further length class of the templates; no text is shuffled.  Word counts fold map-side and only
 for template words; documents without a prefix word leave before blocks are cut;
 the templates are a parameter of a few hundred words, so their side of the join is
 small by definition.  Only matches (document, template) are shuffled.
@@ -40,7 +42,7 @@ BLOCK, STRIDE = 48, 24
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Fixed wording of common license notices (at most ``STRIDE`` words each), by label.
+#: Fixed wording of common license notices, by label.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
@@ -102,27 +104,19 @@ def word_counts(docs: DataFrame, vocabulary: Sequence[str], text_col: str) -> di
     return {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in found}
 
 
-def template_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(id, print, label, share): the best containment of each label found in a document."""
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    vocabulary = sorted({w for _, words in sets for w in words})
-    counts = word_counts(docs, vocabulary, text_col)
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts[w], w)))}
-    rows = []
-    for number, (label, words) in enumerate(sets):
-        ranks, least = sorted(rank[w] for w in words), ceil(containment * len(words) - 1e-9)
-        rows += [(r, i, number, label, ranks, least) for i, r in enumerate(ranks[:len(ranks) - least + 1], 1)]
-    sides = docs.sparkSession.createDataFrame(
-        rows, "rank int, i int, template int, label string, ranks array<int>, least int")
-    by_rank = sorted(rank, key=rank.get)
-    prefix = F.array(*[F.lit(by_rank[r]) for r in sorted({row[0] for row in rows})])
-    known = F.array(*map(F.lit, by_rank))
+def stride_of(words: int) -> int:
+    """The stride of a template of so many words: ``STRIDE``, doubled until it fits."""
+    return STRIDE << max(0, ceil(words / STRIDE) - 1).bit_length()
+
 
+def _contained(docs: DataFrame, id_col: str, text_col: str, sides: DataFrame, by_rank: Sequence[str], prefix: Sequence[int],
+               stride: int) -> DataFrame:
+    """(id, print, label, share): the templates of ``sides`` contained in blocks of two strides."""
+    known = F.array(*map(F.lit, by_rank))
     held = (docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), words_of(F.col(text_col)).alias("words"))
-            .where(F.arrays_overlap("words", prefix)))
-    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(STRIDE))
-    cut = held.select("id", "print", F.explode(F.transform(starts, lambda s: F.slice("words", s + 1, BLOCK))).alias("block"))
+            .where(F.arrays_overlap("words", F.array(*[F.lit(by_rank[r]) for r in prefix]))))
+    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(stride))
+    cut = held.select("id", "print", F.explode(F.transform(starts, lambda s: F.slice("words", s + 1, BLOCK // STRIDE * stride))).alias("block"))
     ranked = cut.select("id", "print", F.array_sort(F.transform(
         F.array_intersect(known, "block"), lambda w: F.array_position(known, w).cast("int") - 1)).alias("ranks"))
     probes = ranked.select("id", "print", F.col("ranks").alias("own"), F.posexplode("ranks").alias("j", "rank"))
@@ -130,7 +124,31 @@ def template_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = probes.join(sides, "rank").where((F.size("own") >= F.col("least")) & (room >= F.col("least")))
     common = F.size(F.array_intersect("ranks", "own"))
     return (near.withColumn("common", common).where(F.col("common") >= F.col("least"))
-            .groupBy("id", "print", "label").agg(F.max(F.col("common") / F.size("ranks")).alias("share")))
+            .select("id", "print", "label", (F.col("common") / F.size("ranks")).alias("share")))
+
+
+def template_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """(id, print, label, share): the best containment of each label found in a document."""
+    sets = [(label, sorted(set(text.split())), stride_of(len(text.split()))) for label, text in templates if text.split()]
+    vocabulary = sorted({w for _, words, _ in sets for w in words})
+    counts = word_counts(docs, vocabulary, text_col)
+    by_rank = sorted(vocabulary, key=lambda w: (counts[w], w))
+    rank = {w: i for i, w in enumerate(by_rank)}
+    found = []
+    for stride in sorted({stride for _, _, stride in sets}):
+        rows = []
+        for number, (label, words, own) in enumerate(sets):
+            ranks, least = sorted(rank[w] for w in words), ceil(containment * len(words) - 1e-9)
+            if own == stride:
+                rows += [(r, i, number, label, ranks, least) for i, r in enumerate(ranks[:len(ranks) - least + 1], 1)]
+        sides = docs.sparkSession.createDataFrame(
+            rows, "rank int, i int, template int, label string, ranks array<int>, least int")
+        found.append(_contained(docs, id_col, text_col, sides, by_rank, sorted({row[0] for row in rows}), stride))
+    if not found:
+        return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.lit("").alias("label"),
+                           F.lit(0.0).alias("share")).where(F.lit(False))
+    return reduce(DataFrame.unionAll, found).groupBy("id", "print", "label").agg(F.max("share").alias("share"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

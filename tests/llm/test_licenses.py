@@ -9,9 +9,9 @@ from cases import ODD
 def brute(text, templates, containment):
     w, best = words(text), {}
     for label, wording in templates:
-        t = set(wording.split())
-        for at in range(0, len(w), licenses.STRIDE):
-            common = len(t & set(w[at:at + licenses.BLOCK]))
+        t, stride = set(wording.split()), licenses.stride_of(len(wording.split()))
+        for at in range(0, len(w), stride):
+            common = len(t & set(w[at:at + 2 * stride]))
             if common >= ceil(containment * len(t) - 1e-9):
                 best[label] = max(best.get(label, 0), common / len(t))
     places, labels = [], set()
@@ -47,6 +47,30 @@ def test_scan_matches_brute_force(frame):
     assert any(r["n_base"] > 1 for r in got) and any(set(r["labels"]) - set(r["base_labels"]) for r in got)
 
 
+def test_long_templates(frame):
+    """A document that quotes a template is found whatever the template's length and place."""
+    rng = random.Random(6)
+    say = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    templates = [*licenses.TEMPLATES, ("sixty", " ".join(say(60))), ("long", " ".join(say(300))), ("edge", " ".join(say(48))), ("empty", "")]
+    assert [licenses.stride_of(n) for n in (1, 24, 25, 48, 49, 60, 300)] == [24, 24, 48, 48, 96, 96, 384]
+    docs, quoted = [], {}
+    for i in range(60):
+        label, wording = templates[-2 - i % 3]
+        text = wording.split()
+        if i % 2:
+            text = [w for w in text if rng.random() > 0.05]
+        else:
+            quoted[i] = label
+        docs.append((i, " ".join(say(rng.randint(0, 200)) + text + say(rng.randint(0, 200)))))
+    docs += [(100 + i, " ".join(say(i * 5))) for i in range(40)] + [(200, templates[-3][1]), (201, templates[9][1])]
+    got = {r["id"]: r for r in licenses.scan(frame(docs), templates=templates).collect()}
+    for i, text in docs:
+        want = brute(text, templates[:-1], licenses.CONTAINMENT)
+        assert (got[i]["labels"], got[i]["score"]) == (want[5], want[6])
+    assert all(label in got[i]["labels"] for i, label in quoted.items())
+    assert licenses.scan(frame(docs), templates=[("empty", "")]).agg({"score": "max"}).first()[0] == 0.0
+
+
 def test_same_id_other_text_and_empty(frame, empty):
     got = licenses.scan(frame([(1, "All rights reserved."), (1, "nothing"), (1, "All rights reserved.")])).collect()
     assert sorted(r["labels"] for r in got) == [[], ["all-rights-reserved"], ["all-rights-reserved"]]
