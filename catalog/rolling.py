@@ -8,7 +8,8 @@ from catalog.registry import ORACLE_SQL, query
 from daygrain.operators import daily, missing as M, rolling as W
 from daygrain.operators.audit import abs_deltas, half_split_drift
 from daygrain.operators.joins import reindex_days
-from daygrain.plans import feature_table as P
+from daygrain.plans import feature_table as P, refresh
+from daygrain.session import scratch_dir
 
 rnd = B.rnd
 KEYS = ["participant_id", "date"]
@@ -335,3 +336,18 @@ def feature_table_all_columns(spark, sf_dir):
     out = feature_table(spark, sf_dir)
     six = [c for c in out.columns if c.startswith("missing_ratio_") or c.endswith(("_mean_7d", "_median_7d", "_std_7d"))]
     return out.withColumns({c: F.round(c, 6) for c in six})
+
+
+@query("feature_table_refreshed", whole_table_sql())
+def feature_table_refreshed(spark, sf_dir):
+    """Built without its last day and one day's questionnaires, then brought up to date."""
+    now, people = B.sources(spark, sf_dir), B.participants(spark, sf_dir)
+    late = F.to_date("ts") == F.lit("2024-01-11")
+    store = refresh.FeatureStore(spark, scratch_dir(spark, "features"), FLAGS, 64)
+    before = now | {"wellness": now["wellness"].where(~late)}
+    store.update(before, people, B.START, "2024-01-29", refresh.added_days(people, B.START, "2024-01-29"))
+    changed = refresh.dirty_days({"wellness": now["wellness"].where(late)})
+    store.update(now, people, B.START, B.END, changed.unionByName(refresh.added_days(people, B.END, B.END)))
+    out = store.table()
+    six = [c for c in out.columns if c.startswith("missing_ratio_") or c.endswith(("_mean_7d", "_median_7d", "_std_7d"))]
+    return out.withColumns({c: F.round(c, 6) for c in six})
