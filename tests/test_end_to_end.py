@@ -185,3 +185,11 @@ def test_estimates_upsert(spark, tmp_path):
     sinks.save_estimates(sinks.upsert_estimates(empty, rows), str(tmp_path / "v1"))
     out = sinks.upsert_estimates(sinks.load_estimates(spark, str(tmp_path / "v1")), newer)
     assert {r["cache_key"]: r["calories"] for r in out.collect()} == {"a": 1.0, "b": 2.0, "c": 2.0}
+
+
+def test_reports_are_written_by_several_tasks(spark, tmp_path):
+    lines = spark.range(200).select(F.col("id").alias("participant_id"), F.lit(1).alias("window_id"), F.lit(0).alias("line_no"),
+                                    F.lit(0).alias("sub_no"), F.lit("x").alias("line"))
+    sinks.write_reports(lines, str(tmp_path / "reports"))
+    files = list((tmp_path / "reports").glob("participant_id=*/window_id=1/*.txt"))
+    assert len(files) == 200 and len({f.name.split("-")[1] for f in files}) > 1
