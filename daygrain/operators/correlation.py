@@ -478,24 +478,34 @@ def core_vif(df: DataFrame, cols: Sequence[str], min_cov: float, min_rows: int =
                                            "column string, vif double, r2_vs_rest double, n int, status string")
 
 
+def _y_where(i: int) -> Column:
+    return F.when(F.col(f"_x{i}").isNotNull(), F.col("_y"))
+
+
 def binned_mi(df: DataFrame, cols: Sequence[str], label: str, bins: int = 10) -> DataFrame:
     """Mutual information (nats) of equal-width bins of each column and the label.
 
     A contingency estimate: it ranks like the nearest-neighbour estimator but
     has other values, hence the name ``mi_binned``.
     """
-    data = finite(df, [*cols, label]).where(F.col(label).isNotNull()).withColumnRenamed(label, "_y")
-    long = data.unpivot(["_y"], list(cols), "column", "_x").where(F.col("_x").isNotNull())
-    span = long.groupBy("column").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
-                                      F.min("_y").alias("_ylo"), F.max("_y").alias("_yhi"))
-
-    def place(x: str, lo: str, hi: str) -> Column:
-        width = F.nullif((F.col(hi) - F.col(lo)) / bins, F.lit(0.0))
-        return F.coalesce(F.least(F.floor((F.col(x) - F.col(lo)) / width), F.lit(bins - 1)), F.lit(0))
-
-    cells = (long.join(span, "column")
-             .groupBy("column", place("_x", "_lo", "_hi").alias("bx"), place("_y", "_ylo", "_yhi").alias("by"))
-             .agg(F.count("*").alias("nxy")))
+    cols = list(cols)
+    data = finite(df.select(*[F.col(c).alias(f"_x{i}") for i, c in enumerate(cols)], F.col(label).alias("_y")),
+                  [*[f"_x{i}" for i in range(len(cols))], "_y"]).where(F.col("_y").isNotNull())
+    # The ranges are one row, so the values are placed where they are read and only cells are shuffled.
+    spans = data.agg(*[f(v).alias(f"{n}{i}") for i in range(len(cols))
+                       for v, f, n in ((f"_x{i}", F.min, "lo"), (f"_x{i}", F.max, "hi"), (_y_where(i), F.min, "ylo"), (_y_where(i), F.max, "yhi"))]).first()
+
+    def place(x: str, lo: float | None, hi: float | None) -> Column:
+        width = None if lo is None else (hi - lo) / bins
+        if not width:
+            return F.lit(0).cast("long")
+        return F.coalesce(F.least(F.floor((F.col(x) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)), F.lit(0))
+
+    placed = [F.when(F.col(f"_x{i}").isNotNull(), F.struct(
+        F.lit(c).alias("column"), place(f"_x{i}", spans[f"lo{i}"], spans[f"hi{i}"]).alias("bx"),
+        place("_y", spans[f"ylo{i}"], spans[f"yhi{i}"]).alias("by"))) for i, c in enumerate(cols)]
+    cells = (data.select(F.explode(F.array(*placed)).alias("_c")).where(F.col("_c").isNotNull()).select("_c.*")
+             .groupBy("column", "bx", "by").agg(F.count("*").alias("nxy")))
     nx = cells.groupBy("column", "bx").agg(F.sum("nxy").alias("nx"))
     ny = cells.groupBy("column", "by").agg(F.sum("nxy").alias("ny"))
     n = cells.groupBy("column").agg(F.sum("nxy").alias("n"))

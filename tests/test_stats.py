@@ -272,3 +272,17 @@ def test_inflation_of_several_coverages(spark):
     few = K.core_vifs(df.limit(50), ["a", "b"]).collect()
     assert {(r["status"], r["vif"]) for r in few} == {("too few rows", None)} and len(few) == 4
     assert {r["status"] for r in K.core_vifs(df.where("false"), ["a", "b"]).collect()} == {"too few columns"}
+
+
+def test_binned_information_shuffles_cells_only(spark):
+    df = spark.createDataFrame([(float(i % 7), float(i % 3) if i % 5 else None, float(i % 2)) for i in range(100)], "a double, b double, y double")
+    out = K.binned_mi(df, ["a", "b"], "y", 2)
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["column"]: (r["mi_binned"], r["n"]) for r in out.collect()}
+    for c in "ab":
+        rows = [(r[c], r["y"]) for r in df.collect() if r[c] is not None]
+        hi = max(v for v, _ in rows)
+        cells = pd.Series([(min(int(v // (hi / 2)), 1), y) for v, y in rows]).value_counts() / len(rows)
+        px, py = cells.groupby(lambda k: k[0]).sum(), cells.groupby(lambda k: k[1]).sum()
+        want = sum(p * np.log(p / (px[k[0]] * py[k[1]])) for k, p in cells.items())
+        assert got[c] == (pytest.approx(max(want, 0.0)), len(rows))
