@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -17,12 +18,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from daygrain.operators.missing import complete_cases, covered_columns
 from daygrain.operators.rolling import demean_within
 from daygrain.operators.stats import value_positions
-from daygrain.session import stored
+from daygrain.session import ship, stored
 
 MIN_PAIR_ROWS = 3
 MIN_COMPLETE_ROWS = 100
 #: Masks a value is ranked on at a time, ranks of a row in one tile, and ranks in one array of a task.
 MASKS, CELLS, TENSOR = 16, 2048, 1 << 22
+#: Ranks (values x masks) that a task looks up in memory; the columns of fewest values take them.
+TABLE = 1 << 21
 #: Up to so many pairs the sums are plain aggregates; more pairs fold as matrices.
 PLAIN_PAIRS = 64
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -220,20 +223,205 @@ def _blocks(classes: Sequence[int]) -> tuple[list[int], list[int], list[int], li
     return block, slot, first, wide
 
 
+def _narrow_columns(data: DataFrame, cols: Sequence[str], classes: Sequence[int], pairs: Pairs) -> list[int]:
+    """Columns whose ranks under all masks asked for are few enough to be looked up, the narrowest first."""
+    row = data.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    at = {c: i for i, c in enumerate(cols)}
+    masks: list[set[int]] = [set() for _ in cols]
+    for a, b in pairs:
+        masks[at[a]].add(classes[at[b]])
+        masks[at[b]].add(classes[at[a]])
+    cost = [row[f"d{i}"] * len(masks[i]) for i in range(len(cols))]
+    narrow, used = [], 0
+    for i in sorted(range(len(cols)), key=lambda i: (cost[i], i)):
+        used += cost[i]
+        if used > TABLE:
+            break
+        narrow.append(i)
+    return sorted(narrow)
+
+
+def _value_counts(data: DataFrame, cols: Sequence[str], narrow: Sequence[int], masks: Sequence[int]) -> DataFrame:
+    """(c, v, w0, w1, ...): rows of each value of the narrow columns, by mask of known columns."""
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        values = {c: np.empty(0) for c in narrow}
+        counts = {c: np.zeros((0, len(masks)), np.int64) for c in narrow}
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) + 0.0
+            known = np.isfinite(x)
+            by_mask = known[:, masks].astype(np.int32)
+            for c in narrow:
+                rows = np.flatnonzero(known[:, c])
+                order = rows[np.argsort(x[rows, c], kind="stable")]
+                if not len(order):
+                    continue
+                v = x[order, c]
+                starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+                v, n = v[starts], np.add.reduceat(by_mask[order], starts, axis=0)
+                every = np.union1d(values[c], v)
+                if len(every) > len(values[c]):
+                    grown = np.zeros((len(every), len(masks)), np.int64)
+                    grown[np.searchsorted(every, values[c])] = counts[c]
+                    values[c], counts[c] = every, grown
+                counts[c][np.searchsorted(every, v)] += n
+        for c in narrow:
+            yield pd.DataFrame({"c": np.full(len(values[c]), c, np.int32), "v": values[c],
+                                **{f"w{j}": counts[c][:, j] for j in range(len(masks))}})
+
+    weights = [f"w{j}" for j in range(len(masks))]
+    rows = data.mapInPandas(fold, "c int, v double, " + ", ".join(f"{w} long" for w in weights))
+    return rows.groupBy("c", "v").agg(*[F.sum(w).alias(w) for w in weights])
+
+
+class _Ranks:
+    """Ranks of the narrow columns' values under every mask, less their mean; unknown values have zero."""
+
+    def __init__(self, counts: pd.DataFrame, narrow: Sequence[int], masks: Sequence[int]):
+        self.values, self.start, self.masks = {}, {}, list(masks)
+        counts = counts.sort_values(["c", "v"])
+        n = counts[[f"w{j}" for j in range(len(masks))]].to_numpy(float)
+        owner, v = counts["c"].to_numpy(), counts["v"].to_numpy(float)
+        # The last place is that of unknown values.
+        self.table = np.zeros((len(masks), len(v) + 1))
+        self.total, self.square = {}, {}
+        for c in narrow:
+            lo, hi = np.searchsorted(owner, [c, c + 1])
+            self.values[c], self.start[c] = v[lo:hi], int(lo)
+            w = n[lo:hi]
+            upto, total = np.cumsum(w, axis=0), w.sum(axis=0)
+            ranks = np.where(w > 0, upto - w + (w + 1) / 2 - (total + 1) / 2, 0.0)
+            self.table[:, lo:hi] = ranks.T
+            self.total[c], self.square[c] = total, (w * ranks * ranks).sum(axis=0)
+
+    def places(self, x: np.ndarray, c: int) -> np.ndarray:
+        """Place of every value of column ``c`` in the table."""
+        if not len(self.values[c]):
+            return np.full(len(x), self.table.shape[1] - 1)
+        at = np.minimum(np.searchsorted(self.values[c], x), len(self.values[c]) - 1)
+        return np.where(np.isfinite(x), self.start[c] + at, self.table.shape[1] - 1)
+
+
+def _looked_up_sums(data: DataFrame, ranks: _Ranks, classes: Sequence[int], wanted: list[tuple[int, int, int]]) -> DataFrame:
+    """Sums of (pair, column a, column b) of narrow columns: ranks are looked up row by row, no row is shuffled."""
+    at = {m: j for j, m in enumerate(ranks.masks)}
+    used = sorted({c for _, a, b in wanted for c in (a, b)})
+    tiles: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for i, a, b in wanted:
+        tiles.setdefault((classes[a], classes[b]), []).append((i, a, b))
+    plan = []
+    for (p, q), members in tiles.items():
+        left, right = sorted({a for _, a, _ in members}), sorted({b for _, _, b in members})
+        plan.append((at[p], at[q], left, right, [m[0] for m in members],
+                     [left.index(m[1]) for m in members], [right.index(m[2]) for m in members]))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = [np.zeros((len(left), len(right))) for _, _, left, right, *_ in plan]
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) + 0.0
+            places = {c: ranks.places(x[:, c], c) for c in used}
+            for total, (p, q, left, right, *_) in zip(sums, plan, strict=True):
+                a = np.stack([ranks.table[q][places[c]] for c in left])
+                b = np.stack([ranks.table[p][places[c]] for c in right], axis=1)
+                total += a @ b
+        for total, (p, q, left, right, ids, i, j) in zip(sums, plan, strict=True):
+            yield pd.DataFrame({"i": ids, "p": total[i, j]})
+
+    # What one column alone decides is in the counts: n and the squares.
+    alone = pd.DataFrame([(i, ranks.total[a][at[classes[b]]], 0.0, 0.0, ranks.square[a][at[classes[b]]], ranks.square[b][at[classes[a]]])
+                          for i, a, b in wanted], columns=["i", *_SUMS[:5]])
+    products = data.mapInPandas(fold, "i int, p double").groupBy("i").agg(F.sum("p").alias("p"))
+    known = data.sparkSession.createDataFrame(alone, "i int, n double, sa double, sb double, qa double, qb double")
+    return known.join(products, "i", "left").select("i", "n", "sa", "sb", "qa", "qb", F.coalesce("p", F.lit(0.0)).alias("p"))
+
+
+def _half_looked_up_sums(data: DataFrame, ranks: _Ranks, classes: Sequence[int], wanted: list[tuple[int, int, int]]) -> DataFrame:
+    """Sums of (pair, wide column, narrow column).
+
+    A value of the wide column has one rank, so its rows fold map-side to their
+    number and the sum of their looked-up ranks; only distinct values are placed.
+    """
+    at = {m: j for j, m in enumerate(ranks.masks)}
+    partners: dict[int, list[tuple[int, int]]] = {}
+    for i, a, b in wanted:
+        partners.setdefault(a, []).append((i, b))
+    blocks = [(a, members[k:k + MASKS]) for a, members in partners.items() for k in range(0, len(members), MASKS)]
+    size = max(len(members) for _, members in blocks)
+    names = [f"{k}{j}" for j in range(size) for k in "ws"]
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) + 0.0
+            places = {b: ranks.places(x[:, b], b) for _, members in blocks for _, b in members}
+            for k, (a, members) in enumerate(blocks):
+                rows = np.flatnonzero(np.isfinite(x[:, a]))
+                out = {"k": np.full(len(rows), k, np.int32), "v": x[rows, a], **{n: np.zeros(len(rows)) for n in names}}
+                for j, (_, b) in enumerate(members):
+                    out[f"w{j}"] = np.isfinite(x[rows, b]).astype(float)
+                    out[f"s{j}"] = ranks.table[at[classes[a]]][places[b][rows]]
+                yield pd.DataFrame(out)
+
+    rows = data.mapInPandas(look, "k int, v double, " + ", ".join(f"{n} double" for n in names))
+    counts = rows.groupBy(F.struct("k").alias("_key"), F.col("v").alias("_v")).agg(*[F.sum(n).alias(n) for n in names])
+    weights = [f"w{j}" for j in range(size)]
+    placed = value_positions(counts, "_v", weights)
+    parts = []
+    for j in range(size):
+        w = F.col(f"w{j}")
+        rank = F.when(w > 0, F.col(f"w{j}_before") + (w + 1) / 2 - (F.col(f"w{j}_total") + 1) / 2).otherwise(F.lit(0.0))
+        parts += [F.sum(w).alias(f"n{j}"), F.sum(w * rank * rank).alias(f"qa{j}"), F.sum(rank * F.col(f"s{j}")).alias(f"p{j}")]
+    zero = F.lit(0.0)
+    sums = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"n{j}").alias("n"), zero.alias("sa"), zero.alias("sb"),
+                              F.col(f"qa{j}").alias("qa"), F.col(f"p{j}").alias("p")) for j in range(size)])
+    folded = placed.groupBy(F.col("_key.k").alias("k")).agg(*parts).select("k", F.inline(sums))
+    names_of = data.sparkSession.createDataFrame(
+        [(k, j, i, float(ranks.square[b][at[classes[a]]])) for k, (a, members) in enumerate(blocks) for j, (i, b) in enumerate(members)],
+        "k int, j int, i int, qb double")
+    return folded.join(names_of, ["k", "j"]).select("i", "n", "sa", "sb", "qa", "qb", "p")
+
+
 def spearman_pairs(df: DataFrame, pairs: Pairs, out: str = "spearman_rho") -> DataFrame:
     """Spearman rho of the named pairs, ranked on each pair's complete rows.
 
+    A value has one average rank per set of rows (mask) it is ranked on; columns
+    that are known on the same rows share a mask.  Columns of few distinct values
+    (narrow: their ranks under all masks fit in ``TABLE``) have their ranks looked
+    up in the tasks, which fold the rows to sums without shuffling them.  A pair
+    with one narrow column folds to the values of the other.  Pairs of two other
+    columns return their ranks to the rows (``_shuffled_sums``).
+    """
+    cols, left, right = _indices(pairs)
+    # Stored: read more than once, and the row numbers must not change when a lost task is run again.
+    data = stored(finite(df, cols).withColumn("_row", F.monotonically_increasing_id()), "columns")
+    values = data.select(*cols)
+    classes = _known_classes(values, cols)
+    narrow = _narrow_columns(values, cols, classes, pairs)
+    sums, few = [], set(narrow)
+    both = [(i, a, b) for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)) if a in few and b in few]
+    half = [(i, a, b) if b in few else (i, b, a) for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True))
+            if (a in few) != (b in few)]
+    if both or half:
+        ship(df.sparkSession)
+        masks = sorted(set(classes))
+        ranks = _Ranks(_value_counts(values, cols, narrow, masks).toPandas(), narrow, masks)
+        sums += [_looked_up_sums(values, ranks, classes, both)] if both else []
+        sums += [_half_looked_up_sums(values, ranks, classes, half)] if half else []
+    rest = [i for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)) if a not in few and b not in few]
+    if rest:
+        where = data.sparkSession.createDataFrame(list(enumerate(rest)), "i int, at int")
+        sums.append(_shuffled_sums(data, [pairs[i] for i in rest]).join(where, "i").select(F.col("at").alias("i"), *_SUMS))
+    return _r_of_sums(reduce(DataFrame.unionByName, sums), pairs, out)
+
+
+def _shuffled_sums(data: DataFrame, pairs: Pairs) -> DataFrame:
+    """Sums of pairs of columns of any number of values.
+
     All columns are ranked together in long form (column, value), so the plan
-    does not grow with their number.  A value has one average rank per set of
-    rows (mask) it is ranked on; columns that are known on the same rows share
-    a mask.  Masks come in blocks: a value is counted and ranked for one block
+    does not grow with their number.  Masks come in blocks: a value is counted and ranked for one block
     of masks at a time, and the ranks go back to their rows tile by tile, a tile
     being the columns of two blocks.  So no row ever holds a rank for every
     column and mask, and a batch holds at most ``CELLS`` ranks a row.
     """
     cols, left, right = _indices(pairs)
-    # Stored: read three times, and the row numbers must not change when a lost task is run again.
-    data = stored(finite(df, cols).withColumn("_row", F.monotonically_increasing_id()), "columns")
     classes = _known_classes(data.select(*cols), cols)
     masks = sorted(set(classes))
     block, slot, first, wide = map(np.array, _blocks(classes))
@@ -290,8 +478,7 @@ def spearman_pairs(df: DataFrame, pairs: Pairs, out: str = "spearman_rho") -> Da
                             sums[name][some] += value.sum(0)
         yield pd.DataFrame({"i": np.arange(len(left)), **sums})
 
-    sums = ranked.select("_lo", "_hi", "cs", "ranks").mapInPandas(fold, "i int, n double, sa double, sb double, qa double, qb double, p double")
-    return _r_of_sums(sums, pairs, out)
+    return ranked.select("_lo", "_hi", "cs", "ranks").mapInPandas(fold, "i int, n double, sa double, sb double, qa double, qb double, p double")
 
 
 def pairwise_spearman(df: DataFrame, cols: Sequence[str], out: str = "spearman_rho") -> DataFrame:

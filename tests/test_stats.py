@@ -274,6 +274,30 @@ def test_inflation_of_several_coverages(spark):
     assert {r["status"] for r in K.core_vifs(df.where("false"), ["a", "b"]).collect()} == {"too few columns"}
 
 
+def test_ranks_are_looked_up_or_placed_as_the_values_are_few_or_many(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    n = 500
+    x = pd.DataFrame({"a": rng.integers(0, 5, n).astype(float), "b": rng.normal(size=n).round(1), "c": rng.normal(size=n),
+                      "d": rng.normal(size=n), "e": np.ones(n), "f": np.full(n, np.nan)})
+    x["d"] += x["c"]
+    x["b"] += x["a"]
+    for i, c in enumerate("abcd"):
+        x.loc[rng.random(n) < 0.1 * i, c] = np.nan
+    df = spark.createDataFrame(x)
+    shuffled = K._shuffled_sums
+    for table in (1 << 21, 500, 0):
+        called = []
+        monkeypatch.setattr(K, "TABLE", table)
+        monkeypatch.setattr(K, "_shuffled_sums", lambda data, pairs: called.extend(pairs) or shuffled(data, pairs))
+        got = {(r["var_a"], r["var_b"]): (r["spearman_rho"], r["n"]) for r in K.pairwise_spearman(df, list(x)).collect()}
+        # Few values: no rank is shuffled to a row.
+        assert bool(called) == (table < 1 << 21)
+        for (a, b), (rho, rows) in got.items():
+            both = x[[a, b]].dropna()
+            want = both.rank().corr().iloc[0, 1] if len(both) >= 3 else np.nan
+            assert rows == len(both) and (rho is None if np.isnan(want) else rho == pytest.approx(want))
+
+
 def test_binned_information_shuffles_cells_only(spark):
     df = spark.createDataFrame([(float(i % 7), float(i % 3) if i % 5 else None, float(i % 2)) for i in range(100)], "a double, b double, y double")
     out = K.binned_mi(df, ["a", "b"], "y", 2)
