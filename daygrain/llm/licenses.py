@@ -28,6 +28,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from math import ceil
@@ -74,7 +75,9 @@ def phrase_pattern(phrase: str) -> str:
 def base_places(text: Column, phrases: Mapping[str, str]) -> dict[str, Column]:
     """n_base, first_word, last_word and base_labels (an array) of a text."""
     patterns = {p: phrase_pattern(p) for p in phrases}
-    some = text.rlike("|".join(patterns.values()))
+    # One class of first letters before the patterns: most places of a text are left at their first character.
+    letters = re.escape("".join(sorted({p.split()[0][0] for p in phrases})))
+    some = text.rlike(f"(?i)(?=[{letters}])(?:{'|'.join(patterns.values())})")
 
     def pieces(p: str) -> Column:
         return F.split(text, patterns[p], -1)
@@ -113,12 +116,19 @@ def _contained(docs: DataFrame, id_col: str, text_col: str, sides: DataFrame, by
                stride: int) -> DataFrame:
     """(id, print, label, share): the templates of ``sides`` contained in blocks of two strides."""
     known = F.array(*map(F.lit, by_rank))
-    held = (docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), words_of(F.col(text_col)).alias("words"))
-            .where(F.arrays_overlap("words", F.array(*[F.lit(by_rank[r]) for r in prefix]))))
-    starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(stride))
-    cut = held.select("id", "print", F.explode(F.transform(starts, lambda s: F.slice("words", s + 1, BLOCK // STRIDE * stride))).alias("block"))
-    ranked = cut.select("id", "print", F.array_sort(F.transform(
-        F.array_intersect(known, "block"), lambda w: F.array_position(known, w).cast("int") - 1)).alias("ranks"))
+    rare = F.array(*[F.lit(by_rank[r]) for r in prefix])
+
+    def ranks_of_blocks(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(stride))
+        ranks = F.transform(starts, lambda s: F.array_sort(F.transform(
+            F.array_intersect(known, F.slice(words, s + 1, BLOCK // STRIDE * stride)),
+            lambda w: F.array_position(known, w).cast("int") - 1)))
+        return F.when(F.arrays_overlap(words, rare), ranks)
+
+    # The words have a name inside a list of one, so that a text is split once for the test and the blocks.
+    blocks = F.transform(F.array(words_of(F.col(text_col))), ranks_of_blocks)
+    cut = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.explode(blocks).alias("blocks"))
+    ranked = cut.select("id", "print", F.explode("blocks").alias("ranks"))
     probes = ranked.select("id", "print", F.col("ranks").alias("own"), F.posexplode("ranks").alias("j", "rank"))
     room = 1 + F.least(F.size("ranks") - F.col("i"), F.size("own") - F.col("j") - 1)
     near = probes.join(sides, "rank").where((F.size("own") >= F.col("least")) & (room >= F.col("least")))

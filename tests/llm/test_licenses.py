@@ -80,3 +80,18 @@ def test_same_id_other_text_and_empty(frame, empty):
 def test_native(frame):
     plan = licenses.scan(frame([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_texts_are_split_once(frame):
+    """The test for rare words and the blocks share one split of a text, in every class of template lengths."""
+    templates = [licenses.TEMPLATES[0], ("long", " ".join(f"w{i}" for i in range(60)))]
+    for asked, classes in ((licenses.TEMPLATES, 1), (templates, 2)):
+        plan = licenses.template_matches(frame([(1, "x")]), templates=asked)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == classes
+
+
+def test_phrases_begin_in_any_case(frame):
+    phrases = {"under the mit license": "a", "9 lives": "b", "été du": "c"}
+    docs = [(1, "UNDER the mit-license"), (2, "Under\nThe MIT license, 9 lives"), (3, "19 lives; été du, sous été du"), (4, "xunder the mit license")]
+    got = {r["id"]: (r["n_base"], r["first_word"], r["last_word"]) for r in licenses.scan(frame(docs), phrases=phrases, templates=()).collect()}
+    assert got == {1: (1, 0, 0), 2: (2, 0, 4), 3: (2, 2, 5), 4: (0, None, None)}
