@@ -36,6 +36,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +128,21 @@ class Followers(dict):
         return fits
 
 
+class Remembered(dict):
+    """The ids of words, found when first asked for; long words are not kept."""
+
+    __slots__ = ("encoder", "older")
+
+    def __init__(self, encoder: Encoder, older: dict[str, tuple[int, ...]]):
+        self.encoder, self.older = encoder, older
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = self.older.get(word) or self.encoder.encode_word(word)
+        if len(word) <= WORD_LENGTH:
+            self[word] = found
+        return found
+
+
 class Encoder:
     """Encodes texts of one vocabulary; remembers what it found out about characters, pairs and words."""
 
@@ -144,8 +160,8 @@ class Encoder:
         letters = "".join(map(re.escape, sorted(self.single)))
         self.parts = re.compile(f"[{letters}]+|[^{letters}]").findall
         self.histories: dict[int, tuple | None] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.sizes = list(map(len, self.pieces))
+        self.known = Remembered(self, {})
         self.forget()
 
     def forget(self) -> None:
@@ -202,12 +218,12 @@ class Encoder:
 
     def last_tokens(self, text: str) -> list[int]:
         """The last token of every prefix, by the length of the prefix; all characters are pieces."""
-        table, at, pairs, state = [START], 0, self.pairs, self.state("")
+        table, pairs, state = [START], self.pairs, self.state("")
         for char in text:
             state = state[char]
-            at += 1
             for token, size in state.ends:
-                if pairs[table[at - size]][token]:
+                # The table has the prefixes before this character, so a size counts from its end.
+                if pairs[table[-size]][token]:
                     table.append(token)
                     break
         return table
@@ -215,6 +231,7 @@ class Encoder:
     def encode_word(self, word: str) -> tuple[int, ...]:
         """The ids of one part of a text, from the end of its table to the front."""
         ids: list[int] = []
+        sizes = self.sizes
         for part in reversed(self.parts(word)):
             if len(part) == 1 and part not in self.single:
                 ids.extend([self.bytes[b] for b in reversed(part.encode())])
@@ -223,27 +240,18 @@ class Encoder:
             while at:
                 token = table[at]
                 ids.append(token)
-                at -= len(self.pieces[token])
+                at -= sizes[token]
         return tuple(reversed(ids))
 
     def encode(self, text: str) -> list[int]:
         """The ids of one text."""
         if not text:
             return []
-        ids: list[int] = []
         if self.found > PAIRS:
             self.forget()
         if len(self.known) > REMEMBERED:  # what was used since the last time stays
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        for word in self.words(SPACE + text.replace(" ", SPACE)):
-            found = known.get(word)
-            if found is None:
-                found = older.get(word) or self.encode_word(word)
-                if len(word) <= WORD_LENGTH:
-                    known[word] = found
-            ids.extend(found)
-        return ids
+            self.known = Remembered(self, dict(self.known))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.words(SPACE + text.replace(" ", SPACE)))))
 
 
 class Decoder:
@@ -257,8 +265,7 @@ class Decoder:
 
     def decode(self, ids: list[int]) -> str:
         """The text of one list of ids, without the space that encoding put in front."""
-        get = self.table.get
-        text = b"".join([get(i, b"") for i in ids])
+        text = b"".join(map(self.table.get, ids, repeat(b"")))
         return text[bool(ids) and ids[0] in self.spaced:].decode("utf-8", "replace")
 
 

@@ -107,3 +107,12 @@ def test_query_matches_the_library(spark):
         ids = LIBRARY.encode(r["text"] or "")
         want.append((r["doc_id"], len(ids), sha(",".join(map(str, ids))), sha(LIBRARY.decode(ids))))
     assert sorted(map(tuple, QUERIES["op11_sentencepiece"](spark, SF).collect())) == sorted(want)
+
+
+def test_words_are_remembered_where_they_are_looked_up():
+    """A word is encoded at its first look-up; long words are not kept, used ones survive a change of the table."""
+    encoder = sp.Encoder(VOCABULARY)
+    short, long = sp.SPACE + "word", sp.SPACE + "word" * sp.WORD_LENGTH
+    assert encoder.known[short] == encoder.encode_word(short) and encoder.known[long] == encoder.encode_word(long)
+    assert set(encoder.known) == {short}
+    assert sp.Remembered(encoder, {short: (7,)})[short] == (7,)
