@@ -4,7 +4,9 @@ Each word is predicted from the two words before and the two behind it, itself
 masked: h = tanh(b + sum of an embedding per neighbour and offset).  The word is
 predicted in two steps, its class and its place in the class, which are ranges of
 the frequency order; so a normalised log-probability costs 2 * 64 outputs instead
-of 4,096.  A document's score is the sum of the log-probabilities of its words.
+of 4,096.  A network of more ids has three steps (class, group, place), so its outputs
+grow with the cube root of the ids: 89 for 25,600.  A document's score is the sum of the
+log-probabilities of its words.
 
 Vocabulary: all words are counted over all documents.  The network's classes and
 members grow with the fourth root of the number of distinct words, so its ids grow
@@ -36,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -61,56 +64,86 @@ ROUNDS = 3
 BATCH = 16384
 #: Words whose class scores are held at a time, so that they stay in a core's cache.
 BLOCK = 2048
+#: Ranges of outputs with at most so many words of a batch are taken together.
+SMALL = 64
 RATE = 0.1
 #: Rows of weights handed on together, and how many tasks' weights of such a part are averaged in one step.
 PART, FAN = 256, 64
+#: Bits of a word's hash behind those that it is first looked up by.
+SLOT_SHIFT = np.uint64(44)
 #: Training tasks per core.
 TASKS = 2
 
 
+def shapes_of(side: int) -> list[tuple[int, ...]]:
+    """Shapes of the embeddings, classes, members and groups for ``side`` * ``side`` ids; two steps have no groups."""
+    embed = (len(OFFSETS), side * side + 1, WIDTH)
+    if side <= CLASSES:
+        return [embed, (side, WIDTH + 1), (side, side, WIDTH + 1), (0, side, WIDTH + 1)]
+    step = 8 * int(np.ceil((side * side) ** (1 / 3) / 8))
+    classes = -(-side * side // (step * step))
+    return [embed, (classes, WIDTH + 1), (classes * step, step, WIDTH + 1), (classes, step, WIDTH + 1)]
+
+
 @dataclass
 class Weights:
-    """embed: (offset, word, width); classes: (class, width + 1); members: (class, member, width + 1); the last is a bias."""
+    """embed: (offset, word, width); classes: (class, width + 1); members: (class, member, width + 1); the last is a bias.
+
+    With three steps groups: (class, group, width + 1) and members: (class and group, member, width + 1).
+    """
 
     embed: np.ndarray
     classes: np.ndarray
     members: np.ndarray
+    groups: np.ndarray
 
     @staticmethod
     def start(seed: int = 7, side: int = CLASSES) -> Weights:
         rng = np.random.default_rng(seed)
-        embed = rng.normal(0, 0.1, (len(OFFSETS), side * side + 1, WIDTH)).astype(np.float32)
-        return Weights(embed, np.zeros((side, WIDTH + 1), np.float32), np.zeros((side, side, WIDTH + 1), np.float32))
+        embed, *others = shapes_of(side)
+        return Weights(rng.normal(0, 0.1, embed).astype(np.float32), *(np.zeros(shape, np.float32) for shape in others))
 
     @property
     def side(self) -> int:
-        return len(self.classes)
+        return isqrt(self.embed.shape[1])
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.embed, self.classes, self.members, self.groups]
+
+    def steps(self) -> list[tuple[np.ndarray, int]]:
+        """(outputs of each range, ids of an output) of the steps in which a word is predicted."""
+        size = self.members.shape[1]
+        middle = [(self.groups, size)] if len(self.groups) else []
+        return [(self.classes[None], size * (self.groups.shape[1] if middle else 1)), *middle, (self.members, 1)]
 
     def rows(self) -> np.ndarray:
         """All weights as rows of equal width, for sending."""
-        flat = np.concatenate([self.embed.ravel(), self.classes.ravel(), self.members.ravel()])
+        flat = np.concatenate([part.ravel() for part in self.parts()])
         return np.resize(np.append(flat, np.zeros(-len(flat) % WIDTH, np.float32)), (-(-len(flat) // WIDTH), WIDTH))
 
     @staticmethod
     def of_rows(rows: np.ndarray, side: int = CLASSES) -> Weights:
         flat, parts, at = rows.ravel(), [], 0
-        for shape in ((len(OFFSETS), side * side + 1, WIDTH), (side, WIDTH + 1), (side, side, WIDTH + 1)):
+        for shape in shapes_of(side):
             size = int(np.prod(shape))
             parts.append(flat[at:at + size].reshape(shape).astype(np.float32))
             at += size
         return Weights(*parts)
 
 
-def exponentials(logits: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of the logits, in place, and the sum of each row.
-
-    The hidden values lie in [-1, 1], so the weights (``rows``, the last of each a
-    bias) bound the logits; they are shifted only where they could overflow.
-    """
-    if np.abs(rows).sum(1).max() > 60:
-        logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
-    return logits, logits @ np.ones(logits.shape[1], np.float32)
+def exponentials(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits, and the sum of each word's; logits are shifted only where a sum could overflow or vanish."""
+    columns, ones = np.swapaxes(rows, -1, -2), np.ones(rows.shape[-2], np.float32)
+    p = h @ columns
+    with np.errstate(over="ignore"):
+        np.exp(p, out=p)
+    total = p @ ones
+    if not (total.min() > 1e-30 and total.max() < 1e30):
+        p = h @ columns
+        p -= p.max(-1, keepdims=True)
+        np.exp(p, out=p)
+        total = p @ ones
+    return p, total
 
 
 def contexts(ids: np.ndarray, owner: np.ndarray, outside: int = OUTSIDE) -> np.ndarray:
@@ -124,46 +157,93 @@ def contexts(ids: np.ndarray, owner: np.ndarray, outside: int = OUTSIDE) -> np.n
 
 
 def hidden(weights: Weights, near: np.ndarray) -> np.ndarray:
-    total = weights.embed[0][near[:, 0]]
+    """The hidden values of words, and a one that the biases are multiplied by."""
+    out = np.ones((len(near), WIDTH + 1), np.float32)
+    total = weights.embed[0].take(near[:, 0], 0)
     for k in range(1, len(OFFSETS)):
-        total += weights.embed[k][near[:, k]]
-    return np.tanh(total, out=total)
+        total += weights.embed[k].take(near[:, k], 0)
+    np.tanh(total, out=out[:, :-1])
+    return out
 
 
-def class_order(ids: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order that sorts words by class, and (class, first, end) of each class that occurs in it."""
-    classes = (ids // side).astype(np.uint8 if side <= 256 else np.uint16)
-    order = np.argsort(classes, kind="stable")
-    cuts = np.searchsorted(classes[order], np.arange(side + 1)).tolist()
-    return order, [(c, cuts[c], cuts[c + 1]) for c in range(side) if cuts[c] < cuts[c + 1]]
+def id_order(ids: np.ndarray, side: int) -> np.ndarray:
+    """An order that sorts words by id; 16 bits are sorted by radix."""
+    return np.argsort(ids.astype(np.min_scalar_type(side * side)), kind="stable")
+
+
+@dataclass
+class Ranges:
+    """Some ranges of outputs and their words as (range, word) places among the sorted words, padded with the first word of each."""
+
+    ranges: np.ndarray
+    words: np.ndarray
+    real: np.ndarray
+
+
+def ranges_of(chosen: np.ndarray) -> tuple[list[tuple[int, slice]], list[Ranges]]:
+    """The ranges that sorted words are in: (range, words) of each large one, small ones of about one size together."""
+    first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+    sizes = np.diff(np.append(first, len(chosen)))
+    large, small, top = sizes > SMALL, [], SMALL
+    while top:
+        some = (sizes <= top) & (sizes > top // 2)
+        if some.any():
+            real = np.arange(top) < sizes[some][:, None]
+            small.append(Ranges(chosen[first[some]], first[some][:, None] + np.where(real, np.arange(top), 0), real))
+        top //= 2
+    cuts = zip(chosen[first[large]].tolist(), first[large].tolist(), sizes[large].tolist(), strict=True)
+    return [(c, slice(lo, lo + n)) for c, lo, n in cuts], small
+
+
+def picks(p: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``p`` as one row, and where it holds the wanted output of each word."""
+    return p.reshape(-1), np.arange(0, p.size, p.shape[-1]) + wanted
 
 
 def log_probabilities(weights: Weights, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
     """The log-probability of every word given its neighbours."""
     out = np.empty(len(ids), np.float64)
-    class_rows, class_bias = np.ascontiguousarray(weights.classes[:, :-1].T), weights.classes[:, -1]
-    member_rows = [np.ascontiguousarray(m[:, :-1].T) for m in weights.members]
     for at in range(0, len(ids), BATCH):
-        order, groups = class_order(ids[at:at + BATCH], weights.side)
-        own = ids[at:at + BATCH][order]
-        h = hidden(weights, near[at:at + BATCH][order])
-        rows, chance = np.arange(len(own)), np.empty(len(own), np.float32)
-        for lo in range(0, len(own), BLOCK):
-            p, total = exponentials(h[lo:lo + BLOCK] @ class_rows + class_bias, weights.classes)
-            chance[lo:lo + BLOCK] = p[rows[:len(p)], own[lo:lo + BLOCK] // weights.side] / total
-        for c, lo, hi in groups:
-            q, total = exponentials(h[lo:hi] @ member_rows[c] + weights.members[c, :, -1], weights.members[c])
-            chance[lo:hi] *= q[rows[:hi - lo], own[lo:hi] % weights.side] / total
+        order = id_order(ids[at:at + BATCH], weights.side)
+        own = ids[at:at + BATCH].take(order)
+        h, chance = hidden(weights, near[at:at + BATCH].take(order, 0)), np.ones(len(own), np.float32)
+        for outputs, size in weights.steps():
+            n = outputs.shape[1]
+            picked = own // size
+            wanted = picked % n
+            large, small = ranges_of(picked // n)
+            for c, words in large:
+                for lo in range(words.start, words.stop, BLOCK):
+                    block = slice(lo, min(lo + BLOCK, words.stop))
+                    p, total = exponentials(h[block], outputs[c])
+                    flat, at_wanted = picks(p, wanted[block])
+                    chance[block] *= flat.take(at_wanted) / total
+            for some in small:
+                p, total = exponentials(h.take(some.words, 0), outputs[some.ranges])
+                flat, at_wanted = picks(p, wanted.take(some.words.reshape(-1)))
+                chance[some.words[some.real]] *= (flat.take(at_wanted) / total.reshape(-1))[some.real.reshape(-1)]
         out[at + order] = np.log(np.maximum(chance, 1e-30))
     return out
 
 
+def group_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of groups of consecutive rows, in pairs; ``rows`` are overwritten."""
+    place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+    at, step = np.flatnonzero(place), 1
+    while len(at):
+        odd = place.take(at) & step != 0
+        right = at[odd]
+        rows[right - step] += rows.take(right, 0)
+        at, step = at[~odd], 2 * step
+    return rows.take(first, 0)
+
+
 class Trainer:
     """Adagrad steps on batches of words."""
 
     def __init__(self, weights: Weights):
         self.w = weights
-        self.seen = Weights(*(np.full_like(a, 1e-6) for a in (weights.embed, weights.classes, weights.members)))
+        self.seen = Weights(*(np.full_like(a, 1e-6) for a in weights.parts()))
 
     @staticmethod
     def _update(values: np.ndarray, squares: np.ndarray, gradient: np.ndarray) -> None:
@@ -171,41 +251,58 @@ class Trainer:
         values -= RATE * gradient / np.sqrt(squares)
 
     @staticmethod
-    def _errors(h: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Probabilities minus the wanted ones."""
-        p, total = exponentials(h @ rows[:, :-1].T + rows[:, -1], rows)
-        p *= (1 / total)[:, None]
-        p[np.arange(len(p)), wanted] -= 1
-        return p
+    def _update_some(values: np.ndarray, squares: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
+        seen = squares[at] + gradient * gradient
+        squares[at] = seen
+        np.sqrt(seen, out=seen)
+        gradient *= RATE
+        gradient /= seen
+        values[at] -= gradient
+
+    def _large(self, outputs: np.ndarray, seen: np.ndarray, h: np.ndarray, wanted: np.ndarray, back: np.ndarray) -> None:
+        """One range of outputs learns from its words."""
+        gradient = np.zeros_like(outputs)
+        for lo in range(0, len(h), BLOCK):
+            own = h[lo:lo + BLOCK]
+            p, total = exponentials(own, outputs)
+            p *= (1 / total)[:, None]
+            flat, at = picks(p, wanted[lo:lo + BLOCK])
+            flat[at] -= 1
+            back[lo:lo + BLOCK] += p @ outputs[:, :-1]
+            gradient += p.T @ own
+        self._update(outputs, seen, gradient)
+
+    def _small(self, outputs: np.ndarray, seen: np.ndarray, h: np.ndarray, wanted: np.ndarray, back: np.ndarray, some: Ranges) -> None:
+        """Ranges of outputs learn from few words each."""
+        rows, own = outputs[some.ranges], h.take(some.words, 0)
+        p, total = exponentials(own, rows)
+        p *= (some.real / total)[:, :, None]
+        flat, at = picks(p, wanted.take(some.words.reshape(-1)))
+        flat[at] -= some.real.reshape(-1)
+        back[some.words[some.real]] += (p @ rows[:, :, :-1])[some.real]
+        self._update_some(outputs, seen, some.ranges, p.transpose(0, 2, 1) @ own)
 
     def step(self, ids: np.ndarray, near: np.ndarray) -> None:
         w = self.w
-        order, groups = class_order(ids, w.side)
-        ids, near = ids[order], near[order]
+        order = id_order(ids, w.side)
+        ids, near = ids.take(order), near.take(order, 0)
         h = hidden(w, near)
-        back, gradient = np.empty_like(h), np.zeros_like(w.classes)
-        for lo in range(0, len(ids), BLOCK):
-            own = h[lo:lo + BLOCK]
-            p = self._errors(own, w.classes, ids[lo:lo + BLOCK] // w.side)
-            back[lo:lo + BLOCK] = p @ w.classes[:, :-1]
-            gradient[:, :-1] += p.T @ own
-            gradient[:, -1] += p.sum(0)
-        for c, lo, hi in groups:
-            own = h[lo:hi]
-            q = self._errors(own, w.members[c], ids[lo:hi] % w.side)
-            back[lo:hi] += q @ w.members[c, :, :-1]
-            self._update(w.members[c], self.seen.members[c], np.hstack([q.T @ own, q.sum(0)[:, None]]))
-        self._update(w.classes, self.seen.classes, gradient)
-        back *= 1 - h * h
+        back = np.zeros((len(h), WIDTH), np.float32)
+        for (outputs, size), (seen, _) in zip(w.steps(), self.seen.steps(), strict=True):
+            n = outputs.shape[1]
+            picked = ids // size
+            wanted = picked % n
+            large, small = ranges_of(picked // n)
+            for c, words in large:
+                self._large(outputs[c], seen[c], h[words], wanted[words], back[words])
+            for some in small:
+                self._small(outputs, seen, h, wanted, back, some)
+        back *= 1 - h[:, :-1] * h[:, :-1]
         for k in range(len(OFFSETS)):
-            column = near[:, k].astype(np.min_scalar_type(w.side * w.side))  # 16 bits are sorted by radix
-            order = np.argsort(column, kind="stable")
-            words = column[order]
+            order = id_order(near[:, k], w.side)
+            words = near[:, k].take(order)
             first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-            gradient, at = np.add.reduceat(back[order], first, axis=0), words[first]
-            squares = self.seen.embed[k][at] + gradient * gradient
-            self.seen.embed[k][at] = squares
-            w.embed[k][at] -= RATE * gradient / np.sqrt(squares)
+            self._update_some(w.embed[k], self.seen.embed[k], words[first], group_sums(back.take(order, 0), first))
 
 
 def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -214,7 +311,7 @@ def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in hashed_words(utf8(batch.column(0))):
+            for words in hashed_words(utf8(batch.column(0)), stem=0):
                 if len(words.hashes):
                     ranked = np.sort(words.hashes)
                     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
@@ -255,18 +352,27 @@ class Lookup:
         self.first_shared = side * side - self.shared
         self.order = np.argsort(frequent).astype(np.int32)
         self.ranked = frequent[self.order]
+        # The first of the words with the same leading bits is found in one step, others are searched for.
+        slots = (self.ranked >> SLOT_SHIFT).astype(np.int64)
+        self.slots = np.zeros(1 << (64 - int(SLOT_SHIFT)), np.int32)
+        self.slots[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]
+        self.several = np.zeros(len(self.slots), bool)
+        self.several[slots[1:][slots[1:] == slots[:-1]]] = True
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         shared = (self.first_shared + (hashes >> np.uint64(40)) % np.uint64(self.shared)).astype(np.int32)
         if not len(self.ranked):
             return shared
-        near = np.minimum(np.searchsorted(self.ranked, hashes), len(self.ranked) - 1)
-        return np.where(self.ranked[near] == hashes, self.order[near], shared)
+        slots = (hashes >> SLOT_SHIFT).astype(np.int64)
+        near = self.slots.take(slots)
+        again = np.flatnonzero(self.several.take(slots))
+        near[again] = np.minimum(np.searchsorted(self.ranked, hashes[again]), len(self.ranked) - 1)
+        return np.where(self.ranked.take(near) == hashes, self.order.take(near), shared)
 
     def hashed(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, text index, hashes) of all words of some texts."""
         ids, owner, hashes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for words in hashed_words(texts):
+        for words in hashed_words(texts, stem=0):
             ids.append(self(words.hashes))
             owner.append(words.text)
             hashes.append(words.hashes)
@@ -292,7 +398,7 @@ def study(trainer: Trainer, ids: np.ndarray, owner: np.ndarray, rng: np.random.G
     near, order = contexts(ids, owner, outside), rng.permutation(len(ids))
     for at in range(0, len(order), BATCH):
         some = order[at:at + BATCH]
-        trainer.step(ids[some], near[some])
+        trainer.step(ids.take(some), near.take(some, 0))
     return len(ids)
 
 

@@ -133,3 +133,59 @@ def test_one_step_and_two_steps_of_averaging_agree(frame, monkeypatch):
     monkeypatch.setattr(P, "FAN", 1)
     two = P.fit(docs, rounds=1)[1].rows()
     assert np.abs(one - P.Weights.start().rows()).max() > 0.01 and np.abs(one - two).max() < 1e-5
+
+
+def test_large_networks_predict_in_three_steps():
+    assert [rows.shape[1] for rows, _ in P.Weights.start(side=64).steps()] == [64, 64]
+    steps = P.Weights.start(side=160).steps()
+    assert len(steps) == 3 and sum(rows.shape[1] for rows, _ in steps) < 100  # 320 in two steps
+    rng = np.random.default_rng(4)
+    weights = P.Weights.start(side=70)
+    for rows, _ in weights.steps():
+        rows += rng.normal(0, 0.3, rows.shape).astype(np.float32)
+    weights.classes[:, -1] += 200  # beyond what exp can hold: logits are shifted
+    every = np.arange(70 * 70, dtype=np.int32)
+    near = np.repeat(np.array([[1, 2, 3, 4]], np.int32), len(every), axis=0)
+    h = np.tanh(sum(weights.embed[k][k + 1] for k in range(4)).astype(np.float64))
+    want = np.zeros(len(every))
+    for rows, size in weights.steps():
+        logits = rows[:, :, :-1] @ h + rows[:, :, -1]
+        logits -= logits.max(-1, keepdims=True)
+        logs = logits - np.log(np.exp(logits).sum(-1, keepdims=True))
+        want += logs[every // size // rows.shape[1], every // size % rows.shape[1]]
+    assert np.abs(P.log_probabilities(weights, every, near) - want).max() < 1e-3
+    again = P.Weights.of_rows(weights.rows(), 70)
+    assert all((a == b).all() for a, b in zip(weights.parts(), again.parts(), strict=True)) and again.side == 70
+
+
+def test_three_steps_follow_the_gradient():
+    rng = np.random.default_rng(6)
+    ids = np.minimum(rng.zipf(1.3, 3000), 4900).astype(np.int32) - 1  # frequent words are one range, rare ones many small ones
+    near = P.contexts(ids, np.zeros(len(ids), np.int64), 4900)
+    trainer = P.Trainer(P.Weights.start(side=70))
+    for rows, _ in trainer.w.steps():
+        rows += rng.normal(0, 0.3, rows.shape).astype(np.float32)
+    start = P.Weights.of_rows(trainer.w.rows(), 70)
+    trainer.step(ids, near)
+    # The first step of each weight follows the sign of its gradient; the loss of both sides of a weight tells that sign.
+    for part, moved in zip(start.parts(), trainer.w.parts(), strict=True):
+        far = np.argsort(-trainer.seen.parts()[[p is moved for p in trainer.w.parts()].index(True)].ravel())[:5]
+        for at in far.tolist():
+            losses = []
+            for shift in (-0.05, 0.05):
+                held = part.ravel()[at]
+                part.reshape(-1)[at] = held + shift
+                losses.append(-P.log_probabilities(start, ids, near).sum())
+                part.reshape(-1)[at] = held
+            assert (losses[1] - losses[0]) * (moved.ravel()[at] - part.ravel()[at]) < 0
+
+
+def test_sums_of_groups_and_words_of_equal_leading_bits():
+    rng = np.random.default_rng(7)
+    rows, first = rng.normal(0, 1, (1000, 3)), np.concatenate([[0], np.sort(rng.choice(np.arange(1, 1000), 60, replace=False)), [999]])
+    first = np.unique(first)
+    assert np.allclose(P.group_sums(rows.copy(), first), np.add.reduceat(rows, first, axis=0))
+    hashes = np.array([5, 1 << 50, (1 << 50) + 1, (1 << 50) + 2, (1 << 64) - 1], np.uint64)
+    lookup = P.Lookup(hashes[[3, 0, 4, 1, 2]])
+    assert lookup(hashes).tolist() == [1, 3, 4, 0, 2]
+    assert (lookup(hashes + np.uint64(7)) >= lookup.first_shared).all()
