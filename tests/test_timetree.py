@@ -123,3 +123,14 @@ def test_nights_start_no_earlier_than_the_day_before(spark):
                                     ("a", datetime(2020, 2, 3, 23), datetime(2020, 2, 4, 7), 3)],
                                    "participant_id string, start_ts timestamp_ntz, end_ts timestamp_ntz, seq int")
     assert [r["seq"] for r in nights_ending_in(nights, asked).collect()] == [1]
+
+
+def test_what_no_window_is_made_of_is_dropped_before_the_shuffle(data):
+    _, _, frame, asked = data
+    tree = T.WindowTree(asked.where("window_id = 4"))
+    lower, upper = next(w for w in data[1] if w[1] == 4)[2:4]
+    placed = tree._placed(frame, "ts")
+    days = {r["ts"].date() for r in placed.select("ts").collect()}
+    assert days and all(lower.date() <= d <= upper.date() for d in days) and placed.count() < frame.count()
+    kept = tree._raised(placed).select("_axis", "_level", "_node").distinct()
+    assert kept.join(tree.blocks, ["_axis", "_level", "_node"], "left_anti").count() == 0
