@@ -20,6 +20,7 @@ from daygrain.operators import timetree as T
 from daygrain.operators.joins import last_known, nights_ending_in
 from daygrain.operators.tables import sorted_list
 from daygrain.operators.timetree import WINDOW, WindowTree
+from daygrain.session import stored
 
 Windows = DataFrame | WindowTree
 WELLNESS_FIELDS = ("fatigue", "mood", "readiness", "sleep_duration_h", "sleep_quality", "soreness",
@@ -146,8 +147,8 @@ def window_injuries(injury: DataFrame, windows: Windows) -> DataFrame:
 
 
 def injury_window(injury: DataFrame, windows: Windows) -> DataFrame:
-    """Reports in the window, the injuries they name and the last known state."""
-    tree = WindowTree.of(windows)
+    """Reports in the window, the injuries they name and the last known state; reports are read, and their literals parsed, once."""
+    tree, injury = WindowTree.of(windows), stored(injury, "injuries")
     counts = tree.fold(injury, "ts", {"reports_in_window": T.count("reports_in_window"),
                                       "is_injured": T.largest(F.size("injuries") > 0, "is_injured")})
     # Maps have no order, so they travel as entries through the sorted list.
