@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from daygrain.operators.missing import complete_cases, covered_columns
 from daygrain.operators.rolling import demean_within
 from daygrain.operators.stats import value_positions
-from daygrain.session import ship, stored
+from daygrain.session import ship, short_methods, stored
 
 MIN_PAIR_ROWS = 3
 MIN_COMPLETE_ROWS = 100
@@ -190,8 +190,12 @@ def _known_classes(data: DataFrame, cols: Sequence[str]) -> list[int]:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros((len(cols), len(cols)))
         for batch in batches:
-            m = np.isfinite(batch.to_numpy(dtype=float)).astype(float)
-            n += m.T @ m
+            known = np.isfinite(batch.to_numpy(dtype=float))
+            if known.all():
+                n += len(known)
+            else:
+                m = known.astype(float)
+                n += m.T @ m
         yield pd.DataFrame({"i": np.arange(n.size), "n": n.ravel()})
 
     rows = data.mapInPandas(fold, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()
@@ -252,9 +256,14 @@ def _value_counts(data: DataFrame, cols: Sequence[str], narrow: Sequence[int], m
             by_mask = known[:, masks].astype(np.int32)
             for c in narrow:
                 rows = np.flatnonzero(known[:, c])
-                order = rows[np.argsort(x[rows, c], kind="stable")]
-                if not len(order):
+                if not len(rows):
+                    continue
+                v = x[rows, c]
+                at = np.minimum(np.searchsorted(values[c], v), max(len(values[c]) - 1, 0))
+                if len(masks) == 1 and len(values[c]) and (values[c][at] == v).all():  # no new ones: nothing to sort
+                    counts[c][:, 0] += np.bincount(at[known[rows, masks[0]]], minlength=len(values[c]))
                     continue
+                order = rows[np.argsort(v, kind="stable")]
                 v = x[order, c]
                 starts = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
                 v, n = v[starts], np.add.reduceat(by_mask[order], starts, axis=0)
@@ -391,7 +400,8 @@ def spearman_pairs(df: DataFrame, pairs: Pairs, out: str = "spearman_rho") -> Da
     """
     cols, left, right = _indices(pairs)
     # Stored: read more than once, and the row numbers must not change when a lost task is run again.
-    data = stored(finite(df, cols).withColumn("_row", F.monotonically_increasing_id()), "columns")
+    with short_methods(df.sparkSession):
+        data = stored(finite(df, cols).withColumn("_row", F.monotonically_increasing_id()), "columns")
     values = data.select(*cols)
     classes = _known_classes(values, cols)
     narrow = _narrow_columns(values, cols, classes, pairs)

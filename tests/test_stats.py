@@ -324,3 +324,25 @@ def test_small_groups_are_not_spread_over_buckets(spark, monkeypatch):
         got = {r["g"]: (r["lo"], r["mid"]) for r in stats.exact_quantiles(df, ["g"], "v", probs).collect()}
         for g, part in x.groupby("g", dropna=False):
             assert got[None if pd.isna(g) else g] == pytest.approx(tuple(part["v"].quantile([0.1, 0.5])))
+
+
+def test_wide_rows_are_stored_by_methods_that_are_compiled(spark, monkeypatch):
+    """The setting holds while the columns are stored, and the ranks of values seen again, new and unknown are whole."""
+    from daygrain import session
+    from daygrain.operators import correlation as K
+    seen, before = [], spark.conf.get(session.METHOD_LIMIT)
+
+    def noted(df, *rest):
+        seen.append(spark.conf.get(session.METHOD_LIMIT))
+        return session.stored(df, *rest)
+
+    monkeypatch.setattr(K, "stored", noted)
+    rows = spark.range(0, 3000, 1, 1).select((F.col("id") % 7).cast("double").alias("a"), F.floor(F.col("id") / 100).cast("double").alias("b"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = K.pairwise_spearman(rows, ["a", "b"]).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen == ["8000"] and spark.conf.get(session.METHOD_LIMIT) == before
+    pdf = rows.toPandas()
+    assert got["n"] == 3000 and abs(got["spearman_rho"] - pdf["a"].rank().corr(pdf["b"].rank())) < 1e-9
